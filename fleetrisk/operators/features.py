@@ -74,9 +74,44 @@ def rolling_columns(df: DataFrame, spec: OrderSpec = PLAIN,
     return out
 
 
-def add_rolling_features(df: DataFrame, spec: OrderSpec = PLAIN) -> DataFrame:
-    """WN1+WN2: 9 signals x {6, 24, 168} rows x {mean, std}."""
-    return df.select("*", *rolling_columns(df, spec))
+def add_rolling_features(df: DataFrame, spec: OrderSpec = PLAIN, engine: str = "window") -> DataFrame:
+    """WN1+WN2: 9 signals x {6, 24, 168} rows x {mean, std}.
+
+    ``engine="window"`` uses Spark sliding frames (exact, but each output row
+    re-aggregates its whole frame: O(rows x width)). ``engine="pandas"`` runs an
+    O(rows) rolling kernel per window partition through ``applyInPandas``; it is
+    meant for the chunked spec, whose partitions are bounded in size.
+    """
+    if engine == "window":
+        return df.select("*", *rolling_columns(df, spec))
+    if engine != "pandas":
+        raise ValueError(f"unknown engine {engine!r}")
+    return rolling_in_pandas(df, spec)
+
+
+def _rolling_kernel(signals, windows, order):
+    import pandas as pd
+
+    def run(pdf: "pd.DataFrame") -> "pd.DataFrame":
+        pdf = pdf.sort_values(list(order), kind="stable")
+        out = {}
+        for c in signals:
+            x = pdf[c].astype("float64")
+            for name, w in windows.items():
+                r = x.rolling(w, min_periods=min_periods(w))
+                out[f"{c}_{name}_mean"] = r.mean()
+                out[f"{c}_{name}_std"] = r.std()
+        return pd.concat([pdf, pd.DataFrame(out, index=pdf.index)], axis=1)
+    return run
+
+
+def rolling_in_pandas(df: DataFrame, spec: OrderSpec,
+                      signals: Sequence[str] = ROLLING_COLS, windows: dict = WINDOWS) -> DataFrame:
+    from pyspark.sql.types import DoubleType, StructField, StructType
+    present = [c for c in signals if c in df.columns]
+    extra = [StructField(f"{c}_{n}_{s}", DoubleType()) for c in present for n in windows for s in ("mean", "std")]
+    schema = StructType(df.schema.fields + extra)
+    return df.groupBy(*spec.partition).applyInPandas(_rolling_kernel(present, windows, spec.order), schema)
 
 
 # --------------------------------------------------------------- alarm ---
@@ -93,18 +128,39 @@ def add_alarm_features(df: DataFrame, spec: OrderSpec = PLAIN,
                          F.lit(NO_ALARM_HOURS).alias("hours_since_last_alarm"))
     active = kpi.alarm_active(F.col("inv_alarm_code"))
     # alarm times rise with the row order, so "last alarm at or before" = running max
+    # (a growing frame: Spark updates it incrementally, O(rows))
     last_alarm = F.max(F.when(active == 1, F.col("datetime"))).over(
         spec.window().rowsBetween(Window.unboundedPreceding, 0))
     if carry_col:
         last_alarm = F.coalesce(last_alarm, F.col(carry_col))
-    return df.select(
-        "*",
-        active.alias("alarm_active"),
-        F.sum(active).over(spec.rows(-23, 0)).cast("double").alias("alarm_count_24h"),
-        F.sum(active).over(spec.rows(-167, 0)).cast("double").alias("alarm_count_7d"),
-        F.coalesce(hours_between(F.col("datetime"), last_alarm),
+    flagged = df.select("*", active.alias("alarm_active"))
+    staged = flagged.select("*", running_sum(F.col("alarm_active"), spec).alias("_alarm_run"),
+                            last_alarm.alias("_last_alarm"))
+    out = staged.select(
+        *[c for c in df.columns], "alarm_active",
+        trailing_count(F.col("_alarm_run"), 24, spec).cast("double").alias("alarm_count_24h"),
+        trailing_count(F.col("_alarm_run"), 168, spec).cast("double").alias("alarm_count_7d"),
+        F.coalesce(hours_between(F.col("datetime"), F.col("_last_alarm")),
                    F.lit(NO_ALARM_HOURS)).alias("hours_since_last_alarm"),
     )
+    return out
+
+
+def running_sum(flag: Column, spec: OrderSpec) -> Column:
+    """Prefix sum of an integer column (growing frame, O(rows))."""
+    return F.sum(flag).over(spec.window().rowsBetween(Window.unboundedPreceding, 0))
+
+
+def trailing_count(run: Column, w: int, spec: OrderSpec) -> Column:
+    """Sum of the last ``w`` rows from a prefix-sum column: S(i) - S(i-w). Exact for integers."""
+    return run - F.lag(run, w, 0).over(spec.window())
+
+
+def forward_count(run: Column, n: int, spec: OrderSpec) -> Column:
+    """Sum of rows i .. i+n-1 from a prefix-sum column: S(i+n-1) - S(i-1)."""
+    w = spec.window()
+    last = F.max(run).over(Window.partitionBy(*spec.partition))
+    return F.coalesce(F.lead(run, n - 1).over(w), last) - F.lag(run, 1, 0).over(w)
 
 
 # ----------------------------------------------------------------- KPI ---
@@ -146,16 +202,24 @@ def add_events(df: DataFrame) -> DataFrame:
 
 
 def forward_any(c: str, n_rows: int, spec: OrderSpec = PLAIN) -> Column:
-    """WN5: 1 if the flag is set in the current row or any of the next n-1 rows."""
+    """WN5 (frame form): 1 if the flag is set in the current row or any of the next n-1 rows."""
     return F.max(c).over(spec.rows(0, n_rows - 1))
 
 
 def add_targets(df: DataFrame, window_days: int = 7, spec: OrderSpec = PLAIN,
                 keep_events: bool = False) -> DataFrame:
-    """FN12 + WN5: forward-looking binary and 3-class targets."""
+    """FN12 + WN5: forward-looking binary and 3-class targets.
+
+    Events ahead are counted from prefix sums (lead minus lag, O(rows)) rather
+    than by re-scanning a 168-row frame for every row.
+    """
     n = window_days * 24
     ev = add_events(df)
-    s_ahead, d_ahead = forward_any("shutdown_event", n, spec), forward_any("degradation_event", n, spec)
-    out = ev.select("*", kpi.target_binary(s_ahead, d_ahead).alias("target_binary"),
-                    kpi.target_multiclass(s_ahead, d_ahead).alias("target_multiclass"))
+    runs = ev.select("*", running_sum(F.col("shutdown_event"), spec).alias("_s_run"),
+                     running_sum(F.col("degradation_event"), spec).alias("_d_run"))
+    ahead = runs.select("*", forward_count(F.col("_s_run"), n, spec).alias("_s_ahead"),
+                        forward_count(F.col("_d_run"), n, spec).alias("_d_ahead"))
+    out = ahead.select(*ev.columns,
+                       kpi.target_binary(F.col("_s_ahead"), F.col("_d_ahead")).alias("target_binary"),
+                       kpi.target_multiclass(F.col("_s_ahead"), F.col("_d_ahead")).alias("target_multiclass"))
     return out if keep_events else out.drop("shutdown_event", "degradation_event")

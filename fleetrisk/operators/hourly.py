@@ -4,8 +4,9 @@ One ``groupBy(inverter_id, hour)`` with rule-driven aggregates. Spark plans it
 as partial (map-side) + final HashAggregate, so a hot inverter is combined
 before the shuffle and the shuffle carries at most one row per
 (task, inverter, hour). Metadata is functionally dependent on ``inverter_id``
-(the id is composed from it), so it is carried by ``first(ignorenulls)`` in
-the same aggregate instead of a second groupBy plus join.
+(the id is composed from it), so it rides along as extra grouping keys of the
+same aggregate instead of a second groupBy plus join; this also keeps every
+aggregation buffer fixed-width, so Spark uses HashAggregate, not SortAggregate.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ def agg_rule(name: str) -> str:
 
 
 def _last_non_null(c: str) -> Column:
-    # latest non-NULL value of the hour; ties on time broken by the value itself
-    key = F.when(F.col(c).isNotNull(), F.struct(F.col("datetime"), F.col(c)))
-    return F.max_by(F.col(c), key)
+    # latest non-NULL value of the hour. The ordering key is a fixed-width
+    # timestamp, so the aggregate stays a (partial + final) HashAggregate.
+    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("datetime")))
 
 
 def aggregate_expr(c: str) -> Column:
@@ -66,6 +67,5 @@ def aggregate_hourly(readings: DataFrame) -> DataFrame:
              .where(F.col("inverter_id").isNotNull() & F.col("datetime").isNotNull())
              .withColumn("hour_bucket", hour_bucket("datetime")))
     aggs = [aggregate_expr(c) for c in signals]
-    aggs += [F.first(c, ignorenulls=True).alias(c) for c in meta]
-    return (keyed.groupBy("inverter_id", "hour_bucket").agg(*aggs)
-            .withColumnRenamed("hour_bucket", "datetime"))
+    out = keyed.groupBy("inverter_id", "hour_bucket", *meta).agg(*aggs)
+    return out.select("inverter_id", F.col("hour_bucket").alias("datetime"), *signals, *meta)

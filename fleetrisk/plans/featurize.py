@@ -20,24 +20,27 @@ TRAIL_ROWS = max(WINDOWS.values())
 
 
 def _features(df: DataFrame, window_days: int, spec: OrderSpec, carry_col: str | None = None,
-              keep_events: bool = False) -> DataFrame:
+              keep_events: bool = False, engine: str = "window") -> DataFrame:
     df = add_time_features(df)
-    df = add_rolling_features(df, spec)
+    df = add_rolling_features(df, spec, engine)
     df = add_alarm_features(df, spec, carry_col)
     df = add_kpi_features(df)
     return add_targets(df, window_days, spec, keep_events)
 
 
 def featurize(hourly: DataFrame, window_days: int = 7, chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
-              key: str = "inverter_id", keep_events: bool = False) -> DataFrame:
+              key: str = "inverter_id", keep_events: bool = False, engine: str | None = None) -> DataFrame:
     """Run the full feature stage on an hourly table.
 
     ``chunk_rows=None`` partitions windows by inverter (one task per inverter);
     an integer cuts every inverter's history into halo chunks (task size
-    bounded by ``chunk_rows + 167 + window_days*24 - 1`` rows).
+    bounded by ``chunk_rows + 167 + window_days*24 - 1`` rows). Rolling mean/std
+    use Spark frames (``engine="window"``) or, by default on the chunked path,
+    an O(rows) pandas kernel per bounded chunk (``engine="pandas"``).
     """
     if chunk_rows is None:
-        return _features(hourly, window_days, PLAIN, keep_events=keep_events)
+        return _features(hourly, window_days, PLAIN, keep_events=keep_events, engine=engine or "window")
+    engine = engine or "pandas"
     cols = hourly.columns
     pos = ch.add_positions(hourly, key=key)
     alarm_ts = F.when(kpi.alarm_active(F.col("inv_alarm_code")) == 1, F.col("datetime")) \
@@ -45,7 +48,7 @@ def featurize(hourly: DataFrame, window_days: int = 7, chunk_rows: int | None =
     carry = ch.carry_last_before(pos, chunk_rows, key, alarm_ts, "_alarm_carry")
     ahead = window_days * 24 - 1
     exploded = ch.explode_halo(pos, chunk_rows, TRAIL_ROWS - 1, ahead).join(carry, [key, ch.WCHUNK], "left")
-    out = _features(exploded, window_days, ch.chunk_spec(key), "_alarm_carry", keep_events)
+    out = _features(exploded, window_days, ch.chunk_spec(key), "_alarm_carry", keep_events, engine)
     helper = {ch.POS, ch.CHUNK, ch.WCHUNK, ch.CORE, "_alarm_carry"}
     return out.where(F.col(ch.CORE)).select(*[c for c in out.columns if c not in helper])
 
@@ -55,5 +58,7 @@ def hourly_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def featured_from_events(spark: SparkSession, sf_dir: str, window_days: int = 7,
-                         chunk_rows: int | None = DEFAULT_CHUNK_ROWS, keep_events: bool = False) -> DataFrame:
-    return featurize(hourly_from_events(spark, sf_dir), window_days, chunk_rows, keep_events=keep_events)
+                         chunk_rows: int | None = DEFAULT_CHUNK_ROWS, keep_events: bool = False,
+                         engine: str | None = None) -> DataFrame:
+    return featurize(hourly_from_events(spark, sf_dir), window_days, chunk_rows,
+                     keep_events=keep_events, engine=engine)
