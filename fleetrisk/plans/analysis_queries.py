@@ -11,6 +11,7 @@ from ..sources.tables import read_table
 from . import sql_twins as S
 from .catalog import r6, register, rounded, sql_round6
 from .feature_queries import FEATURED_COLS, KEYS, _FEATURED_DOUBLES
+from ..session import materialize
 from .featurize import featured_from_events
 
 INT_COLS = {"inverter_idx", "hour", "day_of_week", "month", "is_daytime", "alarm_active",
@@ -28,7 +29,8 @@ def _q(base: str, body: str) -> str:
 
 
 def featured(spark, sf):
-    return featured_from_events(spark, sf)
+    """The featured table, checkpointed: derived queries plan against the stored table."""
+    return materialize(featured_from_events(spark, sf))
 
 
 def scored(spark, sf):

@@ -71,3 +71,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df, eager: bool = True):
+    """Cut lineage: reliable checkpoint into the shared ``spark.checkpoint.dir``.
+
+    Used where one computed table feeds several plans (folds, metrics, boards),
+    so each consumer reads the stored result instead of re-planning and
+    re-running the whole upstream job; it also survives executor loss.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
