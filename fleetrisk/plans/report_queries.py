@@ -299,3 +299,161 @@ def q_feature_catalogue(spark, sf):
     cat = spark.createDataFrame([(i, f) for i, f in enumerate(KEY_FEATURES)], "position int, feature string")
     return rounded(cat.join(F.broadcast(base), "feature", "left").select(
         "position", "feature", F.col("median").alias("baseline")))
+
+
+# ------------------------------------------------------------ serving ---
+def serving_inputs(spark, sf):
+    feat = featured(spark, sf)
+    return serving.readings_from_featured(feat), matrix.healthy_baseline(feat, digits=None)
+
+
+def _given_sql(f: str) -> str:
+    """SQL statement of which keys a derived sparse reading carries (see readings_from_featured)."""
+    always = {"inv_temp", "meter_pf", "meter_freq", "meter_v_r", "meter_v_y", "meter_v_b",
+              "smu_num_zero", "smu_total_strings", "ambient_temp"}
+    cond = {"inv_power": "inverter_idx % 2 = 0", "alarm_count_7d": "inverter_idx % 3 = 0",
+            "alarm_count_24h": "inverter_idx % 5 = 0", "hour": "is_daytime = 0"}
+    if f in always:
+        return f"{f} IS NOT NULL"
+    if f in cond:
+        return f"({cond[f]} AND {f} IS NOT NULL)"
+    return "FALSE"
+
+
+def _serve_sql() -> str:
+    def g(f):
+        return _given_sql(f)
+
+    def v(f):
+        return f"CAST({f} AS DOUBLE)" if f in {"inv_temp", "meter_pf", "meter_freq", "meter_v_r", "meter_v_y",
+                                                "meter_v_b", "smu_num_zero", "smu_total_strings", "ambient_temp",
+                                                "inv_power", "alarm_count_7d", "alarm_count_24h", "hour"} else "NULL"
+
+    def b(f):
+        return f"(SELECT median FROM baseline WHERE feature = '{f}')"
+    row = {f: f"coalesce(CASE WHEN {g(f)} THEN {v(f)} END, {b(f)}, 0.0)" for f in KEY_FEATURES}
+    row["hour"] = f"CASE WHEN {g('hour')} THEN {v('hour')} ELSE CAST(hour(datetime) AS DOUBLE) END"
+    row["month"] = "CAST(month(datetime) AS DOUBLE)"
+    row["is_daytime"] = f"CASE WHEN ({row['hour']}) BETWEEN 6 AND 18 THEN 1.0 ELSE 0.0 END"
+    a = "CAST(alarm_count_7d AS DOUBLE)"
+    row["alarm_count_24h"] = (f"CASE WHEN {g('alarm_count_7d')} AND NOT {g('alarm_count_24h')} THEN least({a}, {a} / 7.0) "
+                              f"ELSE {row['alarm_count_24h']} END")
+    row["hours_since_last_alarm"] = (f"CASE WHEN {g('alarm_count_7d')} AND {a} > 0 THEN greatest(1.0, 168.0 / ({a} + 1)) "
+                                     f"WHEN {g('alarm_count_7d')} THEN 9999.0 ELSE {row['hours_since_last_alarm']} END")
+    vr, vy, vb = row["meter_v_r"], row["meter_v_y"], row["meter_v_b"]
+    mean = f"(({vr}) + ({vy}) + ({vb})) / 3.0"
+    row["voltage_imbalance"] = (f"(greatest({vr}, {vy}, {vb}) - least({vr}, {vy}, {vb})) / "
+                                f"(CASE WHEN {mean} > 0 THEN {mean} ELSE 1.0 END)")
+    row["pf_deviation"] = f"abs(1.0 - ({row['meter_pf']}))"
+    row["freq_deviation"] = f"abs(({row['meter_freq']}) - 50.0)"
+    row["power_ratio_vs_24h"] = (f"CASE WHEN {g('inv_power')} THEN CAST(inv_power AS DOUBLE) / "
+                                 f"(coalesce({b('inv_power')}, 1.0) + 0.01) ELSE {row['power_ratio_vs_24h']} END")
+    tot, zero = row["smu_total_strings"], row["smu_num_zero"]
+    row["smu_zero_fraction"] = f"CASE WHEN ({tot}) > 0 THEN ({zero}) / ({tot}) ELSE {row['smu_zero_fraction']} END"
+    rid = "inverter_id || '|' || strftime(datetime, '%Y-%m-%d %H')"
+    return (FEATURED_SQL + BASELINE_SQL + f"\nSELECT {rid} AS reading_id, inverter_id, "
+            + ", ".join(f"{R(row[f])} AS {f}" for f in KEY_FEATURES) + " FROM featured")
+
+
+@register("serve_complete", _serve_sql())
+def q_serve_complete(spark, sf):
+    """SV1-SV7: sparse readings completed over the healthy baseline with serving-side rules."""
+    readings, base = serving_inputs(spark, sf)
+    return rounded(serving.complete_readings(readings, base))
+
+
+@register("manual_entry", FEATURED_SQL + "\nSELECT inverter_id || '|' || strftime(datetime, '%Y-%m-%d %H') AS reading_id, "
+          "inverter_id, " + ", ".join(
+              (f"{R(f'coalesce(CASE WHEN {_given_sql(f)} THEN CAST({f} AS DOUBLE) END, 0.0)')} AS {f}"
+           if f in AVAILABLE_KEYS else f"0.0 AS {f}") for f in KEY_FEATURES) + " FROM featured")
+def q_manual_entry(spark, sf):
+    """SV8: manual-entry completion (unspecified features 0.0, no derived rules)."""
+    readings, _ = serving_inputs(spark, sf)
+    return rounded(serving.complete_readings(readings, None, defaults="zero"))
+
+
+# --------------------------------------------------------------- text ---
+def _contains_sql(words) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), {_lit(w)})" for w in words) + ")"
+
+
+_INTENT_SQL = (f"CASE WHEN {_contains_sql(text.CAUSE_WORDS)} THEN 'cause' "
+               f"WHEN {_contains_sql(text.ACTION_WORDS)} THEN 'maintenance' ELSE 'help' END")
+
+
+@register("intent_routing", f"""SELECT conv_id, turn, intent,
+  CASE intent WHEN 'cause' THEN {_lit(text.CAUSE_ANSWER)} WHEN 'maintenance' THEN {_lit(text.ACTION_ANSWER)}
+    ELSE {_lit(text.HELP_ANSWER)} END AS answer
+FROM (SELECT *, {_INTENT_SQL} AS intent FROM conversations WHERE role = 'user') m""")
+def q_intent_routing(spark, sf):
+    """TX1: ordered substring rules route each user message to an answer."""
+    m = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "user")
+    intent = text.route_intent(F.col("text"))
+    return m.select("conv_id", "turn", intent.alias("intent"), text.intent_answer(intent).alias("answer"))
+
+
+_TOPIC_SQL = (f"CASE WHEN {_contains_sql(text.FEATURE_WORDS)} THEN 'features' "
+              f"WHEN {_contains_sql(text.PERFORMANCE_WORDS)} THEN 'performance' "
+              f"WHEN {_contains_sql(text.RISK_WORDS)} THEN 'risk' ELSE 'default' END")
+
+
+@register("fallback_answers")
+def q_fallback_answers(spark, sf):
+    """TX2: topic rules; answers interpolate the top-5 attribution features and CV means."""
+    top = attribution_df(spark, sf).groupBy("feature").agg(F.avg(F.abs("impact")).alias("m"))
+    ranked = top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("m"), F.asc("feature"))))
+    feats = ranked.where(F.col("rk") <= 10).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rk", "feature"))), lambda s: s["feature"]).alias("top"))
+    agg = metrics.fold_aggregate(fold_series_df(spark, sf)).where(F.col("task") == "binary")
+    cv = agg.groupBy().pivot("metric", ["f1", "auc", "precision"]).agg(F.first("mean"))
+    msgs = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "user")
+    topic = text.route_topic(F.col("text"))
+    ctx = feats.crossJoin(cv)  # one row
+    return msgs.crossJoin(F.broadcast(ctx)).select(
+        "conv_id", "turn", topic.alias("topic"),
+        text.topic_answer(topic, F.col("top"), F.col("f1"), F.col("auc"), F.col("precision")).alias("answer"))
+
+
+@register("prompt_column", f"""SELECT conv_id, turn,
+  'Context data:' || chr(10) || '```json' || chr(10) || printf('{{' || chr(10) || '  "conv_id": %d,' || chr(10)
+    || '  "turn": %d' || chr(10) || '}}', conv_id, turn) || chr(10) || '```' || chr(10) || chr(10)
+    || 'User question: ' || text AS prompt
+FROM conversations WHERE role = 'user'""")
+def q_prompt_column(spark, sf):
+    """TX4: prompt text = JSON context block + question, per user message."""
+    m = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "user")
+    return m.select("conv_id", "turn", text.prompt_text(text.context_json(F.col("conv_id"), F.col("turn")),
+                                                        F.col("text")).alias("prompt"))
+
+
+@register("prediction_summary", _q(ATTR_SQL + """,
+scoredf AS (SELECT *, CAST(((CAST(inverter_idx AS BIGINT) * 37 + hour * 11 + day_of_week * 5
+      + CAST(alarm_count_7d AS BIGINT) * 13) % 1000) AS DOUBLE) / 1000.0 AS proxy_prob,
+    CAST((inverter_idx + hour + CAST(alarm_count_24h AS INTEGER)) % 3 AS INTEGER) AS proxy_class FROM pos),
+lastrow AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY inverter_id ORDER BY datetime DESC) AS rn
+  FROM scoredf) x WHERE rn = 1),
+drivers AS (SELECT row_id, string_agg(feature || ' (' || CASE WHEN impact > 0 THEN 'increases risk'
+    ELSE 'decreases risk' END || ')', ', ' ORDER BY rk) AS d
+  FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(impact) DESC, feature) AS rk FROM attr) a
+  WHERE rk <= 3 GROUP BY 1)""", """SELECT l.inverter_id,
+  '**Inverter ' || l.inverter_id || '** — ' ||
+  CASE l.proxy_class WHEN 0 THEN 'Operating normally (failure probability: ' || printf('%.1f%%', l.proxy_prob * 100) || '). '
+    WHEN 1 THEN '⚠️ Degradation risk detected (failure probability: ' || printf('%.1f%%', l.proxy_prob * 100) || '). '
+    ELSE '\U0001f6a8 HIGH SHUTDOWN RISK (failure probability: ' || printf('%.1f%%', l.proxy_prob * 100) || '). ' END ||
+  CASE WHEN d.d IS NULL THEN '' ELSE 'Key drivers: ' || d.d || '.' END ||
+  CASE WHEN l.alarm_count_7d > 0 THEN ' ⚠️ Anomalous behavior detected by Isolation Forest.' ELSE '' END AS summary
+FROM lastrow l LEFT JOIN drivers d ON d.row_id = l.row_id"""))
+def q_prediction_summary(spark, sf):
+    """TX3: one summary sentence per inverter's latest scored reading with its top-3 drivers."""
+    a = attribution_df(spark, sf)
+    top3 = ranking.top_k_per_group(a, 3, ["row_id"], [F.desc(F.abs(F.col("impact"))), F.asc("feature")], out="rk")
+    factors = top3.groupBy("row_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rk", "feature", risk.direction(F.col("impact")).alias("direction")))),
+        lambda s: F.struct(s["feature"].alias("feature"), s["direction"].alias("direction"))).alias("factors"))
+    feat = ranking.global_positions(featured(spark, sf), out="row_id")
+    latest = ranking.latest_per_entity(risk.proxy_score(feat))
+    j = latest.join(factors, "row_id", "left")
+    lvl = risk.risk_level(F.col("proxy_class"))
+    fac = F.coalesce(F.col("factors"), F.array().cast("array<struct<feature:string,direction:string>>"))
+    return j.select("inverter_id", text.prediction_summary(F.col("inverter_id"), lvl, F.col("proxy_prob"), fac,
+                                                           F.col("alarm_count_7d") > 0).alias("summary"))
