@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import analysis_queries, feature_queries, report_queries  # noqa: F401  (register queries)
+from . import analysis_queries, feature_queries, model_queries, report_queries  # noqa: F401  (register queries)
 from .catalog import QUERIES, SQL
 from .featurize import featured_from_events
 from ..session import ensure_checkpoint_dir
