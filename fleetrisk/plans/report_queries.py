@@ -457,3 +457,92 @@ def q_prediction_summary(spark, sf):
     fac = F.coalesce(F.col("factors"), F.array().cast("array<struct<feature:string,direction:string>>"))
     return j.select("inverter_id", text.prediction_summary(F.col("inverter_id"), lvl, F.col("proxy_prob"), fac,
                                                            F.col("alarm_count_7d") > 0).alias("summary"))
+
+
+# ----------------------------------------------------- loader pieces ---
+_NUM_TEXT_SQL = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
+
+
+def _to_double_sql(s: str) -> str:
+    return (f"CASE WHEN regexp_matches({s}, '{_NUM_TEXT_SQL}') THEN "
+            f"(CASE WHEN isnan(TRY_CAST(trim({s}) AS DOUBLE)) THEN NULL ELSE TRY_CAST(trim({s}) AS DOUBLE) END) END")
+
+
+_TEXT_FORMS_SQL = """SELECT event_id, CAST(value AS VARCHAR) AS t_value, props AS t_props,
+  regexp_extract(props, '([0-9]+)', 1) AS t_digits,
+  CASE event_type WHEN 'error' THEN 'nan' WHEN 'click' THEN '-inf' WHEN 'view' THEN CAST(value AS VARCHAR) || 'd'
+    ELSE ' ' || CAST(value AS VARCHAR) || ' ' END AS t_mixed FROM events"""
+
+
+@register("numeric_coercion", f"""SELECT event_id, {_to_double_sql('t_value')} AS n_value, {_to_double_sql('t_props')} AS n_props,
+  {_to_double_sql('t_digits')} AS n_digits, {_to_double_sql('t_mixed')} AS n_mixed FROM ({_TEXT_FORMS_SQL}) t""")
+def q_numeric_coercion(spark, sf):
+    """PRJ2: lenient text -> double (bad text and NaN -> NULL, 'inf' kept) over text forms of events."""
+    e = read_table(spark, sf, "events", ["event_id", "value", "props", "event_type"])
+    v = F.col("value").cast("string")
+    mixed = (F.when(F.col("event_type") == "error", "nan").when(F.col("event_type") == "click", "-inf")
+             .when(F.col("event_type") == "view", F.concat(v, F.lit("d"))).otherwise(F.concat(F.lit(" "), v, F.lit(" "))))
+    return e.select("event_id", to_double(v).alias("n_value"), to_double(F.col("props")).alias("n_props"),
+                    to_double(F.regexp_extract("props", "([0-9]+)", 1)).alias("n_digits"), to_double(mixed).alias("n_mixed"))
+
+
+@register("timestamp_parse", """SELECT event_id, parsed_text, parsed_epoch FROM (
+  SELECT event_id,
+    try_strptime(CASE WHEN event_type = 'error' THEN 'not a time' WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+      ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END, ['%Y-%m-%d %H:%M:%S', '%d/%m/%Y %H:%M:%S']) AS parsed_text,
+    make_timestamp((epoch_us(ts) // 1000) * 1000) AS parsed_epoch FROM events) t
+WHERE parsed_text IS NOT NULL""")
+def q_timestamp_parse(spark, sf):
+    """SRC4: text layouts tried in order / epoch milliseconds; unparsable rows dropped."""
+    e = read_table(spark, sf, "events", ["event_id", "ts", "event_type"])
+    txt = (F.when(F.col("event_type") == "error", F.lit("not a time"))
+           .when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+           .otherwise(F.date_format("ts", "dd/MM/yyyy HH:mm:ss")))
+    ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    out = e.select("event_id", parse_text_timestamp(txt).alias("parsed_text"), parse_epoch_millis(ms).alias("parsed_epoch"))
+    return out.where(F.col("parsed_text").isNotNull())
+
+
+def wide_from_events(spark, sf) -> DataFrame:
+    """A wide per-logger frame derived from events: 4 inverter blocks + 2 SMU blocks per row."""
+    e = read_table(spark, sf, "events", ["event_id", "ts", "value"])
+    cols = [F.col("event_id").cast("string").alias("timestamp_id"),
+            F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"),
+            (F.col("event_id") % 30 + 10).cast("string").alias("sensors[0].ambient_temp")]
+    for i in range(4):
+        cols.append((F.col("value") * (i + 1)).cast("string").alias(f"inverters[{i}].power"))
+        cols.append(((F.col("event_id") + i) % 50).cast("string").alias(f"inverters[{i}].temp"))
+    for i in range(2):
+        for s in (1, 2):
+            cols.append(F.when((F.col("event_id") + s + i) % 4 == 0, F.lit("0"))
+                        .otherwise((F.col("value") / (s + i)).cast("string")).alias(f"smu[{i}].string{s}"))
+    return e.select(*cols)
+
+
+@register("unpivot_inverters", """SELECT CAST(timestamp_id AS BIGINT) AS event_id, inverter_idx, """ + R("inv_power") + """ AS inv_power,
+  """ + R("inv_temp") + """ AS inv_temp, """ + R("smu_string_mean") + """ AS smu_string_mean, smu_total_strings FROM (
+  SELECT CAST(event_id AS VARCHAR) AS timestamp_id, i AS inverter_idx, value * (i + 1) AS inv_power,
+    CAST((event_id + i) % 50 AS DOUBLE) AS inv_temp,
+    (CASE WHEN (event_id + 1 + si) % 4 = 0 THEN 0.0 ELSE value / (1 + si) END
+      + CASE WHEN (event_id + 2 + si) % 4 = 0 THEN 0.0 ELSE value / (2 + si) END) / 2.0 AS smu_string_mean,
+    2.0 AS smu_total_strings
+  FROM events, (SELECT i, CASE WHEN i = 1 THEN 1 ELSE 0 END AS si FROM range(4) r(i)) b) u""")
+def q_unpivot_inverters(spark, sf):
+    """PRJ3 + PRJ4 + PRJ5: wide inverter blocks -> rows in one pass; inverters without own SMU use smu[0]."""
+    wide = wide_from_events(spark, sf)
+    long = unpivot_inverters(wide, "Plant_1", F.lit("L0"), carry=["timestamp_id"])
+    return rounded(long.select(F.col("timestamp_id").cast("long").alias("event_id"), "inverter_idx", "inv_power",
+                               "inv_temp", "smu_string_mean", "smu_total_strings"))
+
+
+@register("union_by_name", """SELECT * FROM (
+  SELECT event_id, value AS inv_power FROM events WHERE event_type = 'error'
+  UNION ALL BY NAME
+  SELECT event_id, ts AS datetime, value AS inv_temp FROM events WHERE event_type <> 'error')""")
+def q_union_by_name(spark, sf):
+    """SO1: frames with different columns combined by name, missing columns NULL."""
+    e = read_table(spark, sf, "events", ["event_id", "ts", "value", "event_type"])
+    a = e.where(F.col("event_type") == "error").select("event_id", F.col("value").alias("inv_power"))
+    b = e.where(F.col("event_type") != "error").select("event_id", F.col("ts").alias("datetime"),
+                                                        F.col("value").alias("inv_temp"))
+    return a.unionByName(b, allowMissingColumns=True)
