@@ -12,7 +12,8 @@ from . import sql_twins as S
 from .catalog import r6, register, rounded, sql_round6
 from .feature_queries import FEATURED_COLS, KEYS, _FEATURED_DOUBLES
 from ..session import materialize
-from .featurize import featured_from_events
+from .featurize import featured_from_events  # noqa: F401
+from .store import featured_table
 
 INT_COLS = {"inverter_idx", "hour", "day_of_week", "month", "is_daytime", "alarm_active",
             "target_binary", "target_multiclass"}
@@ -29,8 +30,8 @@ def _q(base: str, body: str) -> str:
 
 
 def featured(spark, sf):
-    """The featured table, checkpointed: derived queries plan against the stored table."""
-    return materialize(featured_from_events(spark, sf))
+    """The stored featured table (SRC6/SRC7): built once per source snapshot, then read."""
+    return featured_table(spark, sf)
 
 
 def scored(spark, sf):

@@ -176,8 +176,9 @@ def _featured_sql_cols() -> str:
 
 @register("featured_table", _sel(FEATURED, _featured_sql_cols(), "featured"))
 def q_featured_table(spark, sf):
-    """Pipeline A end to end: the full featured table (88 columns)."""
-    return rounded(featured_from_events(spark, sf).select(*FEATURED_COLS))
+    """Pipeline A end to end: the full featured table (88 columns), as stored (SRC6/SRC7)."""
+    from .store import featured_table
+    return rounded(featured_table(spark, sf).select(*FEATURED_COLS))
 
 
 @register("target_distribution", _sel(FEATURED,

@@ -15,6 +15,7 @@ from ..schema import KEY_FEATURES
 from ..session import materialize
 from .analysis_queries import AVAILABLE_KEYS, featured
 from .catalog import register, rounded
+from .store import baseline_table
 from .feature_queries import KEYS
 
 QUICK = gbt.BoostParams(max_iter=20)
@@ -60,7 +61,7 @@ def q_batch_score(spark, sf):
     d = training_frame(spark, sf)
     models = gbt.train_multiclass(d, AVAILABLE_KEYS, params=QUICK)
     nodes = materialize(iforest.fit(d, AVAILABLE_KEYS, KEYS, n_trees=100))
-    base = materialize(matrix.healthy_baseline(feat, digits=6))
+    base = baseline_table(spark, sf)
     dense = serving.complete_readings(serving.readings_from_featured(feat), base, KEY_FEATURES)
     scored = gbt.score_multiclass(models, dense)
     scored = iforest.add_anomaly_scores(scored, nodes, AVAILABLE_KEYS, contamination=0.15)

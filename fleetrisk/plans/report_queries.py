@@ -14,6 +14,7 @@ from ..sources.tables import read_table
 from .analysis_queries import (AVAILABLE_KEYS, BASELINE_SQL, FEATURED_SQL, SCORED_SQL, _LATEST_SQL, featured,
                                scored)
 from ..session import materialize
+from .store import baseline_table
 from .catalog import register, round6, rounded, sql_round6
 from .feature_queries import KEYS
 
@@ -250,7 +251,7 @@ def attribution_df(spark, sf) -> DataFrame:
     feature from its healthy median, scaled by (|median| + 1), rounded to 6 places."""
     feat = featured(spark, sf)
     f = ranking.global_positions(feat, out="row_id")
-    base = matrix.healthy_baseline(feat, digits=None)
+    base = baseline_table(spark, sf)
     long = matrix.unpivot(f.select("row_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
                                                for c in AVAILABLE_KEYS]), ["row_id"], AVAILABLE_KEYS)
     j = long.join(F.broadcast(base), "feature")  # one row per feature
@@ -295,7 +296,7 @@ FROM (VALUES {", ".join(f"({i}, '{f}')" for i, f in enumerate(KEY_FEATURES))}) k
 LEFT JOIN baseline b ON b.feature = k.feature"""))
 def q_feature_catalogue(spark, sf):
     """RP5: model feature list in order with healthy baseline values."""
-    base = matrix.healthy_baseline(featured(spark, sf), digits=None)
+    base = baseline_table(spark, sf)
     cat = spark.createDataFrame([(i, f) for i, f in enumerate(KEY_FEATURES)], "position int, feature string")
     return rounded(cat.join(F.broadcast(base), "feature", "left").select(
         "position", "feature", F.col("median").alias("baseline")))
@@ -304,7 +305,7 @@ def q_feature_catalogue(spark, sf):
 # ------------------------------------------------------------ serving ---
 def serving_inputs(spark, sf):
     feat = featured(spark, sf)
-    return serving.readings_from_featured(feat), matrix.healthy_baseline(feat, digits=None)
+    return serving.readings_from_featured(feat), baseline_table(spark, sf)
 
 
 def _given_sql(f: str) -> str:
