@@ -70,3 +70,32 @@ def q_batch_score(spark, sf):
                          "risk_class", (F.col("is_anomaly") == 1).alias("is_anomaly"),
                          F.round("anomaly_score", 4).alias("anomaly_score"),
                          risk.recommendation(lvl).alias("recommendation"))
+
+
+def _explained(spark, sf):
+    from ..models import explain
+    d = training_frame(spark, sf)
+    model = gbt.train_binary(d, AVAILABLE_KEYS, params=QUICK)
+    nodes = explain.gbt_nodes(spark, model.stages[-1])
+    return explain.attribute(d, nodes, AVAILABLE_KEYS, KEYS)
+
+
+@register("explain_global")
+def q_explain_global(spark, sf):
+    """ML14: top-10 features by mean |path attribution| of the binary GBT over all rows."""
+    from pyspark.sql import Window
+    a = _explained(spark, sf)
+    g = a.groupBy("feature").agg(F.avg(F.abs("impact")).alias("mean_abs_impact"))
+    ranked = g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs_impact"), "feature")))
+    return ranked.where(F.col("rank") <= 10)  # one row per feature before the cut
+
+
+@register("explain_rows")
+def q_explain_rows(spark, sf):
+    """ML15 + SK5 + FN14: per-row top-5 drivers (value, signed impact, direction) and base value."""
+    from ..operators import ranking
+    a = _explained(spark, sf)
+    top = ranking.top_k_per_group(a, 5, KEYS, [F.desc(F.abs(F.col("impact"))), F.asc("feature")])
+    return top.select(*KEYS, "rank", "feature", F.round("value", 4).alias("value"),
+                      F.round("impact", 4).alias("impact"), risk.direction(F.col("impact")).alias("direction"),
+                      "base_value")

@@ -34,3 +34,16 @@ def test_iforest_flags_outlier(spark):
     out = iforest.add_anomaly_scores(df, nodes, ["a", "b"], contamination=0.05, psi=128)
     worst = out.orderBy("anomaly_score").first()
     assert worst.k == 999 and worst.is_anomaly == 1
+
+
+def test_path_attribution_additivity(spark):
+    from pyspark.ml.functions import vector_to_array
+    from fleetrisk.models import explain, gbt
+    rows = [(i, float(i % 7), float((i * 3) % 11), int((i % 7) > 3 or (i % 11) == 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, target_binary int")
+    model = gbt.train_binary(df, ["a", "b"], params=gbt.BoostParams(max_iter=5, max_depth=3))
+    nodes = explain.gbt_nodes(spark, model.stages[-1])
+    att = explain.attribute(df, nodes, ["a", "b"], ["k"])
+    sums = {r.k: (r.s, r.b) for r in att.groupBy("k").agg(F.sum("impact").alias("s"), F.first("base_value").alias("b")).collect()}
+    margin = {r.k: r.m for r in model.transform(df).select("k", vector_to_array("rawPrediction")[1].alias("m")).collect()}
+    assert all(abs(sums[k][0] + sums[k][1] - margin[k]) < 1e-9 for k in margin)
