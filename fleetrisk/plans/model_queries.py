@@ -99,3 +99,21 @@ def q_explain_rows(spark, sf):
     return top.select(*KEYS, "rank", "feature", F.round("value", 4).alias("value"),
                       F.round("impact", 4).alias("impact"), risk.direction(F.col("impact")).alias("direction"),
                       "base_value")
+
+
+@register("training_metrics")
+def q_training_metrics(spark, sf):
+    """ML16: anomaly features -> walk-forward CV (binary + 3-class) -> hold-out -> attribution.
+
+    Output: long metrics table (section, metric, value) over CV means, hold-out and top features.
+    Quick settings: 5 boosting rounds, 50 isolation trees.
+    """
+    from .training import run_training
+    res = run_training(spark, featured(spark, sf), params=gbt.BoostParams(max_iter=5), n_trees=50,
+                       save_dir=None)
+    cv = res["aggregate"].select(F.concat("task", F.lit("_cv")).alias("section"), "metric",
+                                 F.col("mean").alias("value"))
+    ho = res["holdout"].select(F.lit("holdout_binary").alias("section"), "metric", "value")
+    tf = res["top_features"].select(F.lit("top_features").alias("section"), F.col("feature").alias("metric"),
+                                    F.col("mean_abs_impact").alias("value"))
+    return cv.unionByName(ho).unionByName(tf)
