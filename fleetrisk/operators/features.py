@@ -184,20 +184,19 @@ def add_kpi_features(df: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- labels ---
-def event_columns(df: DataFrame) -> tuple[Column, Column]:
+def event_columns(df: DataFrame, mean24: str = "inv_power_24h_mean") -> tuple[Column, Column]:
     cols = set(df.columns)
     power = F.col("inv_power") if "inv_power" in cols else F.lit(None).cast("double")
     alarm = F.col("inv_alarm_code") if "inv_alarm_code" in cols else F.lit(None).cast("double")
     day = F.col("is_daytime") if "is_daytime" in cols else F.lit(0)
     shutdown = kpi.shutdown_event(alarm, power, day)
-    degradation = (kpi.degradation_event(power, F.col("inv_power_24h_mean"))
-                   if "inv_power_24h_mean" in cols else F.lit(0))
+    degradation = (kpi.degradation_event(power, F.col(mean24)) if mean24 in cols else F.lit(0))
     return shutdown, degradation
 
 
-def add_events(df: DataFrame) -> DataFrame:
+def add_events(df: DataFrame, mean24: str = "inv_power_24h_mean") -> DataFrame:
     """FN10, FN11 as columns ``shutdown_event`` / ``degradation_event``."""
-    shutdown, degradation = event_columns(df)
+    shutdown, degradation = event_columns(df, mean24)
     return df.select("*", shutdown.alias("shutdown_event"), degradation.alias("degradation_event"))
 
 
@@ -207,14 +206,14 @@ def forward_any(c: str, n_rows: int, spec: OrderSpec = PLAIN) -> Column:
 
 
 def add_targets(df: DataFrame, window_days: int = 7, spec: OrderSpec = PLAIN,
-                keep_events: bool = False) -> DataFrame:
+                keep_events: bool = False, mean24: str = "inv_power_24h_mean") -> DataFrame:
     """FN12 + WN5: forward-looking binary and 3-class targets.
 
     Events ahead are counted from prefix sums (lead minus lag, O(rows)) rather
     than by re-scanning a 168-row frame for every row.
     """
     n = window_days * 24
-    ev = add_events(df)
+    ev = add_events(df, mean24)
     runs = ev.select("*", running_sum(F.col("shutdown_event"), spec).alias("_s_run"),
                      running_sum(F.col("degradation_event"), spec).alias("_d_run"))
     ahead = runs.select("*", forward_count(F.col("_s_run"), n, spec).alias("_s_ahead"),

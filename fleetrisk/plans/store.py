@@ -20,7 +20,7 @@ from ..sources.sinks import read_featured, write_featured
 from ..sources.tables import table_path
 from .featurize import featured_from_events
 
-STORE_VERSION = "1"
+STORE_VERSION = "2"
 
 
 def _fs(spark: SparkSession, path: str):
