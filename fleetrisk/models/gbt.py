@@ -59,8 +59,8 @@ def train_binary(df: DataFrame, features: Sequence[str], label: str = "target_bi
 
 def score_binary(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
-    return out.withColumn("p_failure", vector_to_array(F.col("probability"))[1]).drop(
-        "features", "rawPrediction", "probability")
+    return (out.withColumn("p_failure", vector_to_array(F.col("probability"))[1])
+            .withColumnRenamed("prediction", "pred_binary").drop("features", "rawPrediction", "probability"))
 
 
 def train_multiclass(df: DataFrame, features: Sequence[str], label: str = "target_multiclass",

@@ -69,3 +69,8 @@ def top_k_per_group(df: DataFrame, k: int, group: Sequence[str], by: Sequence[Co
 def stable_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """SK6: deterministic sample of ``n`` rows: smallest seeded hashes of the key."""
     return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(n)
+
+
+def readings_of(df: DataFrame, entity: str, key: str = "inverter_id", order: str = "datetime") -> DataFrame:
+    """PRJ13: one entity's readings in time order (the filter reaches the parquet scan)."""
+    return df.where(F.col(key) == F.lit(entity)).orderBy(order)

@@ -31,7 +31,7 @@ def q_gbt_binary(spark, sf):
     d = training_frame(spark, sf)
     model = gbt.train_binary(d, AVAILABLE_KEYS, params=QUICK)
     out = gbt.score_binary(model, d)
-    return rounded(out.select(*KEYS, "target_binary", F.col("prediction").cast("int").alias("prediction"),
+    return rounded(out.select(*KEYS, "target_binary", F.col("pred_binary").cast("int").alias("prediction"),
                               "p_failure"))
 
 
@@ -117,3 +117,17 @@ def q_training_metrics(spark, sf):
     tf = res["top_features"].select(F.lit("top_features").alias("section"), F.col("feature").alias("metric"),
                                     F.col("mean_abs_impact").alias("value"))
     return cv.unionByName(ho).unionByName(tf)
+
+
+@register("score_latest")
+def q_score_latest(spark, sf):
+    """ML18 + WN6/WN7: each inverter's last 10 stored readings scored by the binary and 3-class models."""
+    from ..operators import ranking
+    d = training_frame(spark, sf)
+    binary = gbt.train_binary(d, AVAILABLE_KEYS, params=QUICK)
+    multi = gbt.train_multiclass(d, AVAILABLE_KEYS, params=QUICK)
+    feat = featured(spark, sf).select(*KEYS, *AVAILABLE_KEYS)
+    recent = matrix.pad_to_model(ranking.last_n_per_entity(feat, 10), AVAILABLE_KEYS, keep=KEYS + ["reading_no"])
+    s = gbt.score_multiclass(multi, gbt.score_binary(binary, recent))
+    return s.select(*KEYS, "reading_no", F.round("p_failure", 6).alias("failure_prob"), "risk_class",
+                    risk.risk_display(F.col("risk_class")).alias("risk_label"))

@@ -43,7 +43,7 @@ def run_training(spark: SparkSession, featured: DataFrame, params: gbt.BoostPara
             continue
         train, test = x.where(F.col("row_pos") < start), x.where(F.col("test_fold") == k)
         bm = gbt.score_binary(gbt.train_binary(train, feats, params=params), test)
-        b = metrics.binary_metrics(bm, "target_binary", "prediction").crossJoin(
+        b = metrics.binary_metrics(bm, "target_binary", "pred_binary").crossJoin(
             metrics.roc_auc(bm, "target_binary", "p_failure"))
         per_fold.append(_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]))
         mm = gbt.score_multiclass(gbt.train_multiclass(train, feats, params=params), test)
@@ -56,7 +56,7 @@ def run_training(spark: SparkSession, featured: DataFrame, params: gbt.BoostPara
     train, test = x.where(F.col("is_train")), x.where(~F.col("is_train"))
     final_bin = gbt.train_binary(train, feats, params=params)
     scored = gbt.score_binary(final_bin, test)
-    hold = metrics.binary_metrics(scored, "target_binary", "prediction").crossJoin(
+    hold = metrics.binary_metrics(scored, "target_binary", "pred_binary").crossJoin(
         metrics.roc_auc(scored, "target_binary", "p_failure"))
     holdout = metrics.to_long(hold, [], ["precision", "recall", "f1", "auc"])
     final_multi = gbt.train_multiclass(train, feats, params=params)
@@ -76,3 +76,29 @@ def run_training(spark: SparkSession, featured: DataFrame, params: gbt.BoostPara
         write_json_table(holdout, f"{save_dir}/metrics_holdout")
         write_json_table(top, f"{save_dir}/top_features")
     return out
+
+
+def stratified_cv(featured: DataFrame, features: Sequence[str], params: gbt.BoostParams = gbt.LIGHT,
+                  n_splits: int = 5, seed: int = 42, keys: Sequence[str] = ("inverter_id", "datetime")) -> DataFrame:
+    """ML3 + ML8: lightweight models under shuffled stratified k-fold CV.
+
+    Binary: P/R/F1/AUC per fold; 3-class (balanced weights): weighted P/R/F1.
+    Returns the long per-fold table (task, fold, metric, value).
+    """
+    keys = list(keys)
+    x = matrix.key_feature_frame(featured, features, keep=keys)
+    x = materialize(folds.stratified_folds(x, "target_binary", keys, n_splits, seed))
+    rows = []
+    for k in range(n_splits):
+        train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
+        bm = gbt.score_binary(gbt.train_binary(train, list(features), params=params), test)
+        b = metrics.binary_metrics(bm, "target_binary", "pred_binary").crossJoin(
+            metrics.roc_auc(bm, "target_binary", "p_failure"))
+        rows.append(_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]))
+        mm = gbt.score_multiclass(gbt.train_multiclass(train, list(features), params=params), test)
+        w = metrics.weighted_metrics(mm, "target_multiclass", "risk_class")
+        rows.append(_fold_rows("multiclass", k + 1, w, ["precision_weighted", "recall_weighted", "f1_weighted"]))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

@@ -47,3 +47,24 @@ def test_path_attribution_additivity(spark):
     sums = {r.k: (r.s, r.b) for r in att.groupBy("k").agg(F.sum("impact").alias("s"), F.first("base_value").alias("b")).collect()}
     margin = {r.k: r.m for r in model.transform(df).select("k", vector_to_array("rawPrediction")[1].alias("m")).collect()}
     assert all(abs(sums[k][0] + sums[k][1] - margin[k]) < 1e-9 for k in margin)
+
+
+def test_stratified_cv_light(spark):
+    from fleetrisk.models import gbt
+    from fleetrisk.plans.store import featured_table
+    from fleetrisk.plans.training import stratified_cv
+    f = featured_table(spark, "/root/testdata/sf0.001")
+    out = stratified_cv(f, ["inv_power", "inv_temp", "alarm_count_7d", "hour"], gbt.BoostParams(max_iter=2, max_depth=3))
+    rows = out.collect()
+    assert len(rows) == 5 * 7 and all(0.0 <= r.value <= 1.0 for r in rows)
+
+
+def test_entity_filter_pushdown(spark):
+    from fleetrisk.operators.ranking import readings_of
+    from fleetrisk.plans.store import featured_table
+    f = featured_table(spark, "/root/testdata/sf0.001", columns=["inverter_id", "datetime", "inv_power"])
+    r = readings_of(f, "Plant_1_MAC0_INV0")
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(inverter_id), EqualTo(inverter_id,Plant_1_MAC0_INV0)]" in plan
+    ts = [x.datetime for x in r.collect()]
+    assert ts == sorted(ts) and len(ts) > 0
