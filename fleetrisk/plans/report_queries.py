@@ -398,7 +398,20 @@ _TOPIC_SQL = (f"CASE WHEN {_contains_sql(text.FEATURE_WORDS)} THEN 'features' "
               f"WHEN {_contains_sql(text.RISK_WORDS)} THEN 'risk' ELSE 'default' END")
 
 
-@register("fallback_answers")
+_FALLBACK_SQL = (FOLDED_SQL + ATTR_SQL[len(FEATURED_SQL):] + f"""
+SELECT m.conv_id, m.turn, m.topic,
+  CASE m.topic WHEN 'features' THEN printf({_lit(text.FEATURE_ANSWER)}, tf.feats)
+    WHEN 'performance' THEN printf({_lit(text.PERFORMANCE_ANSWER)}, cv.f1, cv.auc, cv.prec)
+    WHEN 'risk' THEN {_lit(text.RISK_ANSWER)} ELSE {_lit(text.DEFAULT_ANSWER)} END AS answer
+FROM (SELECT conv_id, turn, {_TOPIC_SQL} AS topic FROM conversations WHERE role = 'user') m,
+  (SELECT string_agg(feature, ', ' ORDER BY rk) AS feats FROM (
+     SELECT feature, row_number() OVER (ORDER BY mi DESC, feature) AS rk
+     FROM (SELECT feature, avg(abs(impact)) AS mi FROM attr GROUP BY 1) g) r WHERE rk <= 5) tf,
+  (SELECT avg(value) FILTER (WHERE metric = 'f1') AS f1, avg(value) FILTER (WHERE metric = 'auc') AS auc,
+     avg(value) FILTER (WHERE metric = 'precision') AS prec FROM series WHERE task = 'binary') cv""")
+
+
+@register("fallback_answers", _FALLBACK_SQL)
 def q_fallback_answers(spark, sf):
     """TX2: topic rules; answers interpolate the top-5 attribution features and CV means."""
     top = attribution_df(spark, sf).groupBy("feature").agg(F.avg(F.abs("impact")).alias("m"))
