@@ -74,11 +74,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df, eager: bool = True):
-    """Cut lineage: reliable checkpoint into the shared ``spark.checkpoint.dir``.
+    """Cut lineage: write ``df`` as a parquet table in the shared ``spark.checkpoint.dir``
+    and continue from a scan of it.
 
-    Used where one computed table feeds several plans (folds, metrics, boards),
-    so each consumer reads the stored result instead of re-planning and
-    re-running the whole upstream job; it also survives executor loss.
+    Used where one computed table feeds several plans (positions, folds,
+    metrics, boards), so each consumer reads the stored result instead of
+    re-planning and re-running the upstream job; the table survives executor
+    loss. Unlike ``Dataset.checkpoint`` (which runs its plan once for the action
+    and again to write), the table is computed once, and the scan gives column
+    pruning and real size statistics to AQE. ``eager`` is kept for call-site
+    compatibility; the write always happens here.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"tables/{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
