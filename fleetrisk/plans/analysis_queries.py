@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds, matrix, metrics, ranking, risk, serving, text
-from ..operators.features import add_events
+from ..operators import folds, matrix, ranking, risk
 from ..schema import EXCLUDE_COLS, KEY_FEATURES, RISK_RECOMMENDATIONS
-from ..sources.tables import read_table
 from . import sql_twins as S
-from .catalog import r6, register, rounded, sql_round6
-from .feature_queries import FEATURED_COLS, KEYS, _FEATURED_DOUBLES
-from ..session import materialize
-from .featurize import featured_from_events  # noqa: F401
+from .catalog import register, rounded, sql_round6
+from .feature_queries import FEATURED_COLS, KEYS
 from .store import featured_table
 
 INT_COLS = {"inverter_idx", "hour", "day_of_week", "month", "is_daytime", "alarm_active",

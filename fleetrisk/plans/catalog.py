@@ -42,10 +42,18 @@ def round6(c):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round every floating column so engines agree beyond summation order."""
-    return df.select(*[round6(F.col(f.name)).alias(f.name)
-                       if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
-                       for f in df.schema.fields])
+    """Round every floating column so engines agree beyond summation order.
+
+    Built as one ``selectExpr`` (a single JVM call) rather than a Column tree per field.
+    """
+    exprs = []
+    for f in df.schema.fields:
+        q = "`" + f.name.replace("`", "``") + "`"
+        if isinstance(f.dataType, (DoubleType, FloatType)):
+            exprs.append(f"floor({q} * 1000000.0D + {ROUND_OFFSET}D) / 1000000.0D AS {q}")
+        else:
+            exprs.append(q)
+    return df.selectExpr(*exprs)
 
 
 def sql_round6(expr: str) -> str:

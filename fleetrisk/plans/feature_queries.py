@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.features import add_events, add_kpi_features, add_time_features
-from ..operators.hourly import aggregate_hourly
 from ..schema import ROLLING_COLS, WINDOWS
 from ..sources.events_fixture import load_readings
 from . import sql_twins as S

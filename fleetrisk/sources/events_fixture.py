@@ -7,11 +7,8 @@ The mapping is a pure projection of the whole table: no row is dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.numeric import row_mean, row_std, row_zero_count
-from ..functions.timefns import ntz
 from .tables import read_table
 
 N_INVERTERS = 32
@@ -19,8 +16,15 @@ N_INVERTERS = 32
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 
-def _d(c: Column) -> Column:
-    return c.cast("double")
+def _row_stats_sql(strings: list[str]) -> tuple[str, str, str]:
+    """SQL text of the PRJ5 row statistics (mean, sample std, zero count) over ``strings``."""
+    n = " + ".join(f"(CASE WHEN {s} IS NULL THEN 0 ELSE 1 END)" for s in strings)
+    total = " + ".join(f"coalesce({s}, 0.0D)" for s in strings)
+    mean = f"(CASE WHEN ({n}) > 0 THEN ({total}) / ({n}) END)"
+    ss = " + ".join(f"coalesce(({s} - {mean}) * ({s} - {mean}), 0.0D)" for s in strings)
+    std = f"(CASE WHEN ({n}) >= 2 THEN sqrt(({ss}) / (({n}) - 1)) END)"
+    zeros = "CAST(" + " + ".join(f"(CASE WHEN {s} = 0 THEN 1 ELSE 0 END)" for s in strings) + " AS DOUBLE)"
+    return mean, std, zeros
 
 
 def readings_from_events(events: DataFrame, with_strings: bool = False) -> DataFrame:
@@ -28,42 +32,38 @@ def readings_from_events(events: DataFrame, with_strings: bool = False) -> DataF
 
     Output columns follow the loader's layout: ``datetime``, the common meter /
     sensor signals, the ``inv_*`` block, the SMU row statistics, then metadata.
+    Written as SQL expressions: one JVM call per column when the plan is built.
     """
-    eid = F.col("event_id")
-    val = F.col("value")
-    idx = (F.col("user_id") % N_INVERTERS).cast("int")
-    plant = F.concat(F.lit("Plant_"), (idx % 3 + 1).cast("string"))
-    mac = F.concat(F.lit("MAC"), (idx % 6).cast("string"))
-    ts = ntz(F.col("ts"))
-    s1 = F.when(eid % 3 == 0, F.lit(0.0)).otherwise(val / 10)
-    s2 = F.when(eid % 5 == 0, F.lit(None).cast("double")).otherwise(val / 20)
-    s3 = F.when(eid % 7 == 0, F.lit(0.0)).otherwise(val / 30)
-    strings = [s1, s2, s3]
+    strings = ["_s1", "_s2", "_s3"]
+    mean, std, zeros = _row_stats_sql(strings)
+    staged = events.selectExpr(
+        "*", f"CAST(user_id % {N_INVERTERS} AS INT) AS _idx", "CAST(ts AS TIMESTAMP_NTZ) AS _ts",
+        "CASE WHEN event_id % 3 = 0 THEN 0.0D ELSE value / 10 END AS _s1",
+        "CASE WHEN event_id % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE value / 20 END AS _s2",
+        "CASE WHEN event_id % 7 = 0 THEN 0.0D ELSE value / 30 END AS _s3")
+    plant = "concat('Plant_', CAST(_idx % 3 + 1 AS STRING))"
+    mac = "concat('MAC', CAST(_idx % 6 AS STRING))"
     cols = [
-        ts.alias("datetime"),
-        _d(15 + eid % 20).alias("ambient_temp"),
-        _d(49.5 + (eid % 11) / 10.0).alias("meter_freq"),
-        F.when(eid % 13 == 0, F.lit(None).cast("double")).otherwise(0.8 + (eid % 21) / 100.0).alias("meter_pf"),
-        _d(230 + eid % 9).alias("meter_v_r"),
-        _d(231 + eid % 7).alias("meter_v_y"),
-        F.when(eid % 17 == 0, F.lit(None).cast("double")).otherwise(_d(229 + eid % 5)).alias("meter_v_b"),
-        F.when(val < 0.5, F.lit(0.0)).otherwise(val * 10).alias("inv_power"),
-        F.when((F.col("event_type") == "error") & (val >= 200), F.lit(1.0)).otherwise(F.lit(0.0)).alias("inv_alarm_code"),
-        (20 + (eid * 7 % 400) / 10.0).alias("inv_temp"),
-        _d(F.hour(ts) * 10 + F.minute(ts) / 6.0).alias("inv_kwh_today"),
-        _d(eid % 4).alias("inv_op_state"),
-        row_mean(strings).alias("smu_string_mean"),
-        row_std(strings).alias("smu_string_std"),
-        row_zero_count(strings).alias("smu_num_zero"),
-        F.lit(float(len(strings))).alias("smu_total_strings"),
-        plant.alias("plant_id"),
-        mac.alias("logger_mac"),
-        idx.alias("inverter_idx"),
-        F.concat(plant, F.lit("_"), mac, F.lit("_INV"), idx.cast("string")).alias("inverter_id"),
+        "_ts AS datetime",
+        "CAST(15 + event_id % 20 AS DOUBLE) AS ambient_temp",
+        "49.5D + CAST(event_id % 11 AS DOUBLE) / 10.0D AS meter_freq",
+        "CASE WHEN event_id % 13 = 0 THEN CAST(NULL AS DOUBLE) ELSE 0.8D + CAST(event_id % 21 AS DOUBLE) / 100.0D END AS meter_pf",
+        "CAST(230 + event_id % 9 AS DOUBLE) AS meter_v_r",
+        "CAST(231 + event_id % 7 AS DOUBLE) AS meter_v_y",
+        "CASE WHEN event_id % 17 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(229 + event_id % 5 AS DOUBLE) END AS meter_v_b",
+        "CASE WHEN value < 0.5 THEN 0.0D ELSE value * 10 END AS inv_power",
+        "CASE WHEN event_type = 'error' AND value >= 200 THEN 1.0D ELSE 0.0D END AS inv_alarm_code",
+        "20.0D + CAST(event_id * 7 % 400 AS DOUBLE) / 10.0D AS inv_temp",
+        "CAST(hour(_ts) * 10 AS DOUBLE) + CAST(minute(_ts) AS DOUBLE) / 6.0D AS inv_kwh_today",
+        "CAST(event_id % 4 AS DOUBLE) AS inv_op_state",
+        f"{mean} AS smu_string_mean", f"{std} AS smu_string_std", f"{zeros} AS smu_num_zero",
+        f"{float(len(strings))}D AS smu_total_strings",
+        f"{plant} AS plant_id", f"{mac} AS logger_mac", "_idx AS inverter_idx",
+        f"concat({plant}, '_', {mac}, '_INV', CAST(_idx AS STRING)) AS inverter_id",
     ]
     if with_strings:
-        cols += [eid.alias("event_id"), s1.alias("smu_1"), s2.alias("smu_2"), s3.alias("smu_3")]
-    return events.select(*cols)
+        cols += ["event_id", "_s1 AS smu_1", "_s2 AS smu_2", "_s3 AS smu_3"]
+    return staged.selectExpr(*cols)
 
 
 def load_readings(spark: SparkSession, sf_dir: str, with_strings: bool = False) -> DataFrame:
