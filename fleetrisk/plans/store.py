@@ -22,6 +22,28 @@ from .featurize import featured_from_events
 
 STORE_VERSION = "2"
 
+# Modules whose code defines the stored table; their text is part of the key,
+# so a changed feature pipeline never reads a table written by an older one.
+_PIPELINE_MODULES = ["plans/featurize.py", "operators/features.py", "operators/chunking.py",
+                     "operators/hourly.py", "operators/matrix.py", "operators/stats.py",
+                     "sources/events_fixture.py", "sources/sinks.py", "functions/kpi.py",
+                     "functions/numeric.py", "functions/timefns.py", "schema.py"]
+
+
+def _code_fingerprint() -> str:
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for rel in _PIPELINE_MODULES:
+        try:
+            with open(os.path.join(root, rel), "rb") as fh:
+                h.update(fh.read())
+        except OSError:
+            h.update(rel.encode())
+    return h.hexdigest()[:12]
+
+
+CODE_FINGERPRINT = _code_fingerprint()
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -37,7 +59,7 @@ def _source_key(spark: SparkSession, sf_dir: str, window_days: int) -> str:
         ident = f"{src}|{st.getLen()}|{st.getModificationTime()}"
     except Exception:
         ident = f"{os.path.abspath(src)}|{os.path.getsize(src)}|{os.path.getmtime(src)}"
-    return hashlib.sha1(f"{STORE_VERSION}|{ident}|{window_days}".encode()).hexdigest()[:16]
+    return hashlib.sha1(f"{STORE_VERSION}|{CODE_FINGERPRINT}|{ident}|{window_days}".encode()).hexdigest()[:16]
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
