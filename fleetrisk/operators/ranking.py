@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chunking as ch
+from .stats import bucketed_prefix
 
 
 def with_entity_positions(df: DataFrame, key: str = "inverter_id", order: str = "datetime") -> DataFrame:
@@ -25,13 +26,14 @@ def global_positions(df: DataFrame, key: str = "inverter_id", order: str = "date
     """WN8: position in the (key, order) sort of the whole table.
 
     = per-entity position + rows of all entities sorting before it. The entity
-    offsets come from a prefix sum over the per-entity count table (one row per
-    entity), which is joined back.
+    offsets are a distributed prefix sum over the per-entity count table: it is
+    range-partitioned by key, the (order-preserving) partition index is the
+    bucket, bucket totals are prefix-summed and each bucket ranks its own keys.
     """
     pos = ch.add_positions(df, key=key, order=order)
     counts = pos.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_eoff"))
+    ranged = counts.repartitionByRange(key).withColumn("_rb", F.spark_partition_id())
+    offsets = bucketed_prefix(ranged, key, ["_n"], F.col("_rb")).select(key, F.col("_n_before").alias("_eoff"))
     return (pos.join(offsets, key)
             .withColumn(out, (F.col("_eoff") + F.col(ch.POS)).cast("long"))
             .drop("_eoff", ch.POS))

@@ -68,3 +68,19 @@ def test_entity_filter_pushdown(spark):
     assert "PushedFilters: [IsNotNull(inverter_id), EqualTo(inverter_id,Plant_1_MAC0_INV0)]" in plan
     ts = [x.datetime for x in r.collect()]
     assert ts == sorted(ts) and len(ts) > 0
+
+
+def test_global_positions_brute_force(spark):
+    import datetime as dt
+    from pyspark.sql import Window
+    from fleetrisk.operators.ranking import global_positions
+    rows = [(f"e{e:03d}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)) for e in range(60) for h in range(e % 7 + 1)]
+    df = spark.createDataFrame(rows, "inverter_id string, datetime timestamp_ntz")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.inverter_id, r.datetime): r.row_pos for r in global_positions(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {(r.inverter_id, r.datetime): r.p for r in df.select(
+        "*", (F.row_number().over(Window.orderBy("inverter_id", "datetime")) - 1).alias("p")).collect()}
+    assert got == want
