@@ -291,15 +291,18 @@ def q_topk_row(spark, sf):
                             risk.direction(F.col("impact")).alias("direction")))
 
 
-@register("feature_catalogue", _q(FEATURED_SQL + BASELINE_SQL, f"""SELECT k.position, k.feature, {R('b.median')} AS baseline
+@register("feature_catalogue", _q(FEATURED_SQL + BASELINE_SQL, f"""SELECT k.position, k.feature, {R('b.median')} AS baseline,
+  array_to_string(list_transform(string_split(replace(k.feature, '_', ' '), ' '),
+    lambda w: upper(w[1]) || lower(w[2:])), ' ') AS display_name
 FROM (VALUES {", ".join(f"({i}, '{f}')" for i, f in enumerate(KEY_FEATURES))}) k(position, feature)
 LEFT JOIN baseline b ON b.feature = k.feature"""))
 def q_feature_catalogue(spark, sf):
-    """RP5: model feature list in order with healthy baseline values."""
+    """RP5 + FN17: model feature list in order with healthy baseline values and display names."""
     base = baseline_table(spark, sf)
     cat = spark.createDataFrame([(i, f) for i, f in enumerate(KEY_FEATURES)], "position int, feature string")
     return rounded(cat.join(F.broadcast(base), "feature", "left").select(
-        "position", "feature", F.col("median").alias("baseline")))
+        "position", "feature", F.col("median").alias("baseline"),
+        risk.pretty_feature(F.col("feature")).alias("display_name")))
 
 
 # ------------------------------------------------------------ serving ---
