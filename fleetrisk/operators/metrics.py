@@ -37,7 +37,7 @@ def binary_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat", by: Sequence
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (),
-            buckets: int = 1024) -> DataFrame:
+            buckets: int = 65536) -> DataFrame:
     """ML10: ROC AUC with tie-averaged ranks (Mann-Whitney U); 0 when one class is absent.
 
     Rows collapse to a per-score histogram (pos, neg); negatives strictly below

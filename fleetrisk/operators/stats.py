@@ -9,42 +9,60 @@ from pyspark.sql import functions as F
 
 
 def exact_median_long(long_df: DataFrame, key: str = "feature", value: str = "value",
-                      accuracy: int = 1_000_000, band: float = 0.001) -> DataFrame:
+                      accuracy: int = 100_000, grid: int = 1000, max_band_rows: int = 2_000_000,
+                      max_rounds: int = 6) -> DataFrame:
     """Exact median of ``value`` per ``key`` on a long (key, value) table.
 
-    Pass 1 brackets each key's median with a quantile sketch
-    (``percentile_approx``, bounded memory). Pass 2 counts rows below the
-    bracket and keeps only rows inside it; pass 3 ranks the bracket rows per
-    key (a band of ~2*band of the rows, not the whole column) and picks the
-    middle one or two. NULL values are ignored. If a sketch bracket misses the
-    middle ranks the key falls back to the full value range (always exact).
+    Each round sketches the rows still inside every key's bracket with a
+    ``percentile_approx`` grid (``grid`` + 1 fixed quantiles, bounded memory,
+    rank error <= n/accuracy) and narrows the bracket to the grid points one
+    step around the key's middle rank, so it keeps ~3/grid of its rows per
+    round. Rounds repeat (a per-key table of a few numbers per round) until
+    every bracket holds at most ``max_band_rows``; then the bracket rows are
+    ranked per key -- a bounded sort whatever the table size -- and the middle
+    one or two values are averaged. A narrowed bracket is verified by exact
+    counts; if it misses the middle ranks the key keeps its previous bracket.
     Output: key, ``median``.
     """
-    v = F.col(value)
-    base = long_df.select(key, v.alias("_v")).where(F.col("_v").isNotNull())
-    bounds = base.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(F.lit(0.5 - band), F.lit(0.5 + band)), accuracy).alias("_q"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    bounds = bounds.select(key, "_n", "_min", "_max",
-                           F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"),
-                           F.floor((F.col("_n") - 1) / 2).cast("long").alias("_r1"),
-                           F.floor(F.col("_n") / 2).cast("long").alias("_r2"))
-    joined = base.join(bounds, key)  # one row per key on the right: AQE broadcasts it
-    counts = joined.groupBy(key).agg(
-        F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).alias("_below"),
-        F.sum(F.when((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")), 1).otherwise(0)).alias("_inband"))
-    ok = counts.join(bounds, key).select(
-        key, "_r1", "_r2",
-        F.when((F.col("_below") <= F.col("_r1")) & (F.col("_below") + F.col("_inband") > F.col("_r2")),
-               F.col("_lo")).otherwise(F.col("_min")).alias("_lo2"),
-        F.when((F.col("_below") <= F.col("_r1")) & (F.col("_below") + F.col("_inband") > F.col("_r2")),
-               F.col("_hi")).otherwise(F.col("_max")).alias("_hi2"))
-    banded = base.join(ok, key).where((F.col("_v") >= F.col("_lo2")) & (F.col("_v") <= F.col("_hi2")))
-    below = base.join(ok, key).groupBy(key).agg(
-        F.sum(F.when(F.col("_v") < F.col("_lo2"), 1).otherwise(0)).cast("long").alias("_b"))
-    ranked = (banded.join(below, key)
-              .withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_v")) - 1 + F.col("_b")))
+    base = long_df.select(key, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    stats = base.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # bracket per key: values in [_lo, _hi] hold ranks [_b, _b + _in); targets _r1, _r2 (0-based)
+    spark = long_df.sparkSession
+
+    def small(df: DataFrame) -> DataFrame:
+        # the bracket table has one row per key: rebuild it from its rows so the
+        # next round's plan does not carry every earlier round's plan
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    br = small(stats.select(key, "_lo", "_hi", F.lit(0).cast("long").alias("_b"), F.col("_n").alias("_in"),
+                            F.floor((F.col("_n") - 1) / 2).cast("long").alias("_r1"),
+                            F.floor(F.col("_n") / 2).cast("long").alias("_r2")))
+    pct = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
+    for _ in range(max_rounds):
+        if (br.agg(F.max("_in")).first()[0] or 0) <= max_band_rows:
+            break
+        inside = base.join(F.broadcast(br), key).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        sk = inside.groupBy(key).agg(F.percentile_approx("_v", pct, accuracy).alias("_q"))
+        i1 = F.floor((F.col("_r1") - F.col("_b")) / F.col("_in") * grid).cast("int")
+        i2 = F.ceil((F.col("_r2") - F.col("_b") + 1) / F.col("_in") * grid).cast("int")
+        cand = br.join(sk, key).select(
+            key, "_lo", "_hi", "_b", "_in", "_r1", "_r2",
+            F.element_at("_q", F.greatest(i1, F.lit(1))).alias("_nlo"),            # grid point one step below
+            F.element_at("_q", F.least(i2 + 2, F.lit(grid + 1))).alias("_nhi"))     # and one step above
+        cnt = base.join(F.broadcast(cand), key).groupBy(key).agg(
+            F.sum(((F.col("_v") >= F.col("_lo")) & (F.col("_v") < F.col("_nlo"))).cast("long")).alias("_skip"),
+            F.sum(((F.col("_v") >= F.col("_nlo")) & (F.col("_v") <= F.col("_nhi"))).cast("long")).alias("_nin"))
+        c = cand.join(cnt, key)
+        ok = ((F.col("_b") + F.col("_skip") <= F.col("_r1"))
+              & (F.col("_b") + F.col("_skip") + F.col("_nin") > F.col("_r2")))
+        nb = c.select(key, "_r1", "_r2",
+                      F.when(ok, F.col("_nlo")).otherwise(F.col("_lo")).alias("_lo"),
+                      F.when(ok, F.col("_nhi")).otherwise(F.col("_hi")).alias("_hi"),
+                      F.when(ok, F.col("_b") + F.col("_skip")).otherwise(F.col("_b")).alias("_b"),
+                      F.when(ok, F.col("_nin")).otherwise(F.col("_in")).alias("_in"))
+        br = small(nb)
+    banded = base.join(F.broadcast(br), key).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    ranked = banded.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_v")) - 1 + F.col("_b"))
     mid = ranked.where((F.col("_rank") == F.col("_r1")) | (F.col("_rank") == F.col("_r2")))
     return mid.groupBy(key).agg(F.avg("_v").alias("median"))
 

@@ -84,3 +84,16 @@ def test_global_positions_brute_force(spark):
     want = {(r.inverter_id, r.datetime): r.p for r in df.select(
         "*", (F.row_number().over(Window.orderBy("inverter_id", "datetime")) - 1).alias("p")).collect()}
     assert got == want
+
+
+def test_exact_median_rounds_match_brute_force(spark):
+    import statistics
+    from fleetrisk.operators.stats import exact_median_long
+    rows = [("a", float((i * 7919) % 1013) / 7.0) for i in range(5001)] + [("b", float(i % 5)) for i in range(4000)] \
+        + [("c", 1.0), ("c", None)]
+    df = spark.createDataFrame(rows, "feature string, value double")
+    # tiny row budget forces several bracketing rounds
+    got = {r.feature: r.median for r in exact_median_long(df, max_band_rows=50, grid=20, accuracy=1000).collect()}
+    for k in ("a", "b", "c"):
+        want = statistics.median([v for f, v in rows if f == k and v is not None])
+        assert abs(got[k] - want) < 1e-12, (k, got[k], want)
