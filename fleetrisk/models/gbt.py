@@ -47,10 +47,10 @@ def _gbt(p: BoostParams, label: str, weight: str | None, prefix: str) -> GBTClas
 def train_binary(df: DataFrame, features: Sequence[str], label: str = "target_binary",
                  params: BoostParams = BoostParams()) -> PipelineModel:
     """ML1/ML3: weighted binary GBT; weight = scale_pos_weight on positives."""
-    counts = df.agg(F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("neg"),
-                    F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"))
-    w = df.crossJoin(F.broadcast(counts)).withColumn(
-        "_w", F.when(F.col(label) == 1, F.col("neg") / F.greatest(F.col("pos"), F.lit(1))).otherwise(F.lit(1.0)))
+    c = df.agg(F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("neg"),
+               F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos")).first()
+    scale = (c["neg"] or 0) / max(c["pos"] or 0, 1)  # AG7, a scalar
+    w = df.withColumn("_w", F.when(F.col(label) == 1, F.lit(float(scale))).otherwise(F.lit(1.0)))
     w = w.withColumn("_label", F.col(label).cast("double"))
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"),
                             _gbt(params, "_label", "_w", "")])

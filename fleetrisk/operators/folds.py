@@ -11,9 +11,11 @@ from . import chunking as ch
 from .ranking import global_positions
 
 
-def _with_n(df: DataFrame) -> DataFrame:
-    n = df.agg(F.count(F.lit(1)).alias("_total"))
-    return df.crossJoin(F.broadcast(n))  # one-row table
+def _positioned_with_n(df: DataFrame, pos: str) -> DataFrame:
+    """Global positions plus the table's row count (a scalar, attached as a literal)."""
+    n = df.count()
+    d = df if pos in df.columns else global_positions(df, out=pos)
+    return d.withColumn("_total", F.lit(n).cast("long"))
 
 
 def walk_forward_folds(df: DataFrame, n_splits: int = 5, pos: str = "row_pos") -> DataFrame:
@@ -24,7 +26,7 @@ def walk_forward_folds(df: DataFrame, n_splits: int = 5, pos: str = "row_pos") -
     earlier position. Adds ``test_fold`` (NULL outside every test block) and
     ``fold_test_start`` (start of the row's test block).
     """
-    d = _with_n(df if pos in df.columns else global_positions(df, out=pos))
+    d = _positioned_with_n(df, pos)
     t = F.floor(F.col("_total") / (n_splits + 1))
     first = F.col("_total") - t * n_splits
     fold = F.when((t > 0) & (F.col(pos) >= first), F.floor((F.col(pos) - first) / t)).cast("int")
@@ -33,7 +35,7 @@ def walk_forward_folds(df: DataFrame, n_splits: int = 5, pos: str = "row_pos") -
 
 def holdout_split(df: DataFrame, train_fraction: float = 0.8, pos: str = "row_pos") -> DataFrame:
     """ML7: the first int(train_fraction * n) positions train, the rest test."""
-    d = _with_n(df if pos in df.columns else global_positions(df, out=pos))
+    d = _positioned_with_n(df, pos)
     cut = F.floor(F.lit(float(train_fraction)) * F.col("_total"))
     return d.select(*[c for c in d.columns if c != "_total"], (F.col(pos) < cut).alias("is_train"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -105,9 +105,10 @@ def class_ratio(df: DataFrame, target: str = "target_binary") -> DataFrame:
 def class_weights(df: DataFrame, target: str = "target_multiclass") -> DataFrame:
     """AG8: balanced weight n / (k * n_c) per present class."""
     counts = df.groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("n_class"))
-    totals = counts.agg(F.sum("n_class").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    return counts.crossJoin(F.broadcast(totals)).select(
-        "class", "n_class", (F.col("_n") / (F.col("_k") * F.col("n_class"))).alias("weight"))
+    # one row per class: the totals are window aggregates over that tiny table
+    every = Window.partitionBy()
+    return counts.select("class", "n_class", (F.sum("n_class").over(every)
+                                              / (F.count(F.lit(1)).over(every) * F.col("n_class"))).alias("weight"))
 
 
 def with_class_weight(df: DataFrame, target: str = "target_multiclass", out: str = "weight") -> DataFrame:

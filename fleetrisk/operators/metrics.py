@@ -117,6 +117,15 @@ def fold_aggregate(long_metrics: DataFrame, by: Sequence[str] = ("task", "metric
     return long_metrics.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
+def binary_with_auc(df: DataFrame, y: str, yhat: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """ML9 + ML10 side by side (joined on the grouping keys; one row per group)."""
+    b = binary_metrics(df, y, yhat, by)
+    a = roc_auc(df, y, score, by)
+    if by:
+        return b.join(a, list(by))
+    return b.withColumn("_k", F.lit(1)).join(a.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 def to_long(df: DataFrame, id_cols: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """RP2: wide fold metrics -> (ids..., metric, value)."""
     return df.select(*id_cols, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))

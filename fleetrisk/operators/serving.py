@@ -3,7 +3,8 @@
 These rules deliberately differ from the training features (the reference
 keeps train/serve skew); they are a separate operator set. Input: readings
 with ``features map<string,double>`` and an ``as_of`` timestamp; the baseline
-is a small (feature, median) table turned into one map and broadcast.
+is a small (feature, median) table (one row per model feature) that enters
+the plan as a literal map.
 """
 
 from __future__ import annotations
@@ -40,8 +41,11 @@ def complete_readings(readings: DataFrame, baseline: DataFrame | None,
     feats = list(model_features)
     if defaults == "zero":
         return readings.select(*keep, *[F.coalesce(_in(f), F.lit(0.0)).alias(f) for f in feats])
-    d = readings.crossJoin(F.broadcast(baseline_map(baseline))) if baseline is not None \
-        else readings.withColumn("baseline", F.create_map().cast("map<string,double>"))
+    # the baseline has one row per feature: it enters the plan as a literal map
+    pairs = [(r["feature"], r["median"]) for r in baseline.collect()] if baseline is not None else []
+    lit_map = (F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.lit(v).cast("double"))])
+               if pairs else F.create_map()).cast("map<string,double>")
+    d = readings.withColumn("baseline", lit_map)
     base = F.col("baseline")
 
     # SV1: baseline, else 0.0; supplied values of known features override

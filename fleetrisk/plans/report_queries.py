@@ -161,8 +161,7 @@ def model_performance_df(spark, sf) -> DataFrame:
     agg = metrics.fold_aggregate(fold_series_df(spark, sf))
     cv = agg.select(F.concat(F.col("task"), F.lit("_cv")).alias("section"), "metric", "mean", "std")
     s = materialize(folds.holdout_split(scored(spark, sf)).where(~F.col("is_train")))
-    hb = metrics.binary_metrics(s, "target_binary", "proxy_pred").crossJoin(
-        metrics.roc_auc(s, "target_binary", "proxy_prob"))
+    hb = metrics.binary_with_auc(s, "target_binary", "proxy_pred", "proxy_prob")
     ho = metrics.to_long(hb, [], ["precision", "recall", "f1", "auc"]).select(
         F.lit("holdout_binary").alias("section"), "metric", F.col("value").alias("mean"),
         F.lit(None).cast("double").alias("std"))
@@ -425,10 +424,13 @@ def q_fallback_answers(spark, sf):
     cv = agg.groupBy().pivot("metric", ["f1", "auc", "precision"]).agg(F.first("mean"))
     msgs = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "user")
     topic = text.route_topic(F.col("text"))
-    ctx = feats.crossJoin(cv)  # one row
-    return msgs.crossJoin(F.broadcast(ctx)).select(
-        "conv_id", "turn", topic.alias("topic"),
-        text.topic_answer(topic, F.col("top"), F.col("f1"), F.col("auc"), F.col("precision")).alias("answer"))
+    # both context tables have exactly one row: their values enter the plan as literals
+    top5 = feats.first()["top"]
+    m = cv.first()
+    return msgs.select("conv_id", "turn", topic.alias("topic"), text.topic_answer(
+        topic, F.array(*[F.lit(x) for x in top5]).cast("array<string>"),
+        F.lit(m["f1"]).cast("double"), F.lit(m["auc"]).cast("double"),
+        F.lit(m["precision"]).cast("double")).alias("answer"))
 
 
 @register("prompt_column", f"""SELECT conv_id, turn,

@@ -43,8 +43,7 @@ def run_training(spark: SparkSession, featured: DataFrame, params: gbt.BoostPara
             continue
         train, test = x.where(F.col("row_pos") < start), x.where(F.col("test_fold") == k)
         bm = gbt.score_binary(gbt.train_binary(train, feats, params=params), test)
-        b = metrics.binary_metrics(bm, "target_binary", "pred_binary").crossJoin(
-            metrics.roc_auc(bm, "target_binary", "p_failure"))
+        b = metrics.binary_with_auc(bm, "target_binary", "pred_binary", "p_failure")
         per_fold.append(_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]))
         mm = gbt.score_multiclass(gbt.train_multiclass(train, feats, params=params), test)
         m = metrics.macro_metrics(mm, "target_multiclass", "risk_class")
@@ -56,8 +55,7 @@ def run_training(spark: SparkSession, featured: DataFrame, params: gbt.BoostPara
     train, test = x.where(F.col("is_train")), x.where(~F.col("is_train"))
     final_bin = gbt.train_binary(train, feats, params=params)
     scored = gbt.score_binary(final_bin, test)
-    hold = metrics.binary_metrics(scored, "target_binary", "pred_binary").crossJoin(
-        metrics.roc_auc(scored, "target_binary", "p_failure"))
+    hold = metrics.binary_with_auc(scored, "target_binary", "pred_binary", "p_failure")
     holdout = metrics.to_long(hold, [], ["precision", "recall", "f1", "auc"])
     final_multi = gbt.train_multiclass(train, feats, params=params)
     att = explain.attribute(test, explain.gbt_nodes(spark, final_bin.stages[-1]), feats, keys)
@@ -92,8 +90,7 @@ def stratified_cv(featured: DataFrame, features: Sequence[str], params: gbt.Boos
     for k in range(n_splits):
         train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
         bm = gbt.score_binary(gbt.train_binary(train, list(features), params=params), test)
-        b = metrics.binary_metrics(bm, "target_binary", "pred_binary").crossJoin(
-            metrics.roc_auc(bm, "target_binary", "p_failure"))
+        b = metrics.binary_with_auc(bm, "target_binary", "pred_binary", "p_failure")
         rows.append(_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]))
         mm = gbt.score_multiclass(gbt.train_multiclass(train, list(features), params=params), test)
         w = metrics.weighted_metrics(mm, "target_multiclass", "risk_class")
