@@ -55,14 +55,15 @@ def numeric_signal_columns(df: DataFrame) -> list[str]:
             if isinstance(f.dataType, NumericType) and f.name not in skip]
 
 
-def aggregate_hourly(readings: DataFrame) -> DataFrame:
+def aggregate_hourly(readings: DataFrame, extra_keys: list[str] | None = None) -> DataFrame:
     """Raw readings -> one row per (inverter_id, hour).
 
     Rows with a missing inverter id or timestamp are dropped first (AG3).
     Output layout: keys, aggregated signals in input order, then metadata.
     """
-    signals = numeric_signal_columns(readings)
-    meta = [c for c in META_COLS if c in readings.columns and c != "inverter_id"]
+    extra = list(extra_keys or [])
+    signals = [c for c in numeric_signal_columns(readings) if c not in extra]
+    meta = [c for c in META_COLS if c in readings.columns and c != "inverter_id"] + extra
     keyed = (readings
              .where(F.col("inverter_id").isNotNull() & F.col("datetime").isNotNull())
              .withColumn("hour_bucket", hour_bucket("datetime")))

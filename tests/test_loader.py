@@ -46,3 +46,15 @@ def test_load_raw_and_hourly(spark):
     h0 = {(r.inverter_id, r.datetime.hour): r for r in hourly}
     assert h0[("Plant_1_AA_INV0", 10)].inv_alarm_code == 1.0
     assert h0[("Plant_2_b_INV0", 10)].inv_kwh_today == 2.0  # last non-missing of the hour
+
+
+def test_per_file_hourly_keeps_file_rows(spark):
+    import os
+    root = _tree()
+    # a second file for the same logger id and hour
+    with open(os.path.join(root, "Plant 2", "b2.csv"), "w") as fh:
+        fh.write("timestamp,mac,inverters[0].power\n1709287260000,b,30\n")
+    merged = load_all_plants(spark, root).where("inverter_id = 'Plant_2_b_INV0'").collect()
+    split = load_all_plants(spark, root, per_file=True).where("inverter_id = 'Plant_2_b_INV0'").collect()
+    assert len(merged) == 1 and merged[0].inv_power == 20.0  # (10 + 20 + 30) / 3
+    assert sorted(r.inv_power for r in split) == [15.0, 30.0]

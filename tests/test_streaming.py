@@ -27,3 +27,23 @@ def test_stream_hourly_matches_batch(spark):
     assert len(a) == len(b) == 951
     assert [x[:2] for x in a] == [x[:2] for x in b]
     assert all(abs(x[2] - y[2]) < 1e-9 and x[3:] == y[3:] for x, y in zip(a, b))
+
+
+def test_scoring_stream_matches_batch(spark):
+    import tempfile
+    from fleetrisk.operators.serving import complete_readings, readings_from_featured
+    from fleetrisk.plans.store import baseline_table, featured_table
+    from fleetrisk.streaming.hourly_stream import scoring_stream
+    feat = featured_table(spark, SF)
+    src_dir = tempfile.mkdtemp(prefix="fleetrisk-readings-")
+    readings_from_featured(feat).write.mode("overwrite").parquet(src_dir + "/r")
+    batch_in = spark.read.parquet(src_dir + "/r")
+    base = baseline_table(spark, SF)
+    stream_in = spark.readStream.schema(batch_in.schema).parquet(src_dir + "/r")
+    q = (scoring_stream(stream_in, base).writeStream.format("memory").queryName("serve_st2")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="fleetrisk-st2-")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM serve_st2").collect())
+    want = sorted(tuple(r) for r in complete_readings(batch_in, base).collect())
+    assert got == want and len(got) == 951
