@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 
 def gbt_nodes(spark: SparkSession, model: GBTClassificationModel) -> pd.DataFrame:
@@ -88,6 +88,7 @@ ATTR_SCHEMA_FIELDS = [StructField("feature", StringType()), StructField("value",
 
 def attribute(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Long attribution table: keys..., feature, value, impact, base_value (one row per row x feature)."""
+    ship_package(df.sparkSession)
     trees = _arrays(nodes)
     feats = list(features)
     key_fields = [f for f in df.schema.fields if f.name in set(keys)]

@@ -74,6 +74,8 @@ def _grow(features: Sequence[str], psi: int, seed: int):
 def fit(df: DataFrame, features: Sequence[str], keys: Sequence[str], n_trees: int = 200, psi: int = 256,
         seed: int = 42) -> DataFrame:
     """ML4: nodes table of an isolation forest over ``features`` (NULL -> 0)."""
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     n = df.count()
     rate = min(1.0, 1.5 * psi / max(n, 1))
     cut = int(rate * 1_000_000)
@@ -122,6 +124,8 @@ def _path_scorer(nodes: pd.DataFrame, features: Sequence[str], psi: int, out_col
 def score(df: DataFrame, nodes: DataFrame, features: Sequence[str], psi: int = 256,
           out_col: str = "iso_score") -> DataFrame:
     """Raw isolation score per row (higher = more normal), in Arrow batches."""
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     forest = nodes.toPandas()  # bounded: trees x (2 * psi) nodes
     schema = StructType(df.schema.fields + [StructField(out_col, DoubleType())])
     return df.mapInPandas(_path_scorer(forest, features, psi, out_col), schema)

@@ -108,6 +108,9 @@ def _rolling_kernel(signals, windows, order):
 def rolling_in_pandas(df: DataFrame, spec: OrderSpec,
                       signals: Sequence[str] = ROLLING_COLS, windows: dict = WINDOWS) -> DataFrame:
     from pyspark.sql.types import DoubleType, StructField, StructType
+
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     present = [c for c in signals if c in df.columns]
     extra = [StructField(f"{c}_{n}_{s}", DoubleType()) for c in present for n in windows for s in ("mean", "std")]
     schema = StructType(df.schema.fields + extra)

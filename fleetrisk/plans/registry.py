@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from . import analysis_queries, feature_queries, model_queries, report_queries  # noqa: F401  (register queries)
 from .catalog import QUERIES, SQL
 from .featurize import featured_from_events
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 
 def _prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def _wrap(fn):

@@ -46,6 +46,7 @@ def get_spark(master: str | None = None, app: str = "fleetrisk",
             except Exception:  # static conf of an already running session
                 pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -90,3 +91,30 @@ def materialize(df, eager: bool = True):
     path = scratch_path(spark, f"tables/{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``fleetrisk`` importable by Python workers (pandas UDF steps).
+
+    The package is zipped once per application and registered with
+    ``SparkContext.addPyFile``, which distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="fleetrisk-pkg-"), "fleetrisk.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.join("fleetrisk", os.path.relpath(full, pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
