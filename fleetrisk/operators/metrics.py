@@ -123,7 +123,8 @@ def binary_with_auc(df: DataFrame, y: str, yhat: str, score: str, by: Sequence[s
     a = roc_auc(df, y, score, by)
     if by:
         return b.join(a, list(by))
-    return b.withColumn("_k", F.lit(1)).join(a.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # no grouping: the AUC is one scalar, attached as a literal (no cross join)
+    return b.withColumn("auc", F.lit(float(a.first()["auc"])))
 
 
 def to_long(df: DataFrame, id_cols: Sequence[str], metrics: Sequence[str]) -> DataFrame:

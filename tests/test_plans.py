@@ -24,3 +24,14 @@ def test_hourly_is_hash_aggregate_with_pruned_scan(spark):
     p = _plan(hourly_from_events(spark, SF))
     assert "SortAggregate" not in p and "HashAggregate" in p
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in p
+
+
+def test_no_cartesian_or_nested_loop_joins(spark):
+    import __spark_entry__ as E
+    qs = E.queries()
+    names = ["risk_board", "risk_distribution", "class_weights", "class_ratio", "feature_coverage",
+             "serve_complete", "fold_aggregate", "model_performance", "topk_attribution_row",
+             "fallback_answers", "walk_forward_folds", "roc_auc", "healthy_baseline"]
+    for name in names:
+        p = _plan(qs[name](spark, SF))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
