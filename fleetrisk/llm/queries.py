@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, secrets
+from . import chat, secrets, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,16 @@ def op9_secret_scans(spark, sf_dir):
     return found.select("doc_id", *(count(k) for k in secrets.KINDS[:3]),
                         F.sha2(said(F.filter("spans", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"),
                         said(F.col("spans")).alias("spans"), count("guess"))
+
+
+def _held_out():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+@_register("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    """A classifier learned from rows that aren't held out scores every whole text."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=~_held_out())
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+                         (F.col("score") >= F.col("threshold")).cast("int").alias("predicted_by_language"))

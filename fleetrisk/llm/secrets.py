@@ -53,6 +53,10 @@ def guess_cost(value: str) -> float:
     low = value.lower()
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
+    run_end = list(range(1, n + 1))  # where the run of one character at i ends
+    for i in range(n - 2, -1, -1):
+        if value[i] == value[i + 1]:
+            run_end[i] = run_end[i + 1]
     for i in range(n):
         base = best[i] + 0.3  # each segment also costs the guess where it ends
         for j in range(i + 3, min(n, i + LONGEST) + 1):
@@ -64,10 +68,8 @@ def guess_cost(value: str) -> float:
                 best[j] = min(best[j], base + math.log10(rank + 1) + 0.6 * cased + 0.9 * leet)
         if m := DATE.match(value, i):
             best[m.end()] = min(best[m.end()], base + math.log10(365 * 120 if m.end() - i > 4 else 120))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        for k in range(i + 3, j + 1) if j - i <= 8 else (j,):
+        j = run_end[i]
+        for k in range(i + 3, j + 1) if j - i <= 8 else (i + 8, j):
             best[k] = min(best[k], base + math.log10(95 * (k - i)))
         j = i + 1
         while j < n and j - i < len(ROWS[-1]) and (low[j - 1], low[j]) in NEXT:
