@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, secrets, toxicity
+from . import chat, packing, secrets, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,14 @@ def op5_toxicity(spark, sf_dir):
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=~_held_out())
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
                          (F.col("score") >= F.col("threshold")).cast("int").alias("predicted_by_language"))
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_register("op8_packing")
+def op8_packing(spark, sf_dir):
+    """All documents tokenised, concatenated and cut into windows of 2048 ids."""
+    return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file()))
