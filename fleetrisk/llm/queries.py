@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, secrets, toxicity
+from . import chat, decontam, packing, secrets, simhash, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,15 @@ def tokenizer_file() -> str:
 def op8_packing(spark, sf_dir):
     """All documents tokenised, concatenated and cut into windows of 2048 ids."""
     return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
+@_register("op2_benchmark_decontamination")
+def op2_benchmark_decontamination(spark, sf_dir):
+    """Benchmark items met in the documents, the best stretch of each document and item."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_register("op4_simhash")
+def op4_simhash(spark, sf_dir):
+    """SimHash components of all documents: four-word shingles, at most four bits apart."""
+    return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
