@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, secrets, simhash, toxicity
+from . import chat, decontam, embed_dedup, packing, secrets, simhash, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def op2_benchmark_decontamination(spark, sf_dir):
 def op4_simhash(spark, sf_dir):
     """SimHash components of all documents: four-word shingles, at most four bits apart."""
     return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
+@_register("op7_embedding_dedup")
+def op7_embedding_dedup(spark, sf_dir):
+    """Links and components of all vectors of equal label at cosine 0.93 or more."""
+    return embed_dedup.link_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
