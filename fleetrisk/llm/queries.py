@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, packing, secrets, simhash, toxicity
+from . import chat, decontam, embed_dedup, packing, secrets, simhash, substrings, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,18 @@ def op4_simhash(spark, sf_dir):
 def op7_embedding_dedup(spark, sf_dir):
     """Links and components of all vectors of equal label at cosine 0.93 or more."""
     return embed_dedup.link_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+@_register("op3_substring_dedup", """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i) WHERE len(w) >= 13),
+f AS (SELECT g, min(doc_id) AS first FROM p GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM p JOIN f USING (g), range(13) t(k) WHERE f.first < p.doc_id),
+kept AS (SELECT d.doc_id, d.w, coalesce(list(gone.i) FILTER (gone.i IS NOT NULL), []) AS x FROM d LEFT JOIN gone USING (doc_id) GROUP BY ALL)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(x) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(list_transform(w, lambda v, i: CASE WHEN list_contains(x, i) THEN NULL ELSE v END), lambda v: v IS NOT NULL), ' ')) AS kept_sha256
+FROM kept""")
+def op3_substring_dedup(spark, sf_dir):
+    """Words of all documents outside 13-word windows that a smaller doc_id's document has too."""
+    kept = substrings.dedup_substrings(table(spark, sf_dir, "documents"), window=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
