@@ -16,6 +16,8 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,6 +207,18 @@ def _search(index: Index, batch: list[str]) -> list[tuple[int, int, int, int]]:
     return [(d, i, e, end) for (d, i), (e, end) in best.items()]
 
 
+def item_blocks(benchmark: DataFrame, max_edits: float, repetitions: int, samples: int, min_words: int) -> Iterator[Broadcast]:
+    """The index of each block of at most about ``ITEM_BLOCK`` items, broadcast."""
+    items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+             .where("item_id is not null and text is not null").distinct())
+    # blocks by a hash of the item, so that their number alone follows the number of items
+    blocks = items.count() // ITEM_BLOCK + 1
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        own = [(r.item_id, w) for r in rows if len(w := words_of(r.text)) >= min_words]
+        yield benchmark.sparkSession.sparkContext.broadcast(pickle.dumps(Index(own, max_edits, repetitions, samples)))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, repetitions: int = 32, samples: int = 3,
                min_words: int = 8) -> DataFrame:
     """One row per document and item met: doc_id, item_id, item_words, edits, similarity, end_word.
@@ -217,17 +231,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, re
     """
     schema = "doc_id long, item_id long, item_words long, edits long, similarity double, end_word long"
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
-    items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-             .where("item_id is not null and text is not null").groupBy("item_id", "text").count().drop("count"))
-    # blocks by a hash of the item, so that their number alone follows the number of items
-    blocks = items.count() // ITEM_BLOCK + 1
     out = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        own = [(r.item_id, w) for r in rows if len(w := words_of(r.text)) >= min_words]
-        shared = spark.sparkContext.broadcast(pickle.dumps(Index(own, max_edits, repetitions, samples)))
-
+    for shared in item_blocks(benchmark, max_edits, repetitions, samples, min_words):
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = pickle.loads(shared.value)
             for b in text_steps(batches, step_bytes=STEP_BYTES):
@@ -245,3 +250,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, re
         out = part if out is None else out.union(part)
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "item_words", "similarity", "end_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.item_words", "b.edits", "b.similarity", "b.end_word")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, repetitions: int = 32, samples: int = 3,
+               min_words: int = 8) -> DataFrame:
+    """The rows of ``docs`` in which ``find_leaks`` meets no item; all columns stay, nothing is shuffled."""
+    at = docs.columns.index("text")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    for shared in item_blocks(benchmark, max_edits, repetitions, samples, min_words):
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = pickle.loads(shared.value)
+            for b in text_steps(batches, step_bytes=STEP_BYTES):
+                keep = [True] * b.num_rows
+                for hit in _search(index, pc.fill_null(b.column(at), "").to_pylist()):
+                    keep[hit[0]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, packing, secrets, simhash, substrings, toxicity
+from . import chat, decontam, embed_dedup, licenses, packing, secrets, sharding, simhash, substrings, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,19 @@ def op3_substring_dedup(spark, sf_dir):
     """Words of all documents outside 13-word windows that a smaller doc_id's document has too."""
     kept = substrings.dedup_substrings(table(spark, sf_dir, "documents"), window=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_register("op6_license_scan", licenses.license_sql())
+def op6_license_scan(spark, sf_dir):
+    """License notices in all documents, the best window of each document and template."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+#: Bytes of text that a shard may hold.
+SHARD_BYTES = 16 * 1024 * 1024
+
+
+@_register("op10_sharding", sharding.shard_sql(SHARD_BYTES))
+def op10_sharding(spark, sf_dir):
+    """All documents, each with its shard of at most ``SHARD_BYTES`` of text."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)

@@ -226,17 +226,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     shared = spark.sparkContext.broadcast(pickle.dumps(model))  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = pickle.loads(shared.value)
-        constant = m.get("constant")
-        words = None if constant is not None else _Words(m["rows"], m["table"])
+        score_batch = _scorer(pickle.loads(shared.value))
         for b in text_steps(batches):
-            out = np.full(b.num_rows, constant if constant is not None else 0.0, np.float64)
-            if words is not None:
-                if len(words) > MEMO:
-                    words.reset()
-                out[:] = _score_texts(texts(b), words, m)
-            cut = [m["thresholds"].get(x or "", 0.3) for x in b.column("lang").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(out), pa.array(cut, pa.float64())],
+            value, cut = score_batch(b)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(value), pa.array(cut)],
                                              names=["doc_id", "lang", "score", "threshold"])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -244,6 +237,23 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             .mapInArrow(run, "doc_id long, lang string, score double, threshold double"))
 
 
+def _scorer(m: dict):
+    """batch with columns text and perhaps lang -> (scores, thresholds)."""
+    words = None if "constant" in m else _Words(m["rows"], m["table"])
+
+    def score_batch(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        if words is None:
+            value = np.full(b.num_rows, m["constant"], np.float64)
+        else:
+            if len(words) > MEMO:
+                words.reset()
+            value = _score_texts(texts(b), words, m)
+        langs = b.column("lang").to_pylist() if "lang" in b.schema.names else [None] * b.num_rows
+        return value, np.array([m["thresholds"].get(x or "", 0.3) for x in langs], np.float64)
+
+    return score_batch
+
+
 def _score_texts(batch: list[str], words: _Words, m: dict) -> np.ndarray:
     pad, pieces, owner = [0, 0], [], []
     for i, t in enumerate(batch):
@@ -264,3 +274,17 @@ def _score_texts(batch: list[str], words: _Words, m: dict) -> np.ndarray:
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, keep=None) -> DataFrame:
     """Train on a sample of ``labels`` (see ``sample_labelled``) and score all of ``docs``."""
     return score(docs, fit(sample_labelled(docs, labels, max_rows, keep)))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
+    """The rows of ``docs`` whose score stays under their language's threshold; all columns stay, nothing is shuffled but the sample."""
+    model = fit(sample_labelled(docs, labels, max_rows))
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_batch = _scorer(pickle.loads(shared.value))
+        for b in text_steps(batches):
+            value, cut = score_batch(b)
+            yield b.filter(pa.array(value < cut))
+
+    return docs.mapInArrow(run, docs.schema)
