@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,10 +145,21 @@ def repeated_spans(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["doc", "tag", "lo", "hi"])
 
 
+def _travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as rows of the span table, compressed for the exchange."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in text_steps(batches):
+        raw = raw_texts(b)
+        none = pa.nulls(b.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_tag(t) for t in raw], pa.int64()), none, none,
+                                          pa.array([squeeze(t) for t in raw], pa.binary())], names=["doc", "tag", "lo", "hi", "raw"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of a text, then the text, in; the text without the spans' words out."""
     names = ["doc_id", "n_words", "n_removed", "kept"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    stretch = zstandard.ZstdDecompressor().decompress
     here, spans = None, []
     for b in batches:
         out, size = [], 0
@@ -157,8 +169,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text is None:
                 spans.append((lo, hi))
                 continue
+            text = stretch(text)
             words = text.split()
-            kept, end, parts = 0, 0, []
+            end, parts = 0, []
             for lo, hi in sorted(spans):
                 if lo > end:
                     parts += words[end:lo]
@@ -185,8 +198,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     rows = d.where("doc_id is not null").mapInArrow(lambda it: window_rows(it, window), "key long, doc long, place long, n int, checks binary")
     spans = (rows.repartition("key").sortWithinPartitions("key", "doc")
              .mapInArrow(lambda it: repeated_spans(it, window), "doc long, tag long, lo long, hi long"))
-    tagged = d.select(F.col("doc_id").alias("doc"), F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0x7FFF)).alias("tag"),
-                      F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.col("text").cast("binary").alias("raw"))
+    tagged = d.mapInArrow(_travel, "doc long, tag long, lo long, hi long, raw binary")
     both = spans.withColumn("raw", F.lit(None).cast("binary")).unionByName(tagged)
     # rows without an id are spread by their tag
     return (both.repartition("doc", "tag").sortWithinPartitions("doc", "tag", F.col("raw").isNotNull())
