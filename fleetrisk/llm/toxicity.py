@@ -91,28 +91,27 @@ def fit(rows: list[tuple[str, int, str]], epochs: int = 14, batch: int = 48, rat
     y = np.array([r[1] for r in rows], dtype=np.float32)
     if not len(rows) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(rows) else 0.0, "thresholds": {}}
-    feats: dict[str, tuple[int, ...]] = {}
-    met: dict[int, int] = {}
+    known: dict[str, int] = {}
     docs = []
-    for text, _, _ in rows:
-        words = text.split()
-        docs.append(words)
-        seen = set()
-        for w in set(words):
-            if w not in feats:
-                feats[w] = word_features(w)
-            seen.update(feats[w])
-        for f in seen:
-            met[f] = met.get(f, 0) + 1
-    ids = {f: i + 1 for i, f in enumerate(sorted(f for f, n in met.items() if n >= min_texts))}
-    del met
-    table = rng.normal(0, 0.05, (len(ids) + 1, DIM)).astype(np.float32)
+    for text, _, _ in rows:  # one text's words at a time; only distinct words stay
+        docs.append(np.fromiter((known.setdefault(w, len(known)) for w in text.split()), np.int32))
+    feats = np.zeros((len(known), 3), np.int64) - 1
+    for i, w in enumerate(known):
+        fs = word_features(w)
+        feats[i, :len(fs)] = fs
+    del known
+    met = np.zeros(1 << HASH_BITS, np.int32)
+    for d in docs:
+        met[np.setdiff1d(feats[np.unique(d)], [-1])] += 1
+    active = np.flatnonzero(met >= min_texts)
+    ids = np.zeros((1 << HASH_BITS) + 1, np.int32)  # the last one is that of no feature
+    ids[active] = np.arange(1, len(active) + 1)
+    table = rng.normal(0, 0.05, (len(active) + 1, DIM)).astype(np.float32)
     table[0] = 0
-    # word -> up to three rows, 0 where none
-    code = {w: np.array([ids.get(f, 0) for f in fs] + [0] * (3 - len(fs)), np.int32) for w, fs in feats.items()}
+    code = ids[feats]  # word -> up to three rows, 0 where none
     empty = np.zeros((2, 3), np.int32)
-    docs = [np.concatenate([np.array([code[w] for w in d], np.int32).reshape(-1, 3), empty]) for d in docs]
-    del feats, code
+    docs = [np.concatenate([code[d].reshape(-1, 3), empty]) for d in docs]
+    del feats, code, met, ids
     model = {f"k{w}": rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
     model |= {f"b{w}": np.zeros(FILTERS, np.float32) for w in WIDTHS}
     model |= {"out": rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "bias": np.float32(0)}
@@ -176,8 +175,7 @@ def fit(rows: list[tuple[str, int, str]], epochs: int = 14, batch: int = 48, rat
         a, b = a - np.clip(da, -0.2, 0.2), b - np.clip(db, -1, 1)
     a = max(float(a), 0.05)
     live = np.flatnonzero(np.abs(table).sum(axis=1))
-    back = {i: f for f, i in ids.items()}
-    model |= {"scale": (a, float(b)), "rows": {back[int(i)]: n for n, i in enumerate(live)}, "table": table[live]}
+    model |= {"scale": (a, float(b)), "rows": {int(active[i - 1]): n for n, i in enumerate(live)}, "table": table[live]}
     score = 1 / (1 + np.exp(-(a * z + b)))
     model["thresholds"] = {lang: best_threshold(score[[rows[i][2] == lang for i in held]], zy[[rows[i][2] == lang for i in held]])
                            for lang in {rows[i][2] for i in held}}
@@ -271,12 +269,12 @@ def _score_texts(batch: list[str], words: _Words, m: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-(a * _logits(whole, m).astype(np.float64) + b)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, keep=None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, keep=None) -> DataFrame:
     """Train on a sample of ``labels`` (see ``sample_labelled``) and score all of ``docs``."""
     return score(docs, fit(sample_labelled(docs, labels, max_rows, keep)))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> DataFrame:
     """The rows of ``docs`` whose score stays under their language's threshold; all columns stay, nothing is shuffled but the sample."""
     model = fit(sample_labelled(docs, labels, max_rows))
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
