@@ -118,6 +118,8 @@ def fit(rows: list[tuple[str, int, str]], epochs: int = 14, batch: int = 48, rat
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     held = rng.permutation(len(docs))[: len(docs) // 5]  # calibrates, is never trained on
     train = np.setdiff1d(np.arange(len(docs)), held)
+    if len(docs) < 10:  # too few to hold any back
+        held = train = np.arange(len(docs))
     adam = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.items()}
     grown = np.zeros(len(table), np.float32)  # adagrad by embedding row
 
