@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 
 from ..schema import DAY_END_HOUR, DAY_START_HOUR
 
-# Text timestamp layouts tried in order when a file carries ``timestampDate``.
-TEXT_TS_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSS",
-    "yyyy-MM-dd'T'HH:mm:ss.SSS",
-    "yyyy-MM-dd HH:mm",
-    "yyyy/MM/dd HH:mm:ss",
-    "dd-MM-yyyy HH:mm:ss",
-    "dd/MM/yyyy HH:mm:ss",
-    "yyyy-MM-dd",
-]
+# Text layouts beside ISO, tried in order; month first, as a day over 12 shows itself.
+MONTH_FIRST = ["MM/dd/yyyy HH:mm:ss", "MM-dd-yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy"]
+DAY_FIRST = ["dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy"]
+YEAR_FIRST = ["yyyy/MM/dd HH:mm:ss"]
 
 
 def ntz(c: Column) -> Column:
@@ -31,10 +23,13 @@ def hour_bucket(ts: Column | str) -> Column:
     return ntz(F.date_trunc("hour", ts))
 
 
-def parse_text_timestamp(c: Column) -> Column:
-    """SRC4 (text): first layout that parses wins; NULL when none does."""
+def parse_text_timestamp(c: Column, day_first: bool = False) -> Column:
+    """SRC4 (text): ISO dates with or without time, fraction (to the microsecond) and zone (to UTC), then slashed and
+    dashed layouts, month first unless ``day_first`` or the first number can't be a month. NULL when nothing fits."""
     s = F.trim(c.cast("string"))
-    return ntz(F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in TEXT_TS_FORMATS]))
+    iso = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}($|[T ])"), s.try_cast("timestamp"))
+    layouts = [*YEAR_FIRST, *(DAY_FIRST + MONTH_FIRST if day_first else MONTH_FIRST + DAY_FIRST)]
+    return ntz(F.coalesce(iso, *[F.try_to_timestamp(s, F.lit(f)) for f in layouts]))
 
 
 def parse_epoch_millis(c: Column) -> Column:

@@ -1,23 +1,24 @@
 """Isolation forest as a Spark job (ML4, ML5).
 
-Training: every row draws, per tree, a seeded hash; a row joins tree ``t``'s
-sample when its hash falls under a rate giving ~psi rows per tree, so the
-sample is drawn in one distributed pass (no per-tree scans). Trees are then
+Training draws ~psi rows per tree in one pass: a row's 63-bit hash falls into the slot of a tree
+or into none, so every table size gets whole samples (a tree without rows is an error). Trees are then
 grown in parallel with ``groupBy(tree).applyInPandas`` on those small samples
 and come back as a nodes table. The forest is bounded (trees x 2*psi nodes),
 so it is broadcast for scoring, which runs in ``mapInPandas`` over Arrow batches.
-Score = -2^(-E[h(x)] / c(psi)); the decision offset is the ``contamination``
-quantile of the training scores; a row is anomalous when score - offset < 0.
+Score = -2^(-E[h(x)] / c(sample size)); the decision offset is the ``contamination``
+quantile of the training rows' scores, fixed when the forest is fitted and kept
+with it, so a row gets the same flag alone and in any batch.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -71,21 +72,51 @@ def _grow(features: Sequence[str], psi: int, seed: int):
     return build
 
 
+@dataclass(frozen=True)
+class Forest:
+    """A fitted forest: nodes table, feature names in order, rows per tree, decision offset."""
+
+    nodes: DataFrame
+    features: tuple[str, ...]
+    sample_size: int
+    offset: float
+
+
+def tree_draws(key: Column, n: int, n_trees: int, psi: int, seed: int) -> Column:
+    """The trees whose sample a row joins: each with probability min(1, 1.5 psi / n).
+
+    The trees are dealt over as few draws as keep a draw's slots within the hash range; a draw is one
+    63-bit hash, cut into one slot per tree and a rest that joins none.
+    """
+    rate = min(1.0, 1.5 * psi / max(n, 1))
+    draws = max(1, math.ceil(rate * n_trees))
+    width = max(1, int(rate * (1 << 63)) - 1)
+
+    def slot(j: Column) -> Column:
+        hashed = F.shiftrightunsigned(F.xxhash64(key, j, F.lit(seed)), 1)
+        return j + F.lit(draws) * ((hashed - F.pmod(hashed, F.lit(width))) / F.lit(width) + F.lit(0.5)).cast("long")
+
+    return F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long")), slot), lambda t: t < n_trees)
+
+
 def fit(df: DataFrame, features: Sequence[str], keys: Sequence[str], n_trees: int = 200, psi: int = 256,
-        seed: int = 42) -> DataFrame:
-    """ML4: nodes table of an isolation forest over ``features`` (NULL -> 0)."""
-    from ..session import ship_package
+        contamination: float = 0.05, seed: int = 42, n_rows: int | None = None) -> Forest:
+    """ML4: isolation forest over ``features`` (NULL -> 0); ``n_rows`` when the caller knows the count."""
+    from ..session import materialize, ship_package
     ship_package(df.sparkSession)
-    n = df.count()
-    rate = min(1.0, 1.5 * psi / max(n, 1))
-    cut = int(rate * 1_000_000)
+    n = df.count() if n_rows is None else n_rows
     key = F.xxhash64(*[F.col(k) for k in keys])
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: F.pmod(F.xxhash64(key, t, F.lit(seed)), F.lit(1_000_000)) < cut)
     clean = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
-    sample = (df.select(*clean, key.alias("_k"), F.explode(trees).alias("tree"))
+    sample = (df.select(*clean, key.alias("_k"), F.explode(tree_draws(key, n, n_trees, psi, seed)).alias("tree"))
+              .withColumn("tree", F.col("tree").cast("int"))
               .withColumn("_o", F.xxhash64("_k", "tree", F.lit(seed + 1))))
-    return sample.groupBy("tree").applyInPandas(_grow(features, psi, seed), NODE_SCHEMA)
+    nodes = materialize(sample.groupBy("tree").applyInPandas(_grow(features, psi, seed), NODE_SCHEMA))
+    grown = nodes.where("node = 0").agg(F.countDistinct("tree").alias("trees"), F.max("size").alias("size")).first()
+    if grown.trees != n_trees:
+        raise ValueError(f"{n_trees - grown.trees} of {n_trees} trees drew no rows from a table of {n}")
+    forest = Forest(nodes, tuple(features), int(grown["size"]), 0.0)
+    offset = score(df, forest).agg(F.percentile_approx("iso_score", contamination, 100_000)).first()[0]
+    return replace(forest, offset=float(offset))
 
 
 def _path_scorer(nodes: pd.DataFrame, features: Sequence[str], psi: int, out_col: str):
@@ -121,21 +152,29 @@ def _path_scorer(nodes: pd.DataFrame, features: Sequence[str], psi: int, out_col
     return score
 
 
-def score(df: DataFrame, nodes: DataFrame, features: Sequence[str], psi: int = 256,
-          out_col: str = "iso_score") -> DataFrame:
+def score(df: DataFrame, forest: Forest, out_col: str = "iso_score") -> DataFrame:
     """Raw isolation score per row (higher = more normal), in Arrow batches."""
     from ..session import ship_package
     ship_package(df.sparkSession)
-    forest = nodes.toPandas()  # bounded: trees x (2 * psi) nodes
+    nodes = forest.nodes.toPandas()  # bounded: trees x (2 * psi) nodes
     schema = StructType(df.schema.fields + [StructField(out_col, DoubleType())])
-    return df.mapInPandas(_path_scorer(forest, features, psi, out_col), schema)
+    return df.mapInPandas(_path_scorer(nodes, forest.features, forest.sample_size, out_col), schema)
+
+
+def add_anomaly_scores(df: DataFrame, forest: Forest) -> DataFrame:
+    """ML5: ``anomaly_score`` = score - the fitted offset, ``is_anomaly`` = it is below 0."""
+    return (score(df, forest).withColumn("anomaly_score", F.col("iso_score") - F.lit(forest.offset))
+            .withColumn("is_anomaly", (F.col("anomaly_score") < 0).cast("int")).drop("iso_score"))
+
+
+def save_forest(forest: Forest, path: str) -> None:
+    """SRC10: nodes and what scoring needs beside them."""
+    forest.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    meta = [(list(forest.features), forest.sample_size, forest.offset)]
+    (forest.nodes.sparkSession.createDataFrame(meta, "features array<string>, sample_size int, offset double")
+     .write.mode("overwrite").parquet(f"{path}/meta"))
 
 
-def add_anomaly_scores(df: DataFrame, nodes: DataFrame, features: Sequence[str], contamination: float = 0.05,
-                       psi: int = 256, offset: float | None = None) -> DataFrame:
-    """ML5: ``anomaly_score`` = score - offset (offset = contamination quantile), ``is_anomaly``."""
-    s = score(df, nodes, features, psi)
-    if offset is None:
-        offset = s.agg(F.percentile_approx("iso_score", contamination, 100_000)).first()[0]
-    return s.withColumn("anomaly_score", F.col("iso_score") - F.lit(offset)) \
-            .withColumn("is_anomaly", (F.col("anomaly_score") < 0).cast("int")).drop("iso_score")
+def load_forest(spark: SparkSession, path: str) -> Forest:
+    meta = spark.read.parquet(f"{path}/meta").first()
+    return Forest(spark.read.parquet(f"{path}/nodes"), tuple(meta["features"]), meta["sample_size"], meta["offset"])

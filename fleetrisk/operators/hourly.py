@@ -21,32 +21,17 @@ from ..schema import META_COLS
 GROUP_KEYS = ["inverter_id", "datetime"]
 
 
-def agg_rule(name: str) -> str:
-    """AG2 rule for one column name, checked in this order."""
-    if "alarm" in name:
-        return "max"
-    if "kwh_total" in name or "kwh_today" in name:
-        return "last"
-    if "op_state" in name:
-        return "max"
-    return "mean"
-
-
-def _last_non_null(c: str) -> Column:
-    # latest non-NULL value of the hour. The ordering key is a fixed-width
-    # timestamp, so the aggregate stays a (partial + final) HashAggregate.
-    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("datetime")))
+# Fixed values (AG2): a name's aggregate is that of the first of these parts which it holds; means otherwise.
+AGGREGATES = {"alarm": "max", "kwh_total": "last", "kwh_today": "last", "op_state": "max"}
 
 
 def aggregate_expr(c: str) -> Column:
-    rule = agg_rule(c)
-    if rule == "max":
-        e = F.max(c)
-    elif rule == "last":
-        e = _last_non_null(c)
-    else:
-        e = F.avg(c)
-    return e.alias(c)
+    """AG2: the hourly aggregate of column ``c``, in batch and streaming plans alike."""
+    how = next((rule for part, rule in AGGREGATES.items() if part in c), "mean")
+    # last: the latest non-NULL value of the hour; its ordering key has a fixed width, so
+    # the aggregate stays a (partial + final) HashAggregate
+    made = {"max": F.max, "mean": F.avg, "last": lambda x: F.max_by(F.col(x), F.when(F.col(x).isNotNull(), F.col("datetime")))}
+    return made[how](c).alias(c)
 
 
 def numeric_signal_columns(df: DataFrame) -> list[str]:

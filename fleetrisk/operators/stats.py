@@ -7,64 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 
-def exact_median_long(long_df: DataFrame, key: str = "feature", value: str = "value",
-                      accuracy: int = 100_000, grid: int = 1000, max_band_rows: int = 2_000_000,
-                      max_rounds: int = 6) -> DataFrame:
-    """Exact median of ``value`` per ``key`` on a long (key, value) table.
 
-    Each round sketches the rows still inside every key's bracket with a
-    ``percentile_approx`` grid (``grid`` + 1 fixed quantiles, bounded memory,
-    rank error <= n/accuracy) and narrows the bracket to the grid points one
-    step around the key's middle rank, so it keeps ~3/grid of its rows per
-    round. Rounds repeat (a per-key table of a few numbers per round) until
-    every bracket holds at most ``max_band_rows``; then the bracket rows are
-    ranked per key -- a bounded sort whatever the table size -- and the middle
-    one or two values are averaged. A narrowed bracket is verified by exact
-    counts; if it misses the middle ranks the key keeps its previous bracket.
-    Output: key, ``median``.
-    """
-    base = long_df.select(key, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    stats = base.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    # bracket per key: values in [_lo, _hi] hold ranks [_b, _b + _in); targets _r1, _r2 (0-based)
-    spark = long_df.sparkSession
-
-    def small(df: DataFrame) -> DataFrame:
-        # the bracket table has one row per key: rebuild it from its rows so the
-        # next round's plan does not carry every earlier round's plan
-        return spark.createDataFrame(df.collect(), df.schema)
+def exact_median_long(long_df: DataFrame, key: str = "feature", value: str = "value") -> DataFrame:
+    """Exact median of ``value`` per ``key`` on a long (key, value) table: key, ``median``.
 
-    br = small(stats.select(key, "_lo", "_hi", F.lit(0).cast("long").alias("_b"), F.col("_n").alias("_in"),
-                            F.floor((F.col("_n") - 1) / 2).cast("long").alias("_r1"),
-                            F.floor(F.col("_n") / 2).cast("long").alias("_r2")))
-    pct = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
-    for _ in range(max_rounds):
-        if (br.agg(F.max("_in")).first()[0] or 0) <= max_band_rows:
-            break
-        inside = base.join(F.broadcast(br), key).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        sk = inside.groupBy(key).agg(F.percentile_approx("_v", pct, accuracy).alias("_q"))
-        i1 = F.floor((F.col("_r1") - F.col("_b")) / F.col("_in") * grid).cast("int")
-        i2 = F.ceil((F.col("_r2") - F.col("_b") + 1) / F.col("_in") * grid).cast("int")
-        cand = br.join(sk, key).select(
-            key, "_lo", "_hi", "_b", "_in", "_r1", "_r2",
-            F.element_at("_q", F.greatest(i1, F.lit(1))).alias("_nlo"),            # grid point one step below
-            F.element_at("_q", F.least(i2 + 2, F.lit(grid + 1))).alias("_nhi"))     # and one step above
-        cnt = base.join(F.broadcast(cand), key).groupBy(key).agg(
-            F.sum(((F.col("_v") >= F.col("_lo")) & (F.col("_v") < F.col("_nlo"))).cast("long")).alias("_skip"),
-            F.sum(((F.col("_v") >= F.col("_nlo")) & (F.col("_v") <= F.col("_nhi"))).cast("long")).alias("_nin"))
-        c = cand.join(cnt, key)
-        ok = ((F.col("_b") + F.col("_skip") <= F.col("_r1"))
-              & (F.col("_b") + F.col("_skip") + F.col("_nin") > F.col("_r2")))
-        nb = c.select(key, "_r1", "_r2",
-                      F.when(ok, F.col("_nlo")).otherwise(F.col("_lo")).alias("_lo"),
-                      F.when(ok, F.col("_nhi")).otherwise(F.col("_hi")).alias("_hi"),
-                      F.when(ok, F.col("_b") + F.col("_skip")).otherwise(F.col("_b")).alias("_b"),
-                      F.when(ok, F.col("_nin")).otherwise(F.col("_in")).alias("_in"))
-        br = small(nb)
-    banded = base.join(F.broadcast(br), key).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    ranked = banded.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_v")) - 1 + F.col("_b"))
-    mid = ranked.where((F.col("_rank") == F.col("_r1")) | (F.col("_rank") == F.col("_r2")))
-    return mid.groupBy(key).agg(F.avg("_v").alias("median"))
+    Equal values collapse to counts before the shuffle, so ties cost nothing. The distinct values are cut
+    into ranges of (key, value), written down with their range's number; prefix sums over the ranges' totals and, inside a
+    range, over its counts give each value its ranks, and the values that hold the middle ranks are averaged.
+    """
+    counts = (long_df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+              .repartitionByRange(key, "_v").withColumn("_range", F.spark_partition_id()))
+    counts = materialize(counts)
+    totals = counts.groupBy(key, "_range").agg(F.sum("_n").alias("_t"))
+    ranges = Window.partitionBy(key).orderBy("_range")  # a row per key and range
+    base = totals.select(key, "_range", (F.sum("_t").over(ranges) - F.col("_t")).alias("_b"),
+                         F.sum("_t").over(Window.partitionBy(key)).alias("_all"))
+    # only ranges with a middle rank are sorted
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    base = base.join(totals, [key, "_range"]).where((low < F.col("_b") + F.col("_t")) & (high >= F.col("_b"))).drop("_t")
+    inside = Window.partitionBy(key, "_range").orderBy("_v")
+    ranked = counts.join(base, [key, "_range"]).withColumn("_to", F.col("_b") + F.sum("_n").over(inside)).withColumn("_from", F.col("_to") - F.col("_n"))
+    holds = lambda r: (F.col("_from") <= r) & (r < F.col("_to"))
+    return (ranked.groupBy(key).agg(F.max(F.when(holds(low), F.col("_v"))).alias("_a"), F.max(F.when(holds(high), F.col("_v"))).alias("_c"))
+            .select(key, ((F.col("_a") + F.col("_c")) / 2).alias("median")))
 
 
 def bucketed_prefix(df: DataFrame, order: str, sums: Sequence[str], bucket: Column,

@@ -50,7 +50,8 @@ def rounded(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         q = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            exprs.append(f"floor({q} * 1000000.0D + {ROUND_OFFSET}D) / 1000000.0D AS {q}")
+            # floor() gives a long: NaN, infinities and huge values stay as they are
+            exprs.append(f"if(abs({q}) < 1e12, floor({q} * 1000000.0D + {ROUND_OFFSET}D) / 1000000.0D, cast({q} AS double)) AS {q}")
         else:
             exprs.append(q)
     return df.selectExpr(*exprs)

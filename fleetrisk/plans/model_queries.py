@@ -49,8 +49,8 @@ def q_ovr_multiclass(spark, sf):
 def q_anomaly_scores(spark, sf):
     """ML4 + ML5: isolation forest (200 trees, contamination 0.05) fitted on all rows, scored on all rows."""
     d = training_frame(spark, sf)
-    nodes = materialize(iforest.fit(d, AVAILABLE_KEYS, KEYS, n_trees=200))
-    return rounded(iforest.add_anomaly_scores(d, nodes, AVAILABLE_KEYS, contamination=0.05)
+    forest = iforest.fit(d, AVAILABLE_KEYS, KEYS, n_trees=200, contamination=0.05)
+    return rounded(iforest.add_anomaly_scores(d, forest)
                    .select(*KEYS, "anomaly_score", "is_anomaly"))
 
 
@@ -60,11 +60,11 @@ def q_batch_score(spark, sf):
     feat = featured(spark, sf)
     d = training_frame(spark, sf)
     models = gbt.train_multiclass(d, AVAILABLE_KEYS, params=QUICK)
-    nodes = materialize(iforest.fit(d, AVAILABLE_KEYS, KEYS, n_trees=100))
+    forest = iforest.fit(d, AVAILABLE_KEYS, KEYS, n_trees=100, contamination=0.15)
     base = baseline_table(spark, sf)
     dense = serving.complete_readings(serving.readings_from_featured(feat), base, KEY_FEATURES)
     scored = gbt.score_multiclass(models, dense)
-    scored = iforest.add_anomaly_scores(scored, nodes, AVAILABLE_KEYS, contamination=0.15)
+    scored = iforest.add_anomaly_scores(scored, forest)
     lvl = risk.risk_level(F.col("risk_class"))
     return scored.select("reading_id", "inverter_id", "failure_probability", lvl.alias("risk_level"),
                          "risk_class", (F.col("is_anomaly") == 1).alias("is_anomaly"),

@@ -507,15 +507,20 @@ def q_numeric_coercion(spark, sf):
 
 @register("timestamp_parse", """SELECT event_id, parsed_text, parsed_epoch FROM (
   SELECT event_id,
-    try_strptime(CASE WHEN event_type = 'error' THEN 'not a time' WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
-      ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END, ['%Y-%m-%d %H:%M:%S', '%d/%m/%Y %H:%M:%S']) AS parsed_text,
+    try_strptime(CASE WHEN event_type = 'error' THEN 'not a time' WHEN event_id % 4 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+      WHEN event_id % 4 = 1 THEN strftime(ts, '%m/%d/%Y %H:%M:%S') WHEN event_id % 4 = 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')
+      ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END,
+      ['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S.%fZ', '%m/%d/%Y %H:%M:%S', '%d/%m/%Y %H:%M:%S']) AS parsed_text,
     make_timestamp((epoch_us(ts) // 1000) * 1000) AS parsed_epoch FROM events) t
 WHERE parsed_text IS NOT NULL""")
 def q_timestamp_parse(spark, sf):
-    """SRC4: text layouts tried in order / epoch milliseconds; unparsable rows dropped."""
+    """SRC4: ISO, zoned, month-first and day-first texts / epoch milliseconds; unparsable rows dropped."""
     e = read_table(spark, sf, "events", ["event_id", "ts", "event_type"])
+    kind = F.col("event_id") % 4
     txt = (F.when(F.col("event_type") == "error", F.lit("not a time"))
-           .when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+           .when(kind == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+           .when(kind == 1, F.date_format("ts", "MM/dd/yyyy HH:mm:ss"))
+           .when(kind == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
            .otherwise(F.date_format("ts", "dd/MM/yyyy HH:mm:ss")))
     ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
     out = e.select("event_id", parse_text_timestamp(txt).alias("parsed_text"), parse_epoch_millis(ms).alias("parsed_epoch"))

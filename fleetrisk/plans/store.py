@@ -52,22 +52,19 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _source_key(spark: SparkSession, sf_dir: str, window_days: int) -> str:
-    src = table_path(sf_dir, "events")
-    try:
-        fs, p = _fs(spark, src)
-        st = fs.getFileStatus(p)
-        ident = f"{src}|{st.getLen()}|{st.getModificationTime()}"
-    except Exception:
-        ident = f"{os.path.abspath(src)}|{os.path.getsize(src)}|{os.path.getmtime(src)}"
+    """Names the snapshot: path, size and time of every file below the source, and the code."""
+    fs, p = _fs(spark, table_path(sf_dir, "events"))
+    files, found = fs.listFiles(p, True), []
+    while files.hasNext():
+        st = files.next()
+        found.append(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}")
+    ident = hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()
     return hashlib.sha1(f"{STORE_VERSION}|{CODE_FINGERPRINT}|{ident}|{window_days}".encode()).hexdigest()[:16]
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    try:
-        fs, p = _fs(spark, f"{path}/_SUCCESS")
-        return bool(fs.exists(p))
-    except Exception:
-        return False
+    fs, p = _fs(spark, f"{path}/_SUCCESS")
+    return bool(fs.exists(p))
 
 
 def featured_store_path(spark: SparkSession, sf_dir: str, window_days: int = 7) -> str:

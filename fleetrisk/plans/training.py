@@ -32,8 +32,9 @@ def run_training(spark: SparkSession, featured: DataFrame, params: gbt.BoostPara
     base = matrix.feature_matrix(featured, keep=keys + ["target_binary", "target_multiclass"])
     feats = [c for c in base.columns if c not in set(keys) | {"target_binary", "target_multiclass"}]
     # 1. anomaly detector on every row (as the reference does), scores become two more features
-    nodes = materialize(iforest.fit(base, feats, keys, n_trees=n_trees))
-    x = iforest.add_anomaly_scores(base, nodes, feats, contamination)
+    base = materialize(base)
+    forest = iforest.fit(base, feats, keys, n_trees=n_trees, contamination=contamination)
+    x = materialize(iforest.add_anomaly_scores(base, forest))
     feats = feats + ["anomaly_score", "is_anomaly"]
     x = materialize(folds.holdout_split(folds.walk_forward_folds(x, n_splits)))
     per_fold = []
@@ -68,7 +69,7 @@ def run_training(spark: SparkSession, featured: DataFrame, params: gbt.BoostPara
         save_model(final_bin, f"{save_dir}/binary_model")
         for i, m in enumerate(final_multi):
             save_model(m, f"{save_dir}/multiclass_model_{i}")
-        nodes.write.mode("overwrite").parquet(f"{save_dir}/anomaly_model")
+        iforest.save_forest(forest, f"{save_dir}/anomaly_model")
         write_json_table(out["aggregate"], f"{save_dir}/metrics_aggregate")
         write_json_table(series, f"{save_dir}/metrics_per_fold")
         write_json_table(holdout, f"{save_dir}/metrics_holdout")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.hourly import agg_rule, numeric_signal_columns
+from ..operators.hourly import aggregate_expr, numeric_signal_columns
 from ..operators.serving import complete_readings
 from ..schema import META_COLS
 
@@ -27,15 +27,7 @@ def hourly_stream(readings: DataFrame, watermark: str = "2 hours") -> DataFrame:
     """ST1: streaming hourly aggregation of raw readings (append mode)."""
     signals = numeric_signal_columns(readings)
     meta = [c for c in META_COLS if c in readings.columns and c != "inverter_id"]
-    aggs = []
-    for c in signals:
-        rule = agg_rule(c)
-        if rule == "max":
-            aggs.append(F.max(c).alias(c))
-        elif rule == "last":
-            aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("datetime"))).alias(c))
-        else:
-            aggs.append(F.avg(c).alias(c))
+    aggs = [aggregate_expr(c) for c in signals]
     ts = F.col("datetime").cast("timestamp")
     keyed = readings.withColumn("_ts", ts).withWatermark("_ts", watermark)
     out = keyed.groupBy(F.window("_ts", "1 hour").alias("_w"), "inverter_id", *meta).agg(*aggs)

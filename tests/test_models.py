@@ -1,3 +1,4 @@
+import pytest
 """Model operators: folds, isolation forest, metrics on toy data."""
 
 from pyspark.sql import functions as F
@@ -30,10 +31,38 @@ def test_auc_ties(spark):
 def test_iforest_flags_outlier(spark):
     rows = [(i, float(i % 10), float(i % 7)) for i in range(500)] + [(999, 500.0, 400.0)]
     df = spark.createDataFrame(rows, "k long, a double, b double")
-    nodes = iforest.fit(df, ["a", "b"], ["k"], n_trees=50, psi=128)
-    out = iforest.add_anomaly_scores(df, nodes, ["a", "b"], contamination=0.05, psi=128)
+    forest = iforest.fit(df, ["a", "b"], ["k"], n_trees=50, psi=128, contamination=0.05)
+    out = iforest.add_anomaly_scores(df, forest)
     worst = out.orderBy("anomaly_score").first()
     assert worst.k == 999 and worst.is_anomaly == 1
+    # about the contaminated share of the training rows is flagged, and a row alone gets its flag of the batch
+    flags = {r.k: (r.anomaly_score, r.is_anomaly) for r in out.collect()}
+    assert 0.01 <= sum(f for _, f in flags.values()) / len(flags) <= 0.08
+    for k in (3, 250, 999):
+        alone = iforest.add_anomaly_scores(df.where(F.col("k") == k), forest).first()
+        assert (alone.anomaly_score, alone.is_anomaly) == flags[k]
+
+
+def test_iforest_saved_with_what_scoring_needs(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i % 10), float(i % 7)) for i in range(300)], "k long, a double, b double")
+    forest = iforest.fit(df, ["a", "b"], ["k"], n_trees=10, psi=64)
+    iforest.save_forest(forest, str(tmp_path / "forest"))
+    back = iforest.load_forest(spark, str(tmp_path / "forest"))
+    assert (back.features, back.sample_size, back.offset) == (("a", "b"), 64, forest.offset)
+    same = iforest.score(df, forest).join(iforest.score(df, back).withColumnRenamed("iso_score", "again"), ["k", "a", "b"])
+    assert same.where("iso_score <> again").count() == 0 and same.count() == 300
+
+
+def test_iforest_draws_whole_samples_from_huge_tables(spark):
+    # 4M rows stand for the share of 10^9 rows that falls to 1/250 of the trees' slots
+    n, trees, psi = 1_000_000_000, 50_000, 256
+    drawn = (spark.range(4_000_000).select(F.explode(iforest.tree_draws(F.xxhash64("id"), n, trees, psi, 42)).alias("tree")))
+    expected = 4_000_000 * 1.5 * psi / n * trees
+    assert abs(drawn.count() - expected) < 6 * expected ** 0.5
+    assert 0 <= drawn.agg(F.min("tree")).first()[0] and drawn.agg(F.max("tree")).first()[0] < trees
+    df = spark.createDataFrame([(1, 1.0)], "k long, a double")
+    with pytest.raises(ValueError, match="drew no rows"):
+        iforest.fit(df, ["a"], ["k"], n_trees=5, psi=2, n_rows=n)
 
 
 def test_path_attribution_additivity(spark):
@@ -92,8 +121,7 @@ def test_exact_median_rounds_match_brute_force(spark):
     rows = [("a", float((i * 7919) % 1013) / 7.0) for i in range(5001)] + [("b", float(i % 5)) for i in range(4000)] \
         + [("c", 1.0), ("c", None)]
     df = spark.createDataFrame(rows, "feature string, value double")
-    # tiny row budget forces several bracketing rounds
-    got = {r.feature: r.median for r in exact_median_long(df, max_band_rows=50, grid=20, accuracy=1000).collect()}
+    got = {r.feature: r.median for r in exact_median_long(df).collect()}
     for k in ("a", "b", "c"):
         want = statistics.median([v for f, v in rows if f == k and v is not None])
         assert abs(got[k] - want) < 1e-12, (k, got[k], want)
