@@ -40,20 +40,17 @@ def global_positions(df: DataFrame, key: str = "inverter_id", order: str = "date
 
 
 def latest_per_entity(df: DataFrame, key: str = "inverter_id", order: str = "datetime") -> DataFrame:
-    """WN6: the latest row of every entity (partial + final aggregate, no sort of history)."""
-    others = [c for c in df.columns if c != key]
-    return (df.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_r"))
-            .select(key, "_r.*"))
+    """WN6: the latest row of every entity; each task keeps one row per entity before the shuffle (window group limit)."""
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def last_n_per_entity(df: DataFrame, n: int, key: str = "inverter_id", order: str = "datetime",
                       out: str = "reading_no") -> DataFrame:
-    """WN7: the last ``n`` rows of every entity, numbered 0.. in ascending time."""
-    p = with_entity_positions(df, key, order)
-    start = F.greatest(F.col("_n") - n, F.lit(0))
-    return (p.where(F.col(ch.POS) >= start)
-            .withColumn(out, (F.col(ch.POS) - start).cast("int"))
-            .drop(ch.POS, "_n"))
+    """WN7: the last ``n`` rows of every entity, numbered 0.. in ascending time; at most n rows per entity and task are shuffled."""
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    kept = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    return kept.withColumn(out, F.max("_rn").over(Window.partitionBy(key)) - F.col("_rn")).drop("_rn")
 
 
 def top_k(df: DataFrame, k: int, by: Sequence[Column]) -> DataFrame:

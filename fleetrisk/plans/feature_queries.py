@@ -9,7 +9,7 @@ from ..schema import ROLLING_COLS, WINDOWS
 from ..sources.events_fixture import load_readings
 from . import sql_twins as S
 from .catalog import r6, register, rounded, sql_round6
-from .featurize import featured_from_events, hourly_from_events
+from .featurize import featured_from_events, hourly_from_events, labels_from_events
 
 KEYS = ["inverter_id", "datetime"]
 MEAN_COLS = [f"{c}_{w}_mean" for c in ROLLING_COLS for w in WINDOWS]
@@ -106,14 +106,14 @@ def q_rolling_std(spark, sf):
                                "featured"))
 def q_alarm_counts(spark, sf):
     """FN4 + WN3."""
-    return featured_from_events(spark, sf).select(*KEYS, "alarm_active", "alarm_count_24h", "alarm_count_7d")
+    return labels_from_events(spark, sf).select(*KEYS, "alarm_active", "alarm_count_24h", "alarm_count_7d")
 
 
 @register("hours_since_alarm", _sel(FEATURED, "inverter_id, datetime, " + r6(["hours_since_last_alarm"]),
                                     "featured"))
 def q_hours_since_alarm(spark, sf):
     """WN4 / JN3: backward as-of to the last alarm, 9999 before any."""
-    return rounded(featured_from_events(spark, sf).select(*KEYS, "hours_since_last_alarm"))
+    return rounded(labels_from_events(spark, sf).select(*KEYS, "hours_since_last_alarm"))
 
 
 def _kpi_query(col: str):
@@ -132,32 +132,32 @@ register("smu_zero_fraction", _sel(FEATURED, "inverter_id, datetime, " + r6(["sm
 @register("power_ratio", _sel(FEATURED, "inverter_id, datetime, " + r6(["power_ratio_vs_24h"]), "featured"))
 def q_power_ratio(spark, sf):
     """FN8: power against its 24-row trailing mean."""
-    return rounded(featured_from_events(spark, sf).select(*KEYS, "power_ratio_vs_24h"))
+    return rounded(labels_from_events(spark, sf).select(*KEYS, "power_ratio_vs_24h"))
 
 
 @register("shutdown_event", _sel(FEATURED, "inverter_id, datetime, shutdown_event", "feat2"))
 def q_shutdown_event(spark, sf):
     """FN10: alarm or daytime zero power (missing power = zero)."""
-    return add_events(featured_from_events(spark, sf)).select(*KEYS, "shutdown_event")
+    return add_events(labels_from_events(spark, sf)).select(*KEYS, "shutdown_event")
 
 
 @register("degradation_event", _sel(FEATURED, "inverter_id, datetime, degradation_event", "feat2"))
 def q_degradation_event(spark, sf):
     """FN11: production below half a 24h mean above 100."""
-    return add_events(featured_from_events(spark, sf)).select(*KEYS, "degradation_event")
+    return add_events(labels_from_events(spark, sf)).select(*KEYS, "degradation_event")
 
 
 @register("forward_labels", _sel(FEATURED, "inverter_id, datetime, target_binary, target_multiclass", "featured"))
 def q_forward_labels(spark, sf):
     """WN5 + FN12: 7-day (168-row) forward targets."""
-    return featured_from_events(spark, sf).select(*KEYS, "target_binary", "target_multiclass")
+    return labels_from_events(spark, sf).select(*KEYS, "target_binary", "target_multiclass")
 
 
 @register("forward_labels_1d", _sel(S.base_featured(1), "inverter_id, datetime, target_binary, target_multiclass",
                                     "featured"))
 def q_forward_labels_1d(spark, sf):
     """WN5 + FN12 with a 1-day (24-row) horizon."""
-    return featured_from_events(spark, sf, window_days=1).select(*KEYS, "target_binary", "target_multiclass")
+    return labels_from_events(spark, sf, window_days=1).select(*KEYS, "target_binary", "target_multiclass")
 
 
 FEATURED_COLS = (HOURLY_COLS + ["hour", "day_of_week", "month", "is_daytime"]
@@ -186,7 +186,7 @@ def q_featured_table(spark, sf):
                                       "featured GROUP BY 1, 2"))
 def q_target_distribution(spark, sf):
     """AG4: class counts of both targets."""
-    f = featured_from_events(spark, sf)
+    f = labels_from_events(spark, sf)
     # one pass over the table: both targets unpivoted, then one aggregate
     both = f.select(F.expr("stack(2, 'binary', target_binary, 'multiclass', target_multiclass) AS (target, class)"))
     return both.groupBy("target", "class").agg(F.count(F.lit(1)).alias("n"))

@@ -34,6 +34,12 @@ def _features(df: DataFrame, window_days: int, spec: OrderSpec, carry_col: str |
         df = add_rolling_features(df, spec, "pandas")
         df = add_kpi_features(df)
         return df.drop("_p24")
+    if engine == "none":
+        # alarms, events and labels only: windows and the one mean they need, no Python
+        df = add_alarm_features(df, spec, carry_col)
+        if "inv_power" in df.columns:
+            df = df.withColumn("inv_power_24h_mean", trailing_mean("inv_power", 24, spec))
+        return add_kpi_features(add_targets(df, window_days, spec, keep_events))
     df = add_rolling_features(df, spec, engine)
     df = add_alarm_features(df, spec, carry_col)
     df = add_kpi_features(df)
@@ -60,7 +66,8 @@ def featurize(hourly: DataFrame, window_days: int = 7, chunk_rows: int | None =
     an integer cuts every inverter's history into halo chunks (task size
     bounded by ``chunk_rows + 167 + window_days*24 - 1`` rows). Rolling mean/std
     use Spark frames (``engine="window"``) or, by default on the chunked path,
-    an O(rows) pandas kernel per bounded chunk (``engine="pandas"``).
+    an O(rows) pandas kernel per bounded chunk (``engine="pandas"``);
+    ``engine="none"`` leaves them out but for the 24-row power mean that events and labels need.
 
     On the chunked path the hourly table and its positions are checkpointed
     (shared ``spark.checkpoint.dir``): both feed two branches (rows and the
@@ -93,3 +100,14 @@ def featured_from_events(spark: SparkSession, sf_dir: str, window_days: int = 7,
                          engine: str | None = None) -> DataFrame:
     return featurize(hourly_from_events(spark, sf_dir), window_days, chunk_rows,
                      keep_events=keep_events, engine=engine)
+
+
+#: What alarms, events and labels are made of.
+LABEL_INPUTS = ["inverter_id", "datetime", "inv_power", "inv_alarm_code"]
+
+
+def labels_from_events(spark: SparkSession, sf_dir: str, window_days: int = 7,
+                       chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Alarm features, power ratio inputs, events' inputs and targets without the rolling features."""
+    hourly = hourly_from_events(spark, sf_dir)
+    return featurize(hourly.select(*[c for c in LABEL_INPUTS if c in hourly.columns]), window_days, chunk_rows, engine="none")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_double
@@ -245,17 +245,31 @@ def q_risk_trend(spark, sf):
 
 
 # -------------------------------------------------------- attribution ---
-def attribution_df(spark, sf) -> DataFrame:
-    """Attribution table (row_id, feature, value, impact): deviation of each key
-    feature from its healthy median, scaled by (|median| + 1), rounded to 6 places."""
-    feat = featured(spark, sf)
-    f = ranking.global_positions(feat, out="row_id")
-    base = baseline_table(spark, sf)
-    long = matrix.unpivot(f.select("row_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-                                               for c in AVAILABLE_KEYS]), ["row_id"], AVAILABLE_KEYS)
-    j = long.join(F.broadcast(base), "feature")  # one row per feature
-    imp = (F.col("value") - F.col("median")) / (F.abs(F.col("median")) + 1)
-    return j.select("row_id", "feature", "value", round6(imp).alias("impact"))
+def attributions(spark, sf) -> dict[str, tuple[Column, Column]]:
+    """(value, impact) expressions of each key feature over the featured table: deviation from
+    its healthy median, scaled by (|median| + 1), rounded to 6 places."""
+    medians = {r.feature: r.median for r in baseline_table(spark, sf).collect()}  # one row per feature
+    found = {}
+    for c in AVAILABLE_KEYS:
+        if c in medians:
+            value = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+            m = F.lit(medians[c]).cast("double")
+            found[c] = value, round6((value - m) / (F.abs(m) + 1))
+    return found
+
+
+def top_drivers(spark, sf, k: int) -> Column:
+    """SK5: the row's ``k`` features of largest |impact| as an array, best first: no explosion, no shuffle."""
+    parts = [F.struct((-F.abs(impact)).alias("order"), F.lit(c).alias("feature"), value.alias("value"), impact.alias("impact"))
+             for c, (value, impact) in attributions(spark, sf).items()]
+    return F.slice(F.array_sort(F.array(*parts)), 1, k)
+
+
+def global_attribution(spark, sf) -> DataFrame:
+    """SK4: (feature, m): mean |impact| of each feature, all in one pass over the featured table."""
+    att = attributions(spark, sf)
+    means = featured(spark, sf).agg(*[F.avg(F.abs(impact)).alias(c) for c, (_, impact) in att.items()])
+    return matrix.unpivot(means, [], list(att)).select("feature", F.col("value").alias("m"))
 
 
 ATTR_SQL = FEATURED_SQL + BASELINE_SQL + """,
@@ -271,7 +285,7 @@ attr AS (SELECT u.row_id, u.feature, u.value, """ + R("(u.value - b.median) / (a
   ORDER BY m DESC, feature LIMIT 10"""))
 def q_topk_global(spark, sf):
     """SK4 / ML14: top-10 features by mean absolute attribution."""
-    g = attribution_df(spark, sf).groupBy("feature").agg(F.avg(F.abs("impact")).alias("mean_abs_impact"))
+    g = global_attribution(spark, sf).withColumnRenamed("m", "mean_abs_impact")
     # one row per feature: ranking the feature table is bounded by the feature count
     ranked = g.withColumn("rank", F.row_number().over(
         Window.orderBy(F.desc("mean_abs_impact"), F.asc("feature"))).cast("int"))
@@ -284,10 +298,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(impact) DESC
 WHERE rk <= 5"""))
 def q_topk_row(spark, sf):
     """SK5 + FN14 / ML15: per-row top-5 drivers with direction."""
-    a = attribution_df(spark, sf)
-    t = ranking.top_k_per_group(a, 5, ["row_id"], [F.desc(F.abs(F.col("impact"))), F.asc("feature")], out="rank")
-    return rounded(t.select("row_id", F.col("rank").cast("int").alias("rank"), "feature", "value", "impact",
-                            risk.direction(F.col("impact")).alias("direction")))
+    f = ranking.global_positions(featured(spark, sf), out="row_id")
+    t = f.select("row_id", F.posexplode(top_drivers(spark, sf, 5)).alias("rank", "d"))
+    return rounded(t.select("row_id", (F.col("rank") + 1).cast("int").alias("rank"), "d.feature", "d.value", "d.impact",
+                            risk.direction(F.col("d.impact")).alias("direction")))
 
 
 @register("feature_catalogue", _q(FEATURED_SQL + BASELINE_SQL, f"""SELECT k.position, k.feature, {R('b.median')} AS baseline,
@@ -416,8 +430,7 @@ FROM (SELECT conv_id, turn, {_TOPIC_SQL} AS topic FROM conversations WHERE role
 @register("fallback_answers", _FALLBACK_SQL)
 def q_fallback_answers(spark, sf):
     """TX2: topic rules; answers interpolate the top-5 attribution features and CV means."""
-    top = attribution_df(spark, sf).groupBy("feature").agg(F.avg(F.abs("impact")).alias("m"))
-    ranked = top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("m"), F.asc("feature"))))
+    ranked = global_attribution(spark, sf).withColumn("rk", F.row_number().over(Window.orderBy(F.desc("m"), F.asc("feature"))))
     feats = ranked.where(F.col("rk") <= 10).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rk", "feature"))), lambda s: s["feature"]).alias("top"))
     agg = metrics.fold_aggregate(fold_series_df(spark, sf)).where(F.col("task") == "binary")
@@ -464,16 +477,10 @@ drivers AS (SELECT row_id, string_agg(feature || ' (' || CASE WHEN impact > 0 TH
 FROM lastrow l LEFT JOIN drivers d ON d.row_id = l.row_id"""))
 def q_prediction_summary(spark, sf):
     """TX3: one summary sentence per inverter's latest scored reading with its top-3 drivers."""
-    a = attribution_df(spark, sf)
-    top3 = ranking.top_k_per_group(a, 3, ["row_id"], [F.desc(F.abs(F.col("impact"))), F.asc("feature")], out="rk")
-    factors = top3.groupBy("row_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rk", "feature", risk.direction(F.col("impact")).alias("direction")))),
-        lambda s: F.struct(s["feature"].alias("feature"), s["direction"].alias("direction"))).alias("factors"))
-    feat = ranking.global_positions(featured(spark, sf), out="row_id")
-    latest = ranking.latest_per_entity(risk.proxy_score(feat))
-    j = latest.join(factors, "row_id", "left")
+    latest = ranking.latest_per_entity(risk.proxy_score(featured(spark, sf)))  # before any attribution
     lvl = risk.risk_level(F.col("proxy_class"))
-    fac = F.coalesce(F.col("factors"), F.array().cast("array<struct<feature:string,direction:string>>"))
+    fac = F.transform(top_drivers(spark, sf, 3), lambda d: F.struct(d["feature"].alias("feature"), risk.direction(d["impact"]).alias("direction")))
+    j = latest
     return j.select("inverter_id", text.prediction_summary(F.col("inverter_id"), lvl, F.col("proxy_prob"), fac,
                                                            F.col("alarm_count_7d") > 0).alias("summary"))
 
