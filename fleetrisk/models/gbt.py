@@ -1,7 +1,7 @@
 """Boosted-tree risk models on MLlib (ML1-ML3, FN13).
 
 * binary: ``GBTClassifier`` with positive-class weight = neg / max(pos, 1) (AG7)
-* 3-class: MLlib boosting is binary only, so one weighted GBT per class
+* 3-class: MLlib boosting is binary only, so one GBT per class
   (one-vs-rest); the three positive-class probabilities are normalised to sum
   to 1, then argmax gives the class and 1 - P(class 0) the failure probability.
 """
@@ -35,25 +35,31 @@ class BoostParams:
 LIGHT = BoostParams(max_iter=300, step_size=0.08, subsample=1.0, feature_subset="all")
 
 
-def _gbt(p: BoostParams, label: str, weight: str | None, prefix: str) -> GBTClassifier:
+def _gbt(p: BoostParams, label: str, weight: str | None, validation: str | None) -> GBTClassifier:
     kw = dict(featuresCol="features", labelCol=label, maxIter=p.max_iter, maxDepth=p.max_depth,
               stepSize=p.step_size, subsamplingRate=p.subsample, featureSubsetStrategy=p.feature_subset,
               seed=p.seed)
     if weight:
         kw["weightCol"] = weight
+    if validation:  # rounds stop when the loss on these rows no longer falls
+        kw["validationIndicatorCol"] = validation
     return GBTClassifier(**kw)
 
 
 def train_binary(df: DataFrame, features: Sequence[str], label: str = "target_binary",
-                 params: BoostParams = BoostParams()) -> PipelineModel:
-    """ML1/ML3: weighted binary GBT; weight = scale_pos_weight on positives."""
-    c = df.agg(F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("neg"),
+                 params: BoostParams = BoostParams(), validation: str | None = None) -> PipelineModel:
+    """ML1/ML3: weighted binary GBT; weight = scale_pos_weight on positives.
+
+    ``validation`` names a boolean column: its rows don't train, they stop the boosting early.
+    """
+    own = df.where(~F.col(validation)) if validation else df
+    c = own.agg(F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("neg"),
                F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos")).first()
     scale = (c["neg"] or 0) / max(c["pos"] or 0, 1)  # AG7, a scalar
     w = df.withColumn("_w", F.when(F.col(label) == 1, F.lit(float(scale))).otherwise(F.lit(1.0)))
     w = w.withColumn("_label", F.col(label).cast("double"))
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"),
-                            _gbt(params, "_label", "_w", "")])
+                            _gbt(params, "_label", "_w", validation)])
     return pipe.fit(w)
 
 
@@ -64,15 +70,22 @@ def score_binary(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def train_multiclass(df: DataFrame, features: Sequence[str], label: str = "target_multiclass",
-                     params: BoostParams = BoostParams(), classes: Sequence[int] = (0, 1, 2)) -> list[PipelineModel]:
-    """ML2/ML3: one-vs-rest GBTs with balanced class weights (AG8)."""
-    cw = class_weights(df, label).select(F.col("class").alias(label), F.col("weight").alias("_cw"))
-    weighted = df.join(F.broadcast(cw), label, "left")  # one row per class
+                     params: BoostParams = BoostParams(), classes: Sequence[int] = (0, 1, 2),
+                     balanced: bool = False, validation: str | None = None) -> list[PipelineModel]:
+    """ML2: one-vs-rest GBTs; ``balanced`` weighs rows by class (AG8), as the light final fit does (ML3).
+
+    ``validation``: see ``train_binary``.
+    """
+    weighted, weight = df, None
+    if balanced:
+        own = df.where(~F.col(validation)) if validation else df
+        cw = class_weights(own, label).select(F.col("class").alias(label), F.col("weight").alias("_cw"))
+        weighted, weight = df.join(F.broadcast(cw), label, "left"), "_cw"  # one row per class
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     models = []
     for k in classes:
         d = weighted.withColumn("_y", (F.col(label) == k).cast("double"))
-        models.append(Pipeline(stages=[asm, _gbt(params, "_y", "_cw", f"c{k}_")]).fit(d))
+        models.append(Pipeline(stages=[asm, _gbt(params, "_y", weight, validation)]).fit(d))
     return models
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunking as ch
+from .ranking import shuffle_order
 from .ranking import global_positions
 
 
@@ -41,16 +42,14 @@ def holdout_split(df: DataFrame, train_fraction: float = 0.8, pos: str = "row_po
 
 
 def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], n_splits: int = 5, seed: int = 42,
-                     buckets: int = 4096) -> DataFrame:
+                     digits: int = 4) -> DataFrame:
     """ML8: shuffled stratified folds; per class, fold sizes differ by at most one.
 
-    Rows of each class are ordered by a seeded hash of their key and dealt
-    round-robin into folds. The per-class rank comes from hash-bucket prefix
-    sums, so a dominant class is still ranked by many tasks.
+    Rows of each class are ordered by the md5 of their key and the seed (``ranking.shuffle_order``) and dealt
+    round-robin into folds. The per-class rank comes from prefix sums over the order's first ``digits`` hex
+    digits (16^digits buckets), so a dominant class is still ranked by many tasks.
     """
-    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
-    d = df.withColumn("_h", h)
-    bucket = F.pmod(F.col("_h"), F.lit(buckets))
+    d = df.withColumn("_h", shuffle_order(keys, seed))
+    bucket = F.conv(F.substring("_h", 1, digits), 16, 10).cast("long")
     ranked = ch.add_positions(d, key=label, order="_h", tiebreak=list(keys), bucket=bucket)
-    # add_positions orders buckets by bucket id, then rows by hash inside: a fixed shuffle
     return ranked.withColumn("fold", (F.col(ch.POS) % n_splits).cast("int")).drop("_h", ch.POS)

@@ -65,9 +65,14 @@ def top_k_per_group(df: DataFrame, k: int, group: Sequence[str], by: Sequence[Co
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
+def shuffle_order(keys: Sequence[str], seed: int) -> Column:
+    """A seeded order that any engine can repeat: md5 of the keys as text and the seed, joined by bars."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))
+
+
 def stable_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """SK6: deterministic sample of ``n`` rows: smallest seeded hashes of the key."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(n)
+    """SK6: deterministic sample of ``n`` rows: the first in the seeded order of their keys."""
+    return df.orderBy(shuffle_order(keys, seed), *keys).limit(n)
 
 
 def readings_of(df: DataFrame, entity: str, key: str = "inverter_id", order: str = "datetime") -> DataFrame:

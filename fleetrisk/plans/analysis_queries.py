@@ -191,21 +191,52 @@ def q_holdout(spark, sf):
     return folds.holdout_split(featured(spark, sf).select(*KEYS)).select(*KEYS, "is_train")
 
 
-@register("stratified_folds")
+_SHUFFLED = "md5(inverter_id || '|' || CAST(datetime AS VARCHAR) || '|42')"
+_FOLDS_SQL = f"""SELECT inverter_id, datetime, target_binary,
+  CAST((row_number() OVER (PARTITION BY target_binary ORDER BY {_SHUFFLED}) - 1) % 5 AS INTEGER) AS fold FROM featured"""
+
+
+@register("stratified_folds", f"{FEATURED_SQL} {_FOLDS_SQL}")
 def q_stratified(spark, sf):
-    """ML8: stratified shuffled 5-fold assignment (rows-only; hash order is engine-specific)."""
+    """ML8: stratified shuffled 5-fold assignment (seeded md5 order)."""
     f = featured(spark, sf).select(*KEYS, "target_binary")
     return folds.stratified_folds(f, "target_binary", KEYS)
 
 
-@register("stratified_fold_sizes")
+@register("stratified_fold_sizes", f"{FEATURED_SQL} SELECT target_binary, fold, count(*) AS count FROM ({_FOLDS_SQL}) f GROUP BY 1, 2")
 def q_stratified_sizes(spark, sf):
     """ML8 balance: rows per (class, fold); per class the sizes differ by at most one."""
     f = featured(spark, sf).select(*KEYS, "target_binary")
     return folds.stratified_folds(f, "target_binary", KEYS).groupBy("target_binary", "fold").count()
 
 
-@register("sample_rows")
+@register("sample_rows", f"{FEATURED_SQL} SELECT inverter_id, datetime, target_binary FROM featured ORDER BY {_SHUFFLED} LIMIT 1000")
 def q_sample(spark, sf):
     """SK6: stable seeded sample of 1000 rows (the sample size is the feature)."""
     return ranking.stable_sample(featured(spark, sf).select(*KEYS, "target_binary"), 1000, KEYS)
+
+
+_PROBS_SQL = """, weights AS (SELECT inverter_id, datetime, [CAST((inverter_idx * 37 + hour * 11) % 100 AS DOUBLE), CAST((inverter_idx * 13 + hour * 29) % 100 AS DOUBLE),
+    CAST((day_of_week * 17 + hour * 7) % 100 AS DOUBLE)] AS w FROM featured),
+probs AS (SELECT inverter_id, datetime, list_transform(w, lambda x: (x + 1) / (w[1] + w[2] + w[3] + 3)) AS p FROM weights)"""
+
+
+@register("class_decision", f"""{FEATURED_SQL}{_PROBS_SQL} SELECT inverter_id, datetime,
+  CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS risk_class, round(1.0 - p[1], 4) AS failure_probability FROM probs""")
+def q_class_decision(spark, sf):
+    """FN13: argmax and 1 - P(class 0) over a probability table derived from the featured rows."""
+    w = [(F.col("inverter_idx").cast("long") * 37 + F.col("hour") * 11) % 100, (F.col("inverter_idx").cast("long") * 13 + F.col("hour") * 29) % 100,
+         (F.col("day_of_week") * 17 + F.col("hour") * 7) % 100]
+    w = [x.cast("double") for x in w]
+    probs = F.array(*[(x + 1) / (w[0] + w[1] + w[2] + 3) for x in w])
+    d = featured(spark, sf).select(*KEYS, probs.alias("p"))
+    return d.select(*KEYS, risk.argmax_class(F.col("p")).cast("int").alias("risk_class"),
+                    risk.failure_probability(F.col("p")).alias("failure_probability"))
+
+
+@register("entity_readings", f"""{FEATURED_SQL} SELECT inverter_id, datetime, target_binary, target_multiclass FROM featured
+WHERE inverter_id = (SELECT min(inverter_id) FROM featured)""")
+def q_entity_readings(spark, sf):
+    """PRJ13: one inverter's readings (the first id's); the filter reaches the scan."""
+    f = featured(spark, sf).select(*KEYS, "target_binary", "target_multiclass")
+    return ranking.readings_of(f, f.agg(F.min("inverter_id")).first()[0])

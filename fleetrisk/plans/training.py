@@ -42,23 +42,26 @@ def run_training(spark: SparkSession, featured: DataFrame, params: gbt.BoostPara
         start = x.where(F.col("test_fold") == k).agg(F.min("row_pos")).first()[0]
         if start is None:
             continue
-        train, test = x.where(F.col("row_pos") < start), x.where(F.col("test_fold") == k)
-        bm = gbt.score_binary(gbt.train_binary(train, feats, params=params), test)
+        # the fold under test is also the set that stops the boosting, as in the reference job
+        seen = x.where((F.col("row_pos") < start) | (F.col("test_fold") == k)).withColumn("_val", F.col("row_pos") >= start)
+        test = x.where(F.col("test_fold") == k)
+        bm = gbt.score_binary(gbt.train_binary(seen, feats, params=params, validation="_val"), test)
         b = metrics.binary_with_auc(bm, "target_binary", "pred_binary", "p_failure")
         per_fold.append(_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]))
-        mm = gbt.score_multiclass(gbt.train_multiclass(train, feats, params=params), test)
+        mm = gbt.score_multiclass(gbt.train_multiclass(seen, feats, params=params, validation="_val"), test)
         m = metrics.macro_metrics(mm, "target_multiclass", "risk_class")
         per_fold.append(_fold_rows("multiclass", k + 1, m, ["precision_macro", "recall_macro", "f1_macro"]))
     series = per_fold[0]
     for p in per_fold[1:]:
         series = series.unionByName(p)
     series = materialize(series)
-    train, test = x.where(F.col("is_train")), x.where(~F.col("is_train"))
-    final_bin = gbt.train_binary(train, feats, params=params)
+    test = x.where(~F.col("is_train"))
+    split = x.withColumn("_val", ~F.col("is_train"))
+    final_bin = gbt.train_binary(split, feats, params=params, validation="_val")
     scored = gbt.score_binary(final_bin, test)
     hold = metrics.binary_with_auc(scored, "target_binary", "pred_binary", "p_failure")
     holdout = metrics.to_long(hold, [], ["precision", "recall", "f1", "auc"])
-    final_multi = gbt.train_multiclass(train, feats, params=params)
+    final_multi = gbt.train_multiclass(split, feats, params=params, validation="_val")
     att = explain.attribute(test, explain.gbt_nodes(spark, final_bin.stages[-1]), feats, keys)
     g = att.groupBy("feature").agg(F.avg(F.abs("impact")).alias("mean_abs_impact"))
     top = g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs_impact"), "feature"))) \
@@ -81,19 +84,19 @@ def stratified_cv(featured: DataFrame, features: Sequence[str], params: gbt.Boos
                   n_splits: int = 5, seed: int = 42, keys: Sequence[str] = ("inverter_id", "datetime")) -> DataFrame:
     """ML3 + ML8: lightweight models under shuffled stratified k-fold CV.
 
-    Binary: P/R/F1/AUC per fold; 3-class (balanced weights): weighted P/R/F1.
-    Returns the long per-fold table (task, fold, metric, value).
+    Binary: P/R/F1/AUC per fold; 3-class (unweighted): weighted P/R/F1. Each task's folds are
+    stratified by the label that it trains on. Returns the long per-fold table (task, fold, metric, value).
     """
     keys = list(keys)
-    x = matrix.key_feature_frame(featured, features, keep=keys)
-    x = materialize(folds.stratified_folds(x, "target_binary", keys, n_splits, seed))
+    base = matrix.key_feature_frame(featured, features, keep=keys)
+    x = materialize(folds.stratified_folds(base, "target_binary", keys, n_splits, seed))
+    y = materialize(folds.stratified_folds(base, "target_multiclass", keys, n_splits, seed))
     rows = []
     for k in range(n_splits):
-        train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
-        bm = gbt.score_binary(gbt.train_binary(train, list(features), params=params), test)
+        bm = gbt.score_binary(gbt.train_binary(x.where(F.col("fold") != k), list(features), params=params), x.where(F.col("fold") == k))
         b = metrics.binary_with_auc(bm, "target_binary", "pred_binary", "p_failure")
         rows.append(_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]))
-        mm = gbt.score_multiclass(gbt.train_multiclass(train, list(features), params=params), test)
+        mm = gbt.score_multiclass(gbt.train_multiclass(y.where(F.col("fold") != k), list(features), params=params), y.where(F.col("fold") == k))
         w = metrics.weighted_metrics(mm, "target_multiclass", "risk_class")
         rows.append(_fold_rows("multiclass", k + 1, w, ["precision_weighted", "recall_weighted", "f1_weighted"]))
     out = rows[0]

@@ -16,7 +16,7 @@ def test_walk_forward_bounds(spark):
 
 def test_stratified_balance(spark):
     df = spark.range(1003).select(F.col("id").alias("k"), (F.col("id") % 7 == 0).cast("int").alias("y"))
-    sizes = folds.stratified_folds(df, "y", ["k"], buckets=16).groupBy("y", "fold").count().collect()
+    sizes = folds.stratified_folds(df, "y", ["k"], digits=1).groupBy("y", "fold").count().collect()
     for y in (0, 1):
         c = [r["count"] for r in sizes if r.y == y]
         assert max(c) - min(c) <= 1
