@@ -218,7 +218,7 @@ def q_sample(spark, sf):
 
 _PROBS_SQL = """, weights AS (SELECT inverter_id, datetime, [CAST((inverter_idx * 37 + hour * 11) % 100 AS DOUBLE), CAST((inverter_idx * 13 + hour * 29) % 100 AS DOUBLE),
     CAST((day_of_week * 17 + hour * 7) % 100 AS DOUBLE)] AS w FROM featured),
-probs AS (SELECT inverter_id, datetime, list_transform(w, lambda x: (x + 1) / (w[1] + w[2] + w[3] + 3)) AS p FROM weights)"""
+probs AS (SELECT inverter_id, datetime, list_transform(w, lambda x: (x + 1.01) / (w[1] + w[2] + w[3] + 3.03)) AS p FROM weights)"""
 
 
 @register("class_decision", f"""{FEATURED_SQL}{_PROBS_SQL} SELECT inverter_id, datetime,
@@ -228,7 +228,7 @@ def q_class_decision(spark, sf):
     w = [(F.col("inverter_idx").cast("long") * 37 + F.col("hour") * 11) % 100, (F.col("inverter_idx").cast("long") * 13 + F.col("hour") * 29) % 100,
          (F.col("day_of_week") * 17 + F.col("hour") * 7) % 100]
     w = [x.cast("double") for x in w]
-    probs = F.array(*[(x + 1) / (w[0] + w[1] + w[2] + 3) for x in w])
+    probs = F.array(*[(x + 1.01) / (w[0] + w[1] + w[2] + 3.03) for x in w])
     d = featured(spark, sf).select(*KEYS, probs.alias("p"))
     return d.select(*KEYS, risk.argmax_class(F.col("p")).cast("int").alias("risk_class"),
                     risk.failure_probability(F.col("p")).alias("failure_probability"))
