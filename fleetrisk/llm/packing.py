@@ -18,7 +18,7 @@ from pyspark.taskcontext import TaskContext
 
 from .common import stash, text_steps, texts
 
-MEMO = 400_000
+MEMO = 300_000
 #: Characters around which nothing of a special token, a contraction or a composed character can stand:
 #: white space, ASCII letters, digits and marks but for ' < > ` | and backslash, and Latin-1 letters.
 _MARKS = r"!\"#$%&()*+,\-./:;=?@\[\]^_{}~"

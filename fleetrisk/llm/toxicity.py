@@ -23,7 +23,8 @@ from .common import text_steps, texts
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 6
 HASH_BITS = 22
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-MEMO = 300_000
+MEMO = 100_000  # words kept by a task at the start of a step
+STEP_BYTES = 1_000_000
 MOST = 400_000  # words of a text that are convolved at a time
 
 
@@ -227,7 +228,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_batch = _scorer(pickle.loads(shared.value))
-        for b in text_steps(batches):
+        for b in text_steps(batches, step_bytes=STEP_BYTES):
             value, cut = score_batch(b)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(value), pa.array(cut)],
                                              names=["doc_id", "lang", "score", "threshold"])
@@ -283,7 +284,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_batch = _scorer(pickle.loads(shared.value))
-        for b in text_steps(batches):
+        for b in text_steps(batches, step_bytes=STEP_BYTES):
             value, cut = score_batch(b)
             yield b.filter(pa.array(value < cut))
 
