@@ -20,9 +20,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..session import scratch_path, ship_package
 
@@ -82,6 +82,60 @@ def contributions(x: np.ndarray, trees) -> tuple[np.ndarray, np.ndarray]:
     return contrib, bias
 
 
+DRIVER = StructType([StructField("feature", StringType()), StructField("value", DoubleType()),
+                     StructField("impact", DoubleType()), StructField("direction", StringType())])
+
+
+def _cleaned(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    return df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+
+
+def add_drivers(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str], k: int = 5,
+                out: str = "top_risk_factors") -> DataFrame:
+    """ML15 + SK5 + FN14: the row's ``k`` features of largest |impact|, best first, ties by name, as an array
+    of (feature, value, impact, direction), and ``base_value``, the bias. Ranked inside the row: no shuffle.
+
+    ``features`` must not hold NULLs (they count as 0); other columns pass through.
+    """
+    ship_package(df.sparkSession)
+    trees, feats = _arrays(nodes), list(features)
+    by_name = sorted(range(len(feats)), key=feats.__getitem__)
+    schema = StructType(df.schema.fields + [StructField(out, ArrayType(DRIVER)), StructField("base_value", DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            x = pdf[feats].fillna(0.0).to_numpy(dtype="float64")
+            c, bias = contributions(x, trees)
+            best = np.argsort(-np.abs(c[:, by_name]), axis=1, kind="stable")[:, :k]
+            pdf[out] = pd.Series([[{"feature": feats[j], "value": float(x[r, j]), "impact": float(c[r, j]),
+                                    "direction": "increases risk" if c[r, j] > 0 else "decreases risk"}
+                                   for j in (by_name[b] for b in row)] for r, row in enumerate(best)],
+                                 index=pdf.index, dtype=object)
+            pdf["base_value"] = bias
+            yield pdf
+    return df.mapInPandas(run, schema)
+
+
+def mean_impacts(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str]) -> DataFrame:
+    """ML14: (feature, mean_abs_impact) over all rows; a batch sends one row per feature to the sum."""
+    ship_package(df.sparkSession)
+    trees, feats = _arrays(nodes), list(features)
+    schema = StructType([StructField("feature", StringType()), StructField("total", DoubleType()), StructField("n", LongType())])
+
+    def run(batches):
+        for pdf in batches:
+            c, _ = contributions(pdf[feats].to_numpy(dtype="float64"), trees)
+            yield pd.DataFrame({"feature": feats, "total": np.abs(c).sum(axis=0), "n": len(pdf)})
+    parts = _cleaned(df, feats, []).mapInPandas(run, schema)
+    return parts.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("mean_abs_impact"))
+
+
+def top_features(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str], k: int = 10) -> DataFrame:
+    """ML14: the ``k`` features of largest mean |impact|, ranked from 1 (one row per feature is ranked)."""
+    w = Window.orderBy(F.desc("mean_abs_impact"), "feature")
+    return mean_impacts(df, nodes, features).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 ATTR_SCHEMA_FIELDS = [StructField("feature", StringType()), StructField("value", DoubleType()),
                       StructField("impact", DoubleType()), StructField("base_value", DoubleType())]
 
@@ -105,5 +159,4 @@ def attribute(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str], keys:
             out["impact"] = c.reshape(-1)
             out["base_value"] = np.repeat(b, m)
             yield pd.DataFrame(out)
-    clean = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats]
-    return df.select(*keys, *clean).mapInPandas(run, schema)
+    return _cleaned(df, feats, keys).mapInPandas(run, schema)

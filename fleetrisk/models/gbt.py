@@ -41,7 +41,7 @@ def _gbt(p: BoostParams, label: str, weight: str | None, validation: str | None)
               seed=p.seed)
     if weight:
         kw["weightCol"] = weight
-    if validation:  # rounds stop when the loss on these rows no longer falls
+    if validation:  # rounds stop when the loss on these rows falls by less than MLlib's tolerance of 1 %
         kw["validationIndicatorCol"] = validation
     return GBTClassifier(**kw)
 

@@ -40,11 +40,23 @@ def numeric_signal_columns(df: DataFrame) -> list[str]:
             if isinstance(f.dataType, NumericType) and f.name not in skip]
 
 
-def aggregate_hourly(readings: DataFrame, extra_keys: list[str] | None = None) -> DataFrame:
+def first_metadata(readings: DataFrame, meta: list[str]) -> DataFrame:
+    """JN1: one row per inverter with its earliest non-NULL value of each metadata column (least value on ties).
+
+    Readings are first reduced to their distinct combinations, before any shuffle.
+    """
+    seen = (readings.where(F.col("inverter_id").isNotNull() & F.col("datetime").isNotNull())
+            .groupBy("inverter_id", *meta).agg(F.min("datetime").alias("_seen")))
+    return seen.groupBy("inverter_id").agg(
+        *[F.min(F.when(F.col(c).isNotNull(), F.struct("_seen", c)))[c].alias(c) for c in meta])
+
+
+def aggregate_hourly(readings: DataFrame, extra_keys: list[str] | None = None, metadata: str = "keys") -> DataFrame:
     """Raw readings -> one row per (inverter_id, hour).
 
     Rows with a missing inverter id or timestamp are dropped first (AG3).
     Output layout: keys, aggregated signals in input order, then metadata.
+    ``metadata="first"`` joins ``first_metadata`` on, for ids that don't fix their metadata.
     """
     extra = list(extra_keys or [])
     signals = [c for c in numeric_signal_columns(readings) if c not in extra]
@@ -53,5 +65,9 @@ def aggregate_hourly(readings: DataFrame, extra_keys: list[str] | None = None) -
              .where(F.col("inverter_id").isNotNull() & F.col("datetime").isNotNull())
              .withColumn("hour_bucket", hour_bucket("datetime")))
     aggs = [aggregate_expr(c) for c in signals]
-    out = keyed.groupBy("inverter_id", "hour_bucket", *meta).agg(*aggs)
+    if metadata == "first":
+        hours = keyed.groupBy("inverter_id", "hour_bucket", *extra).agg(*aggs)
+        out = hours.join(first_metadata(readings, [c for c in meta if c not in extra]), "inverter_id", "left")
+    else:
+        out = keyed.groupBy("inverter_id", "hour_bucket", *meta).agg(*aggs)
     return out.select("inverter_id", F.col("hour_bucket").alias("datetime"), *signals, *meta)

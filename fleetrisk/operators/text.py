@@ -112,6 +112,22 @@ def prompt_text(context_json: Column, question: Column) -> Column:
     return F.concat(ctx, F.lit("User question: "), question)
 
 
-def context_json(conv_id: Column, turn: Column) -> Column:
-    """Indented JSON of the message context (2-space indent, like a pretty dump)."""
-    return F.format_string('{\n  "conv_id": %d,\n  "turn": %d\n}', conv_id, turn)
+def _json_value(c: Column) -> Column:
+    listed = F.to_json(F.array(c))  # a value alone isn't valid input of to_json
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def context_json(context: Column, inverter_id: Column | None = None) -> Column:
+    """TX4: a map of any values as JSON, one key a line, 2 spaces in; NULL where there is nothing to tell.
+
+    ``inverter_id``, where not NULL, replaces the entry of that name or follows the others. Nested values stay on one line.
+    """
+    own = inverter_id if inverter_id is not None else F.lit(None).cast("string")
+    entries = F.coalesce(F.map_entries(context), F.array())
+    lines = F.transform(entries, lambda e: F.concat(
+        F.lit("  "), _json_value(e["key"]), F.lit(": "),
+        F.when((e["key"] == "inverter_id") & own.isNotNull(), _json_value(own)).otherwise(_json_value(e["value"]))))
+    named = F.exists(entries, lambda e: e["key"] == "inverter_id")
+    lines = F.when(own.isNull() | named, lines).otherwise(
+        F.concat(lines, F.array(F.concat(F.lit('  "inverter_id": '), _json_value(own)))))
+    return F.when(F.size(lines) > 0, F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.features import add_events, add_kpi_features, add_time_features
+from ..operators.hourly import aggregate_hourly
 from ..schema import ROLLING_COLS, WINDOWS
 from ..sources.events_fixture import load_readings
 from . import sql_twins as S
@@ -34,8 +35,9 @@ def q_hourly_agg(spark, sf):
 @register("metadata_reattach", _sel(S.BASE_HOURLY, "inverter_id, datetime, plant_id, logger_mac, inverter_idx",
                                     "hourly"))
 def q_metadata(spark, sf):
-    """JN1: per-inverter metadata carried onto every hourly row."""
-    return hourly_from_events(spark, sf).select(*KEYS, "plant_id", "logger_mac", "inverter_idx")
+    """JN1: each inverter's first non-null metadata on all its hourly rows."""
+    hourly = aggregate_hourly(load_readings(spark, sf), metadata="first")
+    return hourly.select(*KEYS, "plant_id", "logger_mac", "inverter_idx")
 
 
 @register("composed_key", _sel(S.with_stages(S.READINGS),

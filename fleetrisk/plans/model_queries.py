@@ -1,16 +1,15 @@
 """Registered model queries (rows-only checks: trained models have no SQL twin).
 
-Training uses the reference's model settings except the number of boosting
-rounds, which these registered queries set to 20 so a check run stays short
-(``fleetrisk.models.gbt.BoostParams`` defaults to the full 500).
+Models are trained at the reference's settings (``gbt.BoostParams``: at most 500
+rounds); the positional hold-out, the last fifth of the rows, stops the boosting.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import gbt, iforest
-from ..operators import matrix, risk, serving
+from ..models import explain, gbt, iforest
+from ..operators import folds, matrix, ranking, risk, serving
 from ..schema import KEY_FEATURES
 from ..session import materialize
 from .analysis_queries import AVAILABLE_KEYS, featured
@@ -18,19 +17,28 @@ from .catalog import register, rounded
 from .store import baseline_table
 from .feature_queries import KEYS
 
-QUICK = gbt.BoostParams(max_iter=20)
+HELD = "held_out"
 
 
 def training_frame(spark, sf):
-    return materialize(matrix.key_feature_frame(featured(spark, sf), keep=KEYS))
+    """Key features and targets of every reading, and whether the reading only stops the boosting."""
+    d = folds.holdout_split(matrix.key_feature_frame(featured(spark, sf), keep=KEYS))
+    return materialize(d.withColumn(HELD, ~F.col("is_train")).drop("is_train", "row_pos"))
+
+
+def _binary(d):
+    return gbt.train_binary(d, AVAILABLE_KEYS, validation=HELD)
+
+
+def _multiclass(d):
+    return gbt.train_multiclass(d, AVAILABLE_KEYS, validation=HELD)
 
 
 @register("gbt_binary")
 def q_gbt_binary(spark, sf):
     """ML1: weighted binary GBT fitted on the key features, scored on every row."""
     d = training_frame(spark, sf)
-    model = gbt.train_binary(d, AVAILABLE_KEYS, params=QUICK)
-    out = gbt.score_binary(model, d)
+    out = gbt.score_binary(_binary(d), d)
     return rounded(out.select(*KEYS, "target_binary", F.col("pred_binary").cast("int").alias("prediction"),
                               "p_failure"))
 
@@ -39,8 +47,7 @@ def q_gbt_binary(spark, sf):
 def q_ovr_multiclass(spark, sf):
     """ML2 + FN13: one-vs-rest 3-class GBT, normalised class probabilities, argmax, 1 - P(no risk)."""
     d = training_frame(spark, sf)
-    models = gbt.train_multiclass(d, AVAILABLE_KEYS, params=QUICK)
-    out = gbt.score_multiclass(models, d)
+    out = gbt.score_multiclass(_multiclass(d), d)
     return out.select(*KEYS, "target_multiclass", "risk_class", "failure_probability",
                       risk.risk_level(F.col("risk_class")).alias("risk_level"))
 
@@ -56,49 +63,39 @@ def q_anomaly_scores(spark, sf):
 
 @register("batch_score")
 def q_batch_score(spark, sf):
-    """ML17: sparse readings -> completion (SV*) -> 3-class GBT + isolation forest -> prediction records."""
-    feat = featured(spark, sf)
+    """ML17: sparse readings -> completion (SV*) -> 3-class GBT, isolation forest, drivers of the binary GBT
+    -> prediction records."""
     d = training_frame(spark, sf)
-    models = gbt.train_multiclass(d, AVAILABLE_KEYS, params=QUICK)
+    models, nodes = _multiclass(d), explain.gbt_nodes(spark, _binary(d).stages[-1])
     forest = iforest.fit(d, AVAILABLE_KEYS, KEYS, n_trees=100, contamination=0.15)
-    base = baseline_table(spark, sf)
-    dense = serving.complete_readings(serving.readings_from_featured(feat), base, KEY_FEATURES)
-    scored = gbt.score_multiclass(models, dense)
-    scored = iforest.add_anomaly_scores(scored, forest)
+    dense = serving.complete_readings(serving.readings_from_featured(featured(spark, sf)), baseline_table(spark, sf), KEY_FEATURES)
+    scored = iforest.add_anomaly_scores(dense, forest)
+    scored = gbt.score_multiclass(models, explain.add_drivers(scored, nodes, AVAILABLE_KEYS))
     lvl = risk.risk_level(F.col("risk_class"))
+    factors = F.transform("top_risk_factors", lambda d: d.withField("value", F.round(d["value"], 4))
+                          .withField("impact", F.round(d["impact"], 4)))
     return scored.select("reading_id", "inverter_id", "failure_probability", lvl.alias("risk_level"),
                          "risk_class", (F.col("is_anomaly") == 1).alias("is_anomaly"),
-                         F.round("anomaly_score", 4).alias("anomaly_score"),
+                         F.round("anomaly_score", 4).alias("anomaly_score"), factors.alias("top_risk_factors"),
                          risk.recommendation(lvl).alias("recommendation"))
 
 
-def _explained(spark, sf):
-    from ..models import explain
-    d = training_frame(spark, sf)
-    model = gbt.train_binary(d, AVAILABLE_KEYS, params=QUICK)
-    nodes = explain.gbt_nodes(spark, model.stages[-1])
-    return explain.attribute(d, nodes, AVAILABLE_KEYS, KEYS)
-
-
 @register("explain_global")
 def q_explain_global(spark, sf):
     """ML14: top-10 features by mean |path attribution| of the binary GBT over all rows."""
-    from pyspark.sql import Window
-    a = _explained(spark, sf)
-    g = a.groupBy("feature").agg(F.avg(F.abs("impact")).alias("mean_abs_impact"))
-    ranked = g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs_impact"), "feature")))
-    return ranked.where(F.col("rank") <= 10)  # one row per feature before the cut
+    d = training_frame(spark, sf)
+    return explain.top_features(d, explain.gbt_nodes(spark, _binary(d).stages[-1]), AVAILABLE_KEYS)
 
 
 @register("explain_rows")
 def q_explain_rows(spark, sf):
     """ML15 + SK5 + FN14: per-row top-5 drivers (value, signed impact, direction) and base value."""
-    from ..operators import ranking
-    a = _explained(spark, sf)
-    top = ranking.top_k_per_group(a, 5, KEYS, [F.desc(F.abs(F.col("impact"))), F.asc("feature")])
-    return top.select(*KEYS, "rank", "feature", F.round("value", 4).alias("value"),
-                      F.round("impact", 4).alias("impact"), risk.direction(F.col("impact")).alias("direction"),
-                      "base_value")
+    d = training_frame(spark, sf)
+    nodes = explain.gbt_nodes(spark, _binary(d).stages[-1])
+    top = explain.add_drivers(d.select(*KEYS, *AVAILABLE_KEYS), nodes, AVAILABLE_KEYS)
+    each = top.select(*KEYS, "base_value", F.posexplode("top_risk_factors").alias("rank", "driver"))
+    return each.select(*KEYS, (F.col("rank") + 1).alias("rank"), "driver.feature", F.round("driver.value", 4).alias("value"),
+                       F.round("driver.impact", 4).alias("impact"), "driver.direction", "base_value")
 
 
 @register("training_metrics")
@@ -106,11 +103,9 @@ def q_training_metrics(spark, sf):
     """ML16: anomaly features -> walk-forward CV (binary + 3-class) -> hold-out -> attribution.
 
     Output: long metrics table (section, metric, value) over CV means, hold-out and top features.
-    Quick settings: 5 boosting rounds, 50 isolation trees.
     """
     from .training import run_training
-    res = run_training(spark, featured(spark, sf), params=gbt.BoostParams(max_iter=5), n_trees=50,
-                       save_dir=None)
+    res = run_training(spark, featured(spark, sf), save_dir=None)
     cv = res["aggregate"].select(F.concat("task", F.lit("_cv")).alias("section"), "metric",
                                  F.col("mean").alias("value"))
     ho = res["holdout"].select(F.lit("holdout_binary").alias("section"), "metric", "value")
@@ -119,15 +114,27 @@ def q_training_metrics(spark, sf):
     return cv.unionByName(ho).unionByName(tf)
 
 
+def _scored_readings(spark, sf, readings, keep):
+    """Stored readings, padded to the models' features, scored by the binary and the 3-class models."""
+    d = training_frame(spark, sf)
+    rows = matrix.pad_to_model(readings, AVAILABLE_KEYS, keep=keep)
+    return gbt.score_multiclass(_multiclass(d), gbt.score_binary(_binary(d), rows))
+
+
 @register("score_latest")
 def q_score_latest(spark, sf):
-    """ML18 + WN6/WN7: each inverter's last 10 stored readings scored by the binary and 3-class models."""
-    from ..operators import ranking
-    d = training_frame(spark, sf)
-    binary = gbt.train_binary(d, AVAILABLE_KEYS, params=QUICK)
-    multi = gbt.train_multiclass(d, AVAILABLE_KEYS, params=QUICK)
-    feat = featured(spark, sf).select(*KEYS, *AVAILABLE_KEYS)
-    recent = matrix.pad_to_model(ranking.last_n_per_entity(feat, 10), AVAILABLE_KEYS, keep=KEYS + ["reading_no"])
-    s = gbt.score_multiclass(multi, gbt.score_binary(binary, recent))
+    """ML18 + WN7 + RP4: each inverter's last 10 stored readings scored by the models (the trend)."""
+    recent = ranking.last_n_per_entity(featured(spark, sf).select(*KEYS, *AVAILABLE_KEYS), 10)
+    s = _scored_readings(spark, sf, recent, KEYS + ["reading_no"])
     return s.select(*KEYS, "reading_no", F.round("p_failure", 6).alias("failure_prob"), "risk_class",
                     risk.risk_display(F.col("risk_class")).alias("risk_label"))
+
+
+@register("model_risk_board")
+def q_model_risk_board(spark, sf):
+    """RP3 + SK3 on trained models: each inverter's latest reading scored, as the full risk table."""
+    latest = ranking.latest_per_entity(featured(spark, sf).select(*KEYS, "plant_id", *AVAILABLE_KEYS))
+    s = _scored_readings(spark, sf, latest, ["inverter_id", "plant_id"])
+    prob = F.round("p_failure", 6)
+    return s.select("inverter_id", "plant_id", prob.alias("failure_prob"), risk.percent(F.col("p_failure")).alias("failure_prob_text"),
+                    "risk_class", risk.risk_display(F.col("risk_class")).alias("risk_label")).orderBy(F.desc("failure_prob"), "inverter_id")

@@ -454,8 +454,22 @@ FROM conversations WHERE role = 'user'""")
 def q_prompt_column(spark, sf):
     """TX4: prompt text = JSON context block + question, per user message."""
     m = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "user")
-    return m.select("conv_id", "turn", text.prompt_text(text.context_json(F.col("conv_id"), F.col("turn")),
-                                                        F.col("text")).alias("prompt"))
+    context = F.create_map(F.lit("conv_id"), F.col("conv_id").cast("long"), F.lit("turn"), F.col("turn").cast("long"))
+    return m.select("conv_id", "turn", text.prompt_text(text.context_json(context), F.col("text")).alias("prompt"))
+
+
+@register("prompt_reading_context", _q(SCORED_SQL + _LATEST_SQL, """SELECT inverter_id,
+  'Context data:' || chr(10) || '```json' || chr(10) || printf('{' || chr(10) || '  "hour": %d,' || chr(10)
+    || '  "alarm_count_7d": %d,' || chr(10) || '  "risk_class": %d,' || chr(10) || '  "inverter_id": "%s"' || chr(10) || '}',
+    hour, CAST(alarm_count_7d AS BIGINT), proxy_class, inverter_id) || chr(10) || '```' || chr(10) || chr(10)
+    || 'User question: Why is this inverter at risk?' AS prompt
+FROM latest"""))
+def q_prompt_reading_context(spark, sf):
+    """TX4: the question about each inverter's latest reading, its values and id as context."""
+    values = {"hour": "hour", "alarm_count_7d": "alarm_count_7d", "risk_class": "proxy_class"}
+    context = F.create_map(*[x for k, c in values.items() for x in (F.lit(k), F.col(c).cast("long"))])
+    return _latest_scored(spark, sf).select("inverter_id", text.prompt_text(
+        text.context_json(context, F.col("inverter_id")), F.lit("Why is this inverter at risk?")).alias("prompt"))
 
 
 @register("prediction_summary", _q(ATTR_SQL + """,

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..models import explain, gbt, iforest
 from ..operators import folds, matrix, metrics
+from ..schema import KEY_FEATURES
 from ..session import materialize
 from ..sources.sinks import save_model, write_json_table
 
@@ -62,10 +63,7 @@ def run_training(spark: SparkSession, featured: DataFrame, params: gbt.BoostPara
     hold = metrics.binary_with_auc(scored, "target_binary", "pred_binary", "p_failure")
     holdout = metrics.to_long(hold, [], ["precision", "recall", "f1", "auc"])
     final_multi = gbt.train_multiclass(split, feats, params=params, validation="_val")
-    att = explain.attribute(test, explain.gbt_nodes(spark, final_bin.stages[-1]), feats, keys)
-    g = att.groupBy("feature").agg(F.avg(F.abs("impact")).alias("mean_abs_impact"))
-    top = g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs_impact"), "feature"))) \
-        .where(F.col("rank") <= 10)  # one row per feature
+    top = materialize(explain.top_features(test, explain.gbt_nodes(spark, final_bin.stages[-1]), feats))
     out = {"per_fold": series, "aggregate": metrics.fold_aggregate(series), "holdout": holdout,
            "top_features": top, "feature_names": feats}
     if save_dir:
@@ -103,3 +101,32 @@ def stratified_cv(featured: DataFrame, features: Sequence[str], params: gbt.Boos
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def run_light_training(spark: SparkSession, featured: DataFrame, features: Sequence[str] = KEY_FEATURES,
+                       params: gbt.BoostParams = gbt.LIGHT, n_splits: int = 5, n_trees: int = 100, contamination: float = 0.15,
+                       keys: Sequence[str] = ("inverter_id", "datetime"), save_dir: str | None = None) -> dict:
+    """ML3: the light retrain job: stratified CV, final models on all rows (3-class balanced), forest, baseline.
+
+    Features that the table lacks are left out. Returns ``per_fold``, ``aggregate``, ``top_features`` (over all
+    rows), ``baseline`` (feature, median) and ``feature_names``; ``save_dir`` gets the models beside them.
+    """
+    keys = list(keys)
+    feats = matrix.available_key_features(featured, features)
+    per_fold = materialize(stratified_cv(featured, feats, params, n_splits, keys=keys))
+    rows = materialize(matrix.key_feature_frame(featured, feats, keep=keys))
+    binary = gbt.train_binary(rows, feats, params=params)
+    multi = gbt.train_multiclass(rows, feats, params=params, balanced=True)
+    forest = iforest.fit(rows, feats, keys, n_trees=n_trees, contamination=contamination)
+    top = materialize(explain.top_features(rows, explain.gbt_nodes(spark, binary.stages[-1]), feats))
+    baseline = matrix.healthy_baseline(rows, feats)
+    out = {"per_fold": per_fold, "aggregate": metrics.fold_aggregate(per_fold), "top_features": top,
+           "baseline": baseline, "feature_names": feats}
+    if save_dir:
+        save_model(binary, f"{save_dir}/binary_model")
+        for i, m in enumerate(multi):
+            save_model(m, f"{save_dir}/multiclass_model_{i}")
+        iforest.save_forest(forest, f"{save_dir}/anomaly_model")
+        for name in ("per_fold", "aggregate", "top_features", "baseline"):
+            write_json_table(out[name], f"{save_dir}/{name}")
+    return out

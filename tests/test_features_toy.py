@@ -106,3 +106,22 @@ def test_positions_dense(spark):
     p = ch.add_positions(h).groupBy("inverter_id").agg(F.min("_pos").alias("lo"), F.max("_pos").alias("hi"),
                                                        F.count("*").alias("n")).collect()
     assert all(r.lo == 0 and r.hi == r.n - 1 for r in p)
+
+
+def test_context_json_any_map(spark):
+    from fleetrisk.operators.text import context_json
+    rows = [(1, {"a": 'x"y', "b": None}, "I1"), (2, {"inverter_id": "old", "z": "1"}, "I2"), (3, None, None), (4, {}, "I4"), (5, {"a": "1"}, None)]
+    df = spark.createDataFrame(rows, "k int, c map<string,string>, inv string")
+    got = {r.k: r.j for r in df.select("k", context_json(F.col("c"), F.col("inv")).alias("j")).collect()}
+    assert got == {1: '{\n  "a": "x\\"y",\n  "b": null,\n  "inverter_id": "I1"\n}', 2: '{\n  "inverter_id": "I2",\n  "z": "1"\n}',
+                   3: None, 4: '{\n  "inverter_id": "I4"\n}', 5: '{\n  "a": "1"\n}'}
+
+
+def test_first_metadata_where_ids_do_not_fix_it(spark):
+    import datetime as dt
+    from fleetrisk.operators.hourly import aggregate_hourly
+    at = [dt.datetime(2024, 1, 1, 0, m) for m in range(4)]
+    rows = [("i", at[0], None, "m", 1, 1.0), ("i", at[1], "p1", "m", 1, 3.0), ("i", at[2], "p2", "m", 1, 5.0), ("j", at[3], None, "m", 2, 7.0)]
+    df = spark.createDataFrame(rows, "inverter_id string, datetime timestamp_ntz, plant_id string, logger_mac string, inverter_idx int, inv_power double")
+    got = {r.inverter_id: (r.plant_id, r.logger_mac, r.inv_power) for r in aggregate_hourly(df, metadata="first").collect()}
+    assert got == {"i": ("p1", "m", 3.0), "j": (None, "m", 7.0)}

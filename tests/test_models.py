@@ -125,3 +125,32 @@ def test_exact_median_rounds_match_brute_force(spark):
     for k in ("a", "b", "c"):
         want = statistics.median([v for f, v in rows if f == k and v is not None])
         assert abs(got[k] - want) < 1e-12, (k, got[k], want)
+
+
+def test_drivers_agree_with_long_attribution(spark):
+    from fleetrisk.models import explain, gbt
+    rows = [(i, float(i % 7), float((i * 3) % 11), 0.0, int((i % 7) > 3 or (i % 11) == 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, target_binary int")
+    feats = ["c", "b", "a"]
+    nodes = explain.gbt_nodes(spark, gbt.train_binary(df, feats, params=gbt.BoostParams(max_iter=4, max_depth=3)).stages[-1])
+    long = {}
+    for r in explain.attribute(df, nodes, feats, ["k"]).collect():
+        long.setdefault(r.k, []).append((-abs(r.impact), r.feature, r.impact))
+    for r in explain.add_drivers(df, nodes, feats, 2).collect():
+        want = [(f, i, "increases risk" if i > 0 else "decreases risk") for _, f, i in sorted(long[r.k])[:2]]
+        assert [(d.feature, d.impact, d.direction) for d in r.top_risk_factors] == want
+    means = {r.feature: r.mean_abs_impact for r in explain.mean_impacts(df, nodes, feats).collect()}
+    for j, f in enumerate(feats):
+        assert abs(means[f] - sum(abs(i) for v in long.values() for _, g, i in v if g == f) / 300) < 1e-9
+
+
+def test_light_training_job(spark, tmp_path):
+    from fleetrisk.models import gbt, iforest
+    from fleetrisk.plans.store import featured_table
+    from fleetrisk.plans.training import run_light_training
+    out = run_light_training(spark, featured_table(spark, "/root/testdata/sf0.001"), ["inv_power", "inv_temp", "hour", "absent"],
+                             gbt.BoostParams(max_iter=2, max_depth=2), n_splits=2, n_trees=5, save_dir=str(tmp_path / "light"))
+    assert out["feature_names"] == ["inv_power", "inv_temp", "hour"]
+    assert {r.feature for r in out["baseline"].collect()} == set(out["feature_names"]) == {r.feature for r in out["top_features"].collect()}
+    assert out["per_fold"].count() == 2 * 7
+    assert iforest.load_forest(spark, str(tmp_path / "light/anomaly_model")).features == tuple(out["feature_names"])
