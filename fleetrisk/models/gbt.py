@@ -8,14 +8,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matrix import class_weights
@@ -35,6 +38,12 @@ class BoostParams:
 LIGHT = BoostParams(max_iter=300, step_size=0.08, subsample=1.0, feature_subset="all")
 
 
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], Any]], parallelism: int = 4) -> list:
+    """Fits that don't need each other, submitted together (as MLlib's cross validation does); results in order."""
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(spark)(j) for j in jobs], chunksize=1)
+
+
 def _gbt(p: BoostParams, label: str, weight: str | None, validation: str | None) -> GBTClassifier:
     kw = dict(featuresCol="features", labelCol=label, maxIter=p.max_iter, maxDepth=p.max_depth,
               stepSize=p.step_size, subsamplingRate=p.subsample, featureSubsetStrategy=p.feature_subset,
@@ -82,11 +91,10 @@ def train_multiclass(df: DataFrame, features: Sequence[str], label: str = "targe
         cw = class_weights(own, label).select(F.col("class").alias(label), F.col("weight").alias("_cw"))
         weighted, weight = df.join(F.broadcast(cw), label, "left"), "_cw"  # one row per class
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    models = []
-    for k in classes:
+    def one(k: int) -> PipelineModel:
         d = weighted.withColumn("_y", (F.col(label) == k).cast("double"))
-        models.append(Pipeline(stages=[asm, _gbt(params, "_y", weight, validation)]).fit(d))
-    return models
+        return Pipeline(stages=[asm, _gbt(params, "_y", weight, validation)]).fit(d)
+    return side_by_side(df.sparkSession, [lambda k=k: one(k) for k in classes])
 
 
 def score_multiclass(models: list[PipelineModel], df: DataFrame) -> DataFrame:

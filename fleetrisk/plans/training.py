@@ -38,20 +38,21 @@ def run_training(spark: SparkSession, featured: DataFrame, params: gbt.BoostPara
     x = materialize(iforest.add_anomaly_scores(base, forest))
     feats = feats + ["anomaly_score", "is_anomaly"]
     x = materialize(folds.holdout_split(folds.walk_forward_folds(x, n_splits)))
-    per_fold = []
-    for k in range(n_splits):
-        start = x.where(F.col("test_fold") == k).agg(F.min("row_pos")).first()[0]
+
+    def fold(k: int) -> list[DataFrame]:
+        test = x.where(F.col("test_fold") == k)
+        start = test.agg(F.min("row_pos")).first()[0]
         if start is None:
-            continue
+            return []
         # the fold under test is also the set that stops the boosting, as in the reference job
         seen = x.where((F.col("row_pos") < start) | (F.col("test_fold") == k)).withColumn("_val", F.col("row_pos") >= start)
-        test = x.where(F.col("test_fold") == k)
         bm = gbt.score_binary(gbt.train_binary(seen, feats, params=params, validation="_val"), test)
         b = metrics.binary_with_auc(bm, "target_binary", "pred_binary", "p_failure")
-        per_fold.append(_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]))
         mm = gbt.score_multiclass(gbt.train_multiclass(seen, feats, params=params, validation="_val"), test)
         m = metrics.macro_metrics(mm, "target_multiclass", "risk_class")
-        per_fold.append(_fold_rows("multiclass", k + 1, m, ["precision_macro", "recall_macro", "f1_macro"]))
+        return [_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]),
+                _fold_rows("multiclass", k + 1, m, ["precision_macro", "recall_macro", "f1_macro"])]
+    per_fold = sum(gbt.side_by_side(spark, [lambda k=k: fold(k) for k in range(n_splits)]), [])
     series = per_fold[0]
     for p in per_fold[1:]:
         series = series.unionByName(p)
@@ -89,14 +90,15 @@ def stratified_cv(featured: DataFrame, features: Sequence[str], params: gbt.Boos
     base = matrix.key_feature_frame(featured, features, keep=keys)
     x = materialize(folds.stratified_folds(base, "target_binary", keys, n_splits, seed))
     y = materialize(folds.stratified_folds(base, "target_multiclass", keys, n_splits, seed))
-    rows = []
-    for k in range(n_splits):
+
+    def fold(k: int) -> list[DataFrame]:
         bm = gbt.score_binary(gbt.train_binary(x.where(F.col("fold") != k), list(features), params=params), x.where(F.col("fold") == k))
         b = metrics.binary_with_auc(bm, "target_binary", "pred_binary", "p_failure")
-        rows.append(_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]))
         mm = gbt.score_multiclass(gbt.train_multiclass(y.where(F.col("fold") != k), list(features), params=params), y.where(F.col("fold") == k))
         w = metrics.weighted_metrics(mm, "target_multiclass", "risk_class")
-        rows.append(_fold_rows("multiclass", k + 1, w, ["precision_weighted", "recall_weighted", "f1_weighted"]))
+        return [_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]),
+                _fold_rows("multiclass", k + 1, w, ["precision_weighted", "recall_weighted", "f1_weighted"])]
+    rows = sum(gbt.side_by_side(x.sparkSession, [lambda k=k: fold(k) for k in range(n_splits)]), [])
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
