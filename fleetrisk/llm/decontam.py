@@ -25,7 +25,7 @@ from .common import text_steps, texts
 
 DROP = string.punctuation.encode()
 CLASS_STEP = 1.2  # item lengths within this factor share a window size (that of the shortest)
-EARLY = 6  # the first sampled step lies below this one
+MEET = (4, 12, *(28 << k for k in range(40)))  # steps after which walks that have met are joined
 ITEM_BLOCK = 20_000  # items a broadcast holds; more items are handled block after block
 
 
@@ -50,29 +50,21 @@ class Index:
             self.classes.append((sizes[0], [k for k, (_, w) in enumerate(self.items) if sizes[0] <= len(w) <= top]))
             sizes = [s for s in sizes if s > top]
         self.repetitions = []
-        short = 2 * self.classes[0][0] if self.classes else 0
         for _ in range(repetitions if self.classes else 0):
             steps = 2 * self.classes[-1][0]
             bits = rng.integers(0, 1 << 62, (steps // 62 + 1, self.pad + 1), dtype=np.int64)
-            # two steps that all lengths share, the first an early one (all windows walk that far),
-            # then steps from all over each length's window
-            first = int(rng.integers(0, min(EARLY, short - 1)))
-            shared = [first, int(rng.integers(first + 1, short))]
-            keys, owner, goals = [], [], np.zeros((len(self.classes), samples - 2), np.int64)
+            tables = []
             for c, (window, members) in enumerate(self.classes):
-                goals[c] = np.sort(rng.choice(np.arange(shared[1] + 1, max(2 * window, short) + samples), samples - 2, replace=False))
-                for k in members:
-                    keys.append([c, *self._written(self.items[k][1], bits, [*shared, *goals[c].tolist()], window)])
-                    owner.append(k)
-            keys = np.array(keys, np.int64)
-            starts = np.zeros(self.pad + 1, bool)
-            starts[keys[:, 1]] = True
-            full = self._mix(keys.T)
-            order = np.argsort(full, kind="stable")
-            pairs, member = np.unique(self._mix(keys[:, 1:3].T), return_inverse=True)
-            classes = np.zeros((len(pairs), len(self.classes)), bool)  # the length classes in which a pair is met
-            classes[member, keys[:, 0]] = True
-            self.repetitions.append((bits, shared, goals, starts, pairs, classes, full[order], np.array(owner)[order]))
+                # the steps come from the whole walk over the window, so no part of an item is needed by all tables
+                goals = np.sort(rng.choice(2 * window, samples, replace=False)).tolist()
+                written = np.array([self._written(self.items[k][1], bits, goals, window) for k in members], np.int64)
+                starts = np.zeros(self.pad + 1, bool)
+                starts[written[:, 0]] = True
+                heads = [np.unique(self._mix(written[:, :m].T)) for m in range(2, samples)]
+                full = self._mix(written.T)
+                order = np.argsort(full, kind="stable")
+                tables.append((goals, c, starts, heads, full[order], np.array(members)[order]))
+            self.repetitions.append((bits, sorted(tables, key=lambda t: t[:2])))
 
     def _mix(self, columns) -> np.ndarray:
         """One number for the symbols of the columns (it may wrap around: verification drops what meets by chance)."""
@@ -92,8 +84,9 @@ class Index:
         return out
 
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window start, item) pairs of all repetitions. All windows walk to the first sampled step;
-        only those that still agree with some item walk on, as a table lookup fails at the first symbol that differs."""
+        """(window start, item) pairs of all repetitions. All windows walk to the first sampled step of their length class;
+        only those that still agree with some item walk on, as a table lookup fails at the first symbol that differs.
+        Windows whose walks have met go on as one: they read the same words from there."""
         n = len(ids)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         tail = np.full(2 * self.classes[-1][0] + 1 if self.classes else 1, self.pad, ids.dtype)
@@ -103,7 +96,7 @@ class Index:
             buf = np.empty(len(at), np.int64)
             for step in steps:
                 np.take(turn, at, out=buf, mode="clip")
-                np.right_shift(buf, step, out=buf)
+                np.right_shift(buf, step % 62, out=buf)
                 np.bitwise_and(buf, 1, out=buf)
                 np.add(at, buf, out=at)
 
@@ -114,34 +107,43 @@ class Index:
         known = np.concatenate([[0], np.cumsum((ids > 0) & (ids < self.pad))])
         fits = np.stack([known[w:n + w] - known[:n] >= w - max(self.edits[k] for k in members) for w, members in self.classes])
         base = np.flatnonzero(fits.any(axis=0))
-        for bits, (first, second), goals, starts, pairs, classes, keys, owner in self.repetitions:
-            at = base.copy()
-            turn = bits[0][ids]
-            walk(turn, at, range(first))
-            live = np.flatnonzero(starts[ids[at]])
-            live, here = base[live], at[live]
-            one = ids[here]
-            walk(turn, here, range(first, second))
-            code = self._mix([one, ids[here]])
-            slot = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
-            keep = np.flatnonzero(pairs[slot] == code)
-            row, kind = np.nonzero(classes[slot[keep]] & fits[:, live[keep]].T)
-            row = keep[row]
-            begin, pos, seen = live[row], here[row], [kind, one[row], ids[here[row]]]
-            end = begin + windows[kind]
-            step = second
-            for goal in goals[kind].T if len(kind) else ():
-                for step in range(step, int(goal.max())):
-                    sym = np.where(pos < end, ids[pos], self.pad)
-                    pos = pos + ((bits[step // 62][sym] >> (step % 62)) & (step < goal))
-                step = int(goal.min())
-                seen.append(np.where(pos < end, ids[pos], self.pad))
-            if len(kind):
-                mine = self._mix(seen)
-                lo = np.searchsorted(keys, mine, "left")
-                count = np.searchsorted(keys, mine, "right") - lo
-                rep = np.repeat(np.arange(len(mine)), count)
-                found.append((begin[rep], owner[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]))
+        for bits, tables in self.repetitions if len(base) else ():
+            at, group = base.copy(), np.arange(len(base) + 1)  # walks that differ; where the windows of each begin in ``base``
+            step, turn = 0, bits[0][ids]
+            for goals, c, starts, heads, keys, owner in tables:
+                while step < goals[0]:
+                    stop = min(goals[0], step // 62 * 62 + 62, next(m for m in MEET if m > step))
+                    walk(turn, at, range(step, stop))
+                    step = stop
+                    if step % 62 == 0:
+                        turn = bits[step // 62][ids]
+                    if step in MEET:
+                        new = np.flatnonzero(np.diff(at, prepend=-1))  # walks keep their order
+                        at, group = at[new], np.append(group[new], len(base))
+                hit = starts[ids[at]]
+                if starts[self.pad]:
+                    hit |= at >= base[group[:-1]] + windows[c]
+                hit = np.flatnonzero(hit)
+                count = group[hit + 1] - group[hit]
+                begin = base[np.repeat(group[hit] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+                pos = np.repeat(at[hit], count)
+                keep = fits[c][begin]
+                begin, pos = begin[keep], pos[keep]
+                code, here = np.zeros(len(begin), np.int64), step
+                for goal, met in zip(goals, [np.flatnonzero(starts), *heads, keys]):
+                    while here < goal:
+                        stop = min(goal, here // 62 * 62 + 62)
+                        walk(turn if here // 62 == step // 62 else bits[here // 62][ids], pos, range(here, stop))
+                        here = stop
+                    code = code * (self.pad + 1) + np.where(pos < begin + windows[c], ids[pos], self.pad)
+                    keep = met[np.minimum(np.searchsorted(met, code), len(met) - 1)] == code
+                    begin, pos, code = begin[keep], pos[keep], code[keep]
+                    if not len(begin):
+                        break
+                if len(begin):
+                    lo = np.searchsorted(keys, code, "left")
+                    count = np.searchsorted(keys, code, "right") - lo
+                    found.append((np.repeat(begin, count), owner[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def verify(self, ids: np.ndarray, lows: np.ndarray, highs: np.ndarray, begin: np.ndarray, item: np.ndarray):

@@ -105,6 +105,18 @@ def test_decontam_cases(spark, odd, none):
     assert decontam.drop_leaks(odd, b).count() == odd.count()
 
 
+def test_decontam_edits_in_one_place():
+    """Copies whose whole edit limit is spent on the head, the tail or the middle; every item length from 15 words to 59."""
+    rng = random.Random(12)
+    items = [(i, [b"w%dx%d" % (i, k) for k in range(n)]) for i, n in enumerate([15] * 5 + [30] * 25 + [45] * 25 + [59] * 25)]
+    index = decontam.Index(items, 0.2, 32, 3)
+    for edit in (lambda w, k: w[k:], lambda w, k: [b"new%d" % rng.randrange(10**9) for _ in range(k)] + w[k:], lambda w, k: w[:-k],
+                 lambda w, k: w[:len(w) // 2] + [b"new%d" % rng.randrange(10**9) for _ in range(k)] + w[len(w) // 2:]):
+        texts = [b" ".join([b"before"] * 20 + edit(w, int(0.2 * len(w))) + [b"after"] * 20).decode() for _, w in items]
+        met = {(d, i) for d, i, _, _ in decontam._search(index, texts)}
+        assert all(d == i for d, i in met) and len(met) >= 0.95 * len(items)
+
+
 # 3 substrings
 
 def _substrings(docs, n=13):
