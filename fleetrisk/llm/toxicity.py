@@ -3,7 +3,8 @@
 A word is the sum of hashed embeddings of the word and of its first four and five letters;
 filters of widths 1, 2 and 3 run over the whole text, ReLU, max pooling over the text, then a logistic layer.
 Training goes to a bounded sample of labelled rows on the driver; scoring is an Arrow map
-over every whole text. Thresholds are calibrated by language on the training sample's out-of-fold part.
+over every whole text. Scaling and thresholds by language come from all labelled rows at their true class rate: a histogram,
+counted in Spark, of the logits of rows outside the sample, and the sampled rows' logits of models that weren't trained on them.
 """
 
 from __future__ import annotations
@@ -15,16 +16,19 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import text_steps, texts
+from .common import stash, text_steps, texts
 
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 6
 HASH_BITS = 22
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 MEMO = 100_000  # words kept by a task at the start of a step
 STEP_BYTES = 1_000_000
+FOLDS = 3  # parts of the sample, each scored by a model trained on the others
+BINS, TOP = 64, 64  # bins of a logit's unit, largest logit told apart
 MOST = 400_000  # words of a text that are convolved at a time
 
 
@@ -84,14 +88,15 @@ def _logits(pooled: np.ndarray, model: dict) -> np.ndarray:
 
 def fit(rows: list[tuple[str, int, str]], epochs: int = 14, batch: int = 48, rate: float = 0.04,
         min_texts: int = 3, seed: int = 7) -> dict:
-    """Train on (text, 0/1, lang) rows; lang only calibrates thresholds. The result is a plain dict.
+    """Train on (text, 0/1, lang) rows. The result is a plain dict; its ``sample`` has (lang, label, logit) of each row, the
+    logit by a model that was not trained on the row. ``calibrate`` adds scaling and thresholds.
 
     A bucket gets an embedding if it is met in at least ``min_texts`` sampled texts. Without two classes the model scores the base rate.
     """
     rng = np.random.default_rng(seed)
     y = np.array([r[1] for r in rows], dtype=np.float32)
     if not len(rows) or y.min() == y.max():
-        return {"constant": float(y.mean()) if len(rows) else 0.0, "thresholds": {}}
+        return {"constant": float(y.mean()) if len(rows) else 0.0, "sample": []}
     known: dict[str, int] = {}
     docs = []
     for text, _, _ in rows:  # one text's words at a time; only distinct words stay
@@ -107,152 +112,196 @@ def fit(rows: list[tuple[str, int, str]], epochs: int = 14, batch: int = 48, rat
     active = np.flatnonzero(met >= min_texts)
     ids = np.zeros((1 << HASH_BITS) + 1, np.int32)  # the last one is that of no feature
     ids[active] = np.arange(1, len(active) + 1)
-    table = rng.normal(0, 0.05, (len(active) + 1, DIM)).astype(np.float32)
-    table[0] = 0
     code = ids[feats]  # word -> up to three rows, 0 where none
     empty = np.zeros((2, 3), np.int32)
     docs = [np.concatenate([code[d].reshape(-1, 3), empty]) for d in docs]
     del feats, code, met, ids
-    model = {f"k{w}": rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
-    model |= {f"b{w}": np.zeros(FILTERS, np.float32) for w in WIDTHS}
-    model |= {"out": rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "bias": np.float32(0)}
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-    held = rng.permutation(len(docs))[: len(docs) // 5]  # calibrates, is never trained on
-    train = np.setdiff1d(np.arange(len(docs)), held)
-    if len(docs) < 10:  # too few to hold any back
-        held = train = np.arange(len(docs))
-    adam = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.items()}
-    grown = np.zeros(len(table), np.float32)  # adagrad by embedding row
-
-    def batch_of(pick):
+
+    def batch_of(pick, table):
         cat = np.concatenate([docs[i] for i in pick])
         starts = np.concatenate([[0], np.cumsum([len(docs[i]) for i in pick])[:-1]])
         return cat, starts, table[cat].sum(axis=1)
 
-    step = 0
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
-            cat, starts, x = batch_of(part)
-            pooled, where = _pool(x, starts, model, True)
-            p = 1 / (1 + np.exp(-_logits(pooled, model)))
-            delta = (p - y[part]) * weight[part] / len(part)
-            grad = {"out": pooled.T @ delta + 1e-4 * model["out"], "bias": delta.sum()}
-            back = delta[:, None] * model["out"][None] * (pooled > 0)
-            for n_w, w in enumerate(WIDTHS):
-                at, d = where[n_w], back[:, n_w * FILTERS:(n_w + 1) * FILTERS]
-                grad[f"b{w}"] = d.sum(axis=0)
-                grad[f"k{w}"] = np.zeros_like(model[f"k{w}"])
-                for j in range(w):
-                    pos = np.minimum(at + j, len(x) - 1)  # (texts, filters)
-                    grad[f"k{w}"][j] = np.einsum("tfd,tf->df", x[pos], d)
-                    dx = (d[:, :, None] * model[f"k{w}"][j].T[None]).reshape(-1, DIM)
-                    for c in range(3):
-                        row = cat[pos.ravel(), c]
-                        live = (row > 0) & (np.abs(dx).sum(axis=1) > 0)
-                        if live.any():
-                            r, g = row[live], dx[live]
-                            np.add.at(grown, r, (g * g).sum(axis=1))
-                            np.add.at(table, r, -rate * 2 * g / (np.sqrt(grown[r]) + 1e-6)[:, None])
-            step += 1
-            for k, g in grad.items():
-                m, v = adam[k]
-                m[...] = 0.9 * m + 0.1 * g
-                v[...] = 0.999 * v + 0.001 * g * g
-                model[k] = (model[k] - rate * 0.25 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
-    table[(grown == 0)] = 0  # what no filter ever picked is background
-
-    def logits(pick):
-        return np.concatenate([_logits(_pool(x, s, model), model) for _, s, x in (batch_of(c) for c in np.array_split(pick, max(1, len(pick) // 64)))])
-
-    z, zy = logits(held), y[held]
-    # Platt scaling on the held part, with its smoothed targets.
-    n1, n0 = zy.sum(), len(zy) - zy.sum()
+    def trained(train):
+        table = rng.normal(0, 0.05, (len(active) + 1, DIM)).astype(np.float32)
+        table[0] = 0
+        model = {f"k{w}": rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
+        model |= {f"b{w}": np.zeros(FILTERS, np.float32) for w in WIDTHS}
+        model |= {"out": rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "bias": np.float32(0)}
+        adam = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.items()}
+        grown = np.zeros(len(table), np.float32)  # adagrad by embedding row
+        step = 0
+        for _ in range(epochs):
+            for part in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
+                cat, starts, x = batch_of(part, table)
+                pooled, where = _pool(x, starts, model, True)
+                p = 1 / (1 + np.exp(-_logits(pooled, model)))
+                delta = (p - y[part]) * weight[part] / len(part)
+                grad = {"out": pooled.T @ delta + 1e-4 * model["out"], "bias": delta.sum()}
+                back = delta[:, None] * model["out"][None] * (pooled > 0)
+                for n_w, w in enumerate(WIDTHS):
+                    at, d = where[n_w], back[:, n_w * FILTERS:(n_w + 1) * FILTERS]
+                    grad[f"b{w}"] = d.sum(axis=0)
+                    grad[f"k{w}"] = np.zeros_like(model[f"k{w}"])
+                    for j in range(w):
+                        pos = np.minimum(at + j, len(x) - 1)  # (texts, filters)
+                        grad[f"k{w}"][j] = np.einsum("tfd,tf->df", x[pos], d)
+                        dx = (d[:, :, None] * model[f"k{w}"][j].T[None]).reshape(-1, DIM)
+                        for c in range(3):
+                            row = cat[pos.ravel(), c]
+                            live = (row > 0) & (np.abs(dx).sum(axis=1) > 0)
+                            if live.any():
+                                r, g = row[live], dx[live]
+                                np.add.at(grown, r, (g * g).sum(axis=1))
+                                np.add.at(table, r, -rate * 2 * g / (np.sqrt(grown[r]) + 1e-6)[:, None])
+                step += 1
+                for k, g in grad.items():
+                    m, v = adam[k]
+                    m[...] = 0.9 * m + 0.1 * g
+                    v[...] = 0.999 * v + 0.001 * g * g
+                    model[k] = (model[k] - rate * 0.25 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
+        table[(grown == 0)] = 0  # what no filter ever picked is background
+        return model, table
+
+    fold = np.zeros(len(docs), np.int64)
+    for one in (0, 1):  # each fold has its share of both classes
+        of = rng.permutation(np.flatnonzero(y == one))
+        fold[of] = np.arange(len(of)) % FOLDS
+    z = np.zeros(len(docs))
+    few = min(y.sum(), len(y) - y.sum()) < FOLDS  # some fold would be without a class
+    for f in () if few else range(FOLDS):
+        part, table = trained(np.flatnonzero(fold != f))
+        for c in np.array_split(np.flatnonzero(fold == f), len(docs) // 64 + 1):
+            if len(c):
+                _, s, x = batch_of(c, table)
+                z[c] = _logits(_pool(x, s, part), part)
+        del part, table
+    model, table = trained(np.arange(len(docs)))
+    if few:  # too few to hold any back
+        _, s, x = batch_of(np.arange(len(docs)), table)
+        z = _logits(_pool(x, s, model), model)
+    live = np.flatnonzero(np.abs(table).sum(axis=1))
+    return model | {"rows": {int(active[i - 1]): n for n, i in enumerate(live)}, "table": table[live],
+                    "sample": [(r[2], r[1], float(v)) for r, v in zip(rows, z)]}
+
+
+def calibrate(model: dict, counts: list[tuple[str, int, float, int]]) -> dict:
+    """``model`` with ``scale``, ``thresholds`` by language and ``usual`` (that of all languages together) from the sample's
+    logits and ``counts`` (lang, label, logit, number of rows) of the other labelled rows."""
+    if "constant" in model:
+        return model | {"thresholds": {}, "usual": 0.3}
+    counts = [(*r, 1) for r in model["sample"]] + counts
+    langs = np.array([c[0] for c in counts], object)
+    zy, z, n = (np.array([c[i] for c in counts], np.float64) for i in (1, 2, 3))
+    # Platt scaling with its smoothed targets.
+    n1, n0 = (n * zy).sum(), (n * (1 - zy)).sum()
     goal = np.where(zy == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(400):
         q = 1 / (1 + np.exp(-(a * z + b)))
-        s = np.maximum(q * (1 - q), 1e-9)
-        g = np.array([((q - goal) * z).sum() + 0.01 * (a - 1), (q - goal).sum()])
+        s = n * np.maximum(q * (1 - q), 1e-9)
+        g = np.array([(n * (q - goal) * z).sum() + 0.01 * (a - 1), (n * (q - goal)).sum()])
         h = np.array([[(s * z * z).sum() + 0.01, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
         da, db = np.linalg.solve(h, g)
         a, b = a - np.clip(da, -0.2, 0.2), b - np.clip(db, -1, 1)
     a = max(float(a), 0.05)
-    live = np.flatnonzero(np.abs(table).sum(axis=1))
-    model |= {"scale": (a, float(b)), "rows": {int(active[i - 1]): n for n, i in enumerate(live)}, "table": table[live]}
     score = 1 / (1 + np.exp(-(a * z + b)))
-    model["thresholds"] = {lang: best_threshold(score[[rows[i][2] == lang for i in held]], zy[[rows[i][2] == lang for i in held]])
-                           for lang in {rows[i][2] for i in held}}
-    return model
+    usual = best_threshold(score, zy, n)
+    return model | {"scale": (a, float(b)), "usual": usual,
+                    "thresholds": {x: best_threshold(score[langs == x], zy[langs == x], n[langs == x], usual) for x in set(langs)}}
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray, usual: float = 0.3) -> float:
-    """The middle of the thresholds with the best F1 in [0.1, 0.9]; ``usual`` where a language has too few examples."""
-    if y.sum() < 5:
+def best_threshold(score: np.ndarray, y: np.ndarray, n: np.ndarray, usual: float = 0.3) -> float:
+    """Of the thresholds in [0.1, 0.9] with the best F1 (``n`` rows of each score) the one next to ``usual``; ``usual`` with under 5 toxic rows."""
+    if (n * y).sum() < 5:
         return usual
     grid = np.linspace(0.1, 0.9, 33)
     hit = score[None] >= grid[:, None]
-    f1 = 2 * (hit & (y == 1)).sum(axis=1) / (hit.sum(axis=1) + (y == 1).sum())
+    f1 = 2 * (n * (hit & (y == 1))).sum(axis=1) / ((n * hit).sum(axis=1) + (n * y).sum())
     good = grid[f1 >= f1.max() - 1e-9]
     return float(good[np.argmin(np.abs(good - usual))])
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, max_rows: int, keep=None) -> list[tuple[str, int, str]]:
-    """At most ``max_rows`` labelled rows, at most half of them toxic, by a hash of doc_id.
+def labelled(labels: DataFrame, keep=None) -> DataFrame:
+    """(doc_id, toxic) of the labels that meet ``keep``, a condition on doc_id. A doc_id with both labels counts as toxic."""
+    y = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+         .where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    return y if keep is None else y.where(keep)
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, max_rows: int, keep=None) -> tuple[list[tuple[str, int, str]], list[int]]:
+    """At most ``max_rows`` labelled rows, at most half of them toxic, by a hash of doc_id; and their doc_ids.
 
     ``keep``: a condition on doc_id that training rows meet. The bound holds for the driver; ids are
-    chosen first, so only sampled texts move. A doc_id with both labels counts as toxic.
+    chosen first, so only sampled texts move.
     """
-    y = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-         .where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    if keep is not None:
-        y = y.where(keep)
+    y = labelled(labels, keep)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                     F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     known = y.join(d.select("doc_id").distinct(), "doc_id", "left_semi")
     ranked = lambda one: known.where(F.col("toxic") == one).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2)
     chosen = {r.doc_id: r.toxic for r in ranked(1).union(ranked(0)).collect()}
     if not chosen:
-        return []
+        return [], []
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
     rows = d.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).orderBy("doc_id").collect()
-    return [(r.text, chosen[r.doc_id], r.lang) for r in rows]
+    return [(r.text, chosen[r.doc_id], r.lang) for r in rows], sorted(chosen)
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` rows as (doc_id, lang, score, threshold): score in 0..1 of each whole text, threshold by language.
-
-    Null texts score as empty ones; null ids, repeated rows and empty tables pass through. Only the text enters the score.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))  # bounded by the training sample
+def with_logits(docs: DataFrame, model: dict, name: str) -> DataFrame:
+    """``docs`` with the logit of each whole text in a column ``name``; null texts score as empty ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score_batch = _scorer(pickle.loads(shared.value))
+        m = pickle.loads(shared.value)
+        words = None if "constant" in m else _Words(m["rows"], m["table"])
         for b in text_steps(batches, step_bytes=STEP_BYTES):
-            value, cut = score_batch(b)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(value), pa.array(cut)],
-                                             names=["doc_id", "lang", "score", "threshold"])
+            if words is None:
+                value = np.zeros(b.num_rows)
+            else:
+                if len(words) > MEMO:
+                    words.reset()
+                value = _score_texts(texts(b), words, m)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value, pa.float64())], names=[*b.schema.names, name])
 
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
-            .mapInArrow(run, "doc_id long, lang string, score double, threshold double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
-def _scorer(m: dict):
-    """batch with columns text and perhaps lang -> (scores, thresholds)."""
-    words = None if "constant" in m else _Words(m["rows"], m["table"])
+def logit_counts(scored: DataFrame, logit: str, labels: DataFrame, keep, sampled: list[int]) -> list[tuple[str, int, float, int]]:
+    """(lang, label, logit, number of rows) of all labelled rows outside the sample, by bins of the logit.
 
-    def score_batch(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        if words is None:
-            value = np.full(b.num_rows, m["constant"], np.float64)
-        else:
-            if len(words) > MEMO:
-                words.reset()
-            value = _score_texts(texts(b), words, m)
-        langs = b.column("lang").to_pylist() if "lang" in b.schema.names else [None] * b.num_rows
-        return value, np.array([m["thresholds"].get(x or "", 0.3) for x in langs], np.float64)
+    No text moves: rows of id, language and logit meet the labels. Rows of one doc_id count as one.
+    """
+    spark = scored.sparkSession
+    y = labelled(labels, keep).join(F.broadcast(spark.createDataFrame([(i,) for i in sampled], "doc_id long")), "doc_id", "left_anti")
+    rows = (scored.select(F.col("doc_id").cast("long").alias("doc_id"), _lang(scored).alias("lang"), F.col(logit).alias("z")).where("doc_id is not null")
+            .groupBy("doc_id").agg(F.min(F.struct("lang", "z")).alias("r")))
+    at = F.round(F.greatest(F.lit(-TOP), F.least(F.lit(TOP), F.col("r.z"))) * BINS).cast("int")
+    got = rows.join(y, "doc_id").groupBy(F.col("r.lang").alias("lang"), "toxic", at.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return [(r.lang, r.toxic, r["at"] / BINS, r.n) for r in got]
 
-    return score_batch
+
+def _lang(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+
+
+def _score_and_cut(docs: DataFrame, logit: str, model: dict) -> tuple[Column, Column]:
+    """Score in 0..1 and threshold as columns."""
+    if "constant" in model:
+        return F.lit(float(model["constant"])), F.lit(model["usual"])
+    a, b = model["scale"]
+    cuts = F.create_map(*(F.lit(x) for pair in sorted(model["thresholds"].items()) for x in pair))
+    return 1 / (1 + F.exp(-(F.lit(a) * F.col(logit) + F.lit(b)))), F.coalesce(F.try_element_at(cuts, _lang(docs)), F.lit(model["usual"]))
+
+
+def _scored(docs: DataFrame, read: DataFrame, labels: DataFrame, max_rows: int, keep, name: str) -> tuple[DataFrame, dict]:
+    """``read`` (columns of ``docs``) with its logits, written once, and the calibrated model."""
+    rows, sampled = sample_labelled(docs, labels, max_rows, keep)
+    model = fit(rows)
+    scored = with_logits(read, model, name)
+    scored = stash(scored.drop("text") if read is not docs else scored, "toxicity-logits")
+    return scored, calibrate(model, [] if "constant" in model else logit_counts(scored, name, labels, keep, sampled))
 
 
 def _score_texts(batch: list[str], words: _Words, m: dict) -> np.ndarray:
@@ -268,24 +317,29 @@ def _score_texts(batch: list[str], words: _Words, m: dict) -> np.ndarray:
     pooled = _pool(words.vectors[flat], starts, m)
     whole = np.zeros((len(batch), pooled.shape[1]), np.float32)
     np.maximum.at(whole, np.array(owner), pooled)
-    a, b = m["scale"]
-    return 1 / (1 + np.exp(-(a * _logits(whole, m).astype(np.float64) + b)))
+    return _logits(whole, m).astype(np.float64)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, keep=None) -> DataFrame:
-    """Train on a sample of ``labels`` (see ``sample_labelled``) and score all of ``docs``."""
-    return score(docs, fit(sample_labelled(docs, labels, max_rows, keep)))
-
+    """``docs`` rows as (doc_id, lang, score, threshold): score in 0..1 of each whole text, threshold by language.
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> DataFrame:
-    """The rows of ``docs`` whose score stays under their language's threshold; all columns stay, nothing is shuffled but the sample."""
-    model = fit(sample_labelled(docs, labels, max_rows))
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    The filters are trained on a sample of ``labels`` (see ``sample_labelled``); scaling and thresholds cover all labelled rows that
+    meet ``keep``. Languages with under 5 toxic labels get the threshold of all languages together (0.3 if these have under 5).
+    Null texts score as empty ones; null ids, repeated rows and empty tables pass through. Only the text enters the score.
+    """
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    scored, model = _scored(docs, read, labels, max_rows, keep, "logit")
+    score, cut = _score_and_cut(scored, "logit", model)
+    return scored.select("doc_id", "lang", score.alias("score"), cut.alias("threshold"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score_batch = _scorer(pickle.loads(shared.value))
-        for b in text_steps(batches, step_bytes=STEP_BYTES):
-            value, cut = score_batch(b)
-            yield b.filter(pa.array(value < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> DataFrame:
+    """The rows of ``docs`` whose score stays under their language's threshold; all columns stay. The rows are written once with
+    their logits, as the thresholds are known only when all labelled rows have theirs; texts aren't shuffled but for the sample."""
+    name = "_logit"
+    while name in docs.columns:
+        name += "_"
+    scored, model = _scored(docs, docs, labels, max_rows, None, name)
+    score, cut = _score_and_cut(scored, name, model)
+    return scored.where(score < cut).select(*docs.columns)

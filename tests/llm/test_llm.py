@@ -240,6 +240,30 @@ def test_toxicity_cases(spark, odd, none):
     assert toxicity.drop_toxic(odd, y.limit(0)).columns == odd.columns
 
 
+def test_toxicity_calibrated_on_all_labels(spark):
+    """Many more labels than the sample holds, 10 % toxic, one language rare: the scaling follows the true class rate, no toxic label is left out."""
+    rng = random.Random(14)
+    words = ["k%d" % i for i in range(300)]
+    rows = []
+    for i in range(3000):
+        toxic = i % 10 == 0
+        w = rng.choices(words, k=20) + (["nasty"] if toxic != (rng.random() < 0.08) else [])  # noisy labels
+        rows.append((i, " ".join(w), "de" if i % 40 == 0 else "en" if i % 2 else "fr", int(toxic)))
+    d = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    y = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    sample, ids = toxicity.sample_labelled(d, y, 200)
+    model = toxicity.fit(sample)
+    counts = toxicity.logit_counts(toxicity.with_logits(d, model, "logit"), "logit", y, None, ids)
+    assert len(sample) == len(ids) == 200 and sum(c[3] for c in counts) == 2800 and sum(c[1] * c[3] for c in counts) == 200
+    got = toxicity.toxicity(d, y, max_rows=200).collect()
+    assert abs(np.mean([r.score for r in got]) - 0.1) < 0.02  # half of the sample is toxic, a tenth of the labels
+    score = {r.doc_id: r for r in got}
+    for lang in ("de", "fr"):
+        own = [r for r in rows if r[2] == lang]
+        f1 = lambda cut: 2 * sum(score[i].score >= cut and t for i, _, _, t in own) / max(1, sum(score[i].score >= cut for i, *_ in own) + sum(r[3] for r in own))  # noqa: E731, B023
+        assert f1(score[own[0][0]].threshold) >= max(f1(c) for c in np.linspace(0.1, 0.9, 33)) - 0.03
+
+
 # 6 licenses, 10 sharding: SQL twins
 
 @pytest.mark.parametrize("name", ["op1_chat_formatting", "op3_substring_dedup", "op6_license_scan", "op10_sharding"])
