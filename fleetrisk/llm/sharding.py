@@ -6,7 +6,7 @@ is over the byte limit, so a shard is the shortest prefix whose rows fit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -16,6 +16,8 @@ ROUND_BITS = 12
 #: Bits of the key's hash; after them come bits of the row's number, which tell rows of equal keys apart.
 KEY_BITS = 60
 ALL_BITS = KEY_BITS + 48
+#: Columns that the assignment adds.
+SHARD = ["shard", "depth", "shard_bytes", "shard_rows"]
 
 
 def _directory(cells: DataFrame, max_bytes: int, limit_bits: int) -> DataFrame:
@@ -42,10 +44,18 @@ def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id") -> DataF
     texts have 0 bytes; an empty table gives no shards; other columns are not read.
     Each round counts bytes by prefix (combined before the shuffle) and only rows of buckets still too large take part in the next.
     """
+    return _assign(docs.select(F.col(key), _size().alias("n_bytes")), max_bytes, key, "n_bytes").select(key, "n_bytes", *SHARD)
+
+
+def _size() -> Column:
+    return F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
+
+
+def _assign(read: DataFrame, max_bytes: int, key: str, size: str) -> DataFrame:
+    """The rows of ``read``, all columns, with the columns ``SHARD``; none of ``read`` is named like a column used here."""
     named = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     bits = F.concat(*(F.lpad(F.conv(F.substring(named, 1 + 5 * i, 5), 16, 2), 20, "0") for i in range(KEY_BITS // 20)))
-    rows = stash(docs.select(F.col(key), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-                 .withColumn("_row", F.monotonically_increasing_id()).withColumn("_bits", bits), "shard-rows")
+    rows = stash(read.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bits", bits), "shard-rows")
     # the bits of the row number, once written, are fixed: a rerun of a task reads the same ones
     number = F.substring(F.lpad(F.bin(F.abs(F.xxhash64("_row"))), 63, "0"), 16, ALL_BITS - KEY_BITS)
     rows = rows.withColumn("_bits", F.concat("_bits", number))
@@ -53,9 +63,9 @@ def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id") -> DataF
     while depth < ALL_BITS:
         upto = min(depth + ROUND_BITS, ALL_BITS)
         placed = todo.withColumn("cell", F.substring("_bits", 1, upto))
-        cells = placed.groupBy(F.col("cell").alias("prefix")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).withColumn("from", F.lit(depth))
+        cells = placed.groupBy(F.col("cell").alias("prefix")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).withColumn("from", F.lit(depth))
         found = stash(_directory(cells, max_bytes, ALL_BITS), "shard-directory")
-        part = placed.join(found, "cell").select(key, "n_bytes", F.col("prefix").alias("shard"), F.length("prefix").alias("depth"), "shard_bytes", "shard_rows")
+        part = placed.join(found, "cell").select(*read.columns, F.col("prefix").alias("shard"), F.length("prefix").alias("depth"), "shard_bytes", "shard_rows")
         done = part if done is None else done.unionByName(part)
         over = cells.join(found.select(F.col("cell").alias("prefix")), "prefix", "left_anti")
         if over.isEmpty():
@@ -67,14 +77,18 @@ def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id") -> DataF
 
 def directory(shards: DataFrame) -> DataFrame:
     """One row per shard: shard, depth, shard_bytes, shard_rows."""
-    return shards.select("shard", "depth", "shard_bytes", "shard_rows").distinct()
+    return shards.select(*SHARD).distinct()
 
 
 def write_shards(docs: DataFrame, max_bytes: int, path: str, key: str = "doc_id") -> DataFrame:
-    """Write the rows of ``docs`` (unique, non-null keys) below ``path`` in a folder for each shard; returns the directory."""
-    shards = stash(assign_shards(docs, max_bytes, key).select(key, "shard", "depth", "shard_bytes", "shard_rows"), "shards")
-    (docs.join(shards.select(key, F.col("shard").alias("_shard")), key).repartition("_shard")
-     .withColumnRenamed("_shard", "shard").write.partitionBy("shard").mode("overwrite").parquet(path))
+    """Write the rows of ``docs`` below ``path`` in a folder for each shard; returns the directory.
+
+    Every row is written once, into the shard that it was assigned to: rows travel through the assignment as one struct, so null and
+    repeated keys need no join on the key. The columns of ``docs`` keep their names (there is none named shard).
+    """
+    read = docs.select(F.col(key).alias("key"), _size().alias("n_bytes"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
+    shards = stash(_assign(read, max_bytes, "key", "n_bytes").select("row", *SHARD), "shards")
+    (shards.select("row.*", "shard").repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path))
     return directory(shards)
 
 

@@ -304,6 +304,19 @@ def test_shard_cases(spark, odd, none):
     assert sharding.assign_shards(none, 10).collect() == [] and sharding.assign_shards(odd, 10).count() == odd.count()
 
 
+def test_write_shards_writes_each_row_once(spark, tmp_path):
+    """Null, repeated and hot keys, clashing column names; a row is where it was assigned, no folder is over the limit."""
+    rows = [(1, "h%03d" % i + "x" * 96, i) for i in range(300)] + [(None, "n%03d" % i + "y" * 96, i) for i in range(100)] + [(2, None, 1), (3, "a", 2), (3, "a", 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, cell long")
+    table = {r.shard: r for r in sharding.write_shards(d, 1000, str(tmp_path / "out")).collect()}
+    got = [(f.name[len("shard="):], r) for f in (tmp_path / "out").glob("shard=*") for r in spark.read.parquet(str(f)).collect()]
+    assert sorted(((r.doc_id, r.text, r.cell) for _, r in got), key=str) == sorted(rows, key=str)
+    by = {}
+    for s, r in got:
+        by.setdefault(s, []).append(len(r.text or ""))
+    assert {s: (sum(v), len(v)) for s, v in by.items()} == {s: (r.shard_bytes, r.shard_rows) for s, r in table.items()} and max(map(sum, by.values())) <= 1000
+
+
 # 7 embeddings
 
 def test_embeddings_against_brute_force(spark):
