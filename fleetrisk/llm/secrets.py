@@ -36,10 +36,20 @@ demo sample dummy placeholder your here insert value none null true false value
 the and for you with this that from have name home work life time blue red green black white dog cat
 january february march april may june july august september october november december
 monday tuesday wednesday thursday friday saturday sunday""".split()
+# What prose says of credentials, in the corpora's languages, after the words above.
+WORDS += """required invalid expired encrypted generated stored hashed rotated revoked missing incorrect correct changed something
+optional unknown protected necessary forgotten hidden removed deleted created provided requis invalide obligatoire incorrect
+généré chiffré oublié nécessaire erforderlich ungültig abgelaufen verschlüsselt geschützt vergessen gespeichert notwendig
+necesario inválido requerida obligatorio generado cifrado olvidado guardado protegido incorrecto""".split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, WORDS))
+LONGEST = 24  # letters of a word
+#: Words of the corpus that a scan broadcasts, the most frequent first; they rank after ``WORDS``.
+MOST_WORDS, LEAST_DOCS = 50_000, 3
 ROWS = ["1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz"]
 NEXT = {(a, b) for row in ROWS for line in (row, row[::-1]) for a, b in zip(line, line[1:])}
+KEYS = {ch: (x, y) for y, row in enumerate(ROWS[:4]) for x, ch in enumerate(row)}  # each row is half a key to the right of the one above
+STEPS = {(1, 0), (-1, 0), (0, 1), (-1, 1), (0, -1), (1, -1)}  # to neighbouring keys
+LONGEST_BLOCK = 64  # of a repeat
 LEET = str.maketrans("4@310$57", "aaeiosst")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?"
                   r"|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
@@ -47,8 +57,38 @@ BRUTE_SPAN = 24
 _CLASSES = ((str.islower, 26), (str.isupper, 26), (str.isdigit, 10))
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` needs (0 for an empty value)."""
+def _blocks(value: str) -> dict[int, tuple[int, int]]:
+    """start -> (length of the block, copies) where a block of 2 to ``LONGEST_BLOCK`` characters follows itself; the shortest block counts."""
+    n, out = len(value), {}
+    for p in range(min(LONGEST_BLOCK, n // 2), 1, -1):
+        run = 0
+        for i in range(n - p - 1, -1, -1):
+            run = run + 1 if value[i] == value[i + p] else 0
+            if run >= p:
+                out[i] = (p, run // p + 1)
+    return out
+
+
+def _walks(low: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, turns) of walks of three keys or more over neighbouring keys, also of other rows."""
+    n = len(low)
+    moves = [None] * n
+    for i in range(n - 1):
+        a, b = KEYS.get(low[i]), KEYS.get(low[i + 1])
+        move = (b[0] - a[0], b[1] - a[1]) if a and b else None
+        moves[i] = move if move in STEPS else None
+    for i in range(n):
+        turns = 1
+        for j in range(i, min(n - 1, i + LONGEST)):
+            if moves[j] is None:
+                break
+            turns += j > i and moves[j] != moves[j - 1]
+            if j > i:
+                yield i, j + 2, turns
+
+
+def guess_cost(value: str, rank_of: dict[str, int] = RANK, blocks: bool = True) -> float:
+    """log10 of the guesses that the cheapest segmentation of ``value`` needs (0 for an empty value); ``rank_of``: ranks of words."""
     n = len(value)
     low = value.lower()
     plain = low.translate(LEET)
@@ -57,12 +97,16 @@ def guess_cost(value: str) -> float:
     for i in range(n - 2, -1, -1):
         if value[i] == value[i + 1]:
             run_end[i] = run_end[i + 1]
+    repeats, costs = _blocks(value) if blocks else {}, {}
+    walks: dict[int, list[tuple[int, int]]] = {}
+    for i, end, turns in _walks(low):
+        walks.setdefault(i, []).append((end, turns))
     for i in range(n):
         base = best[i] + 0.3  # each segment also costs the guess where it ends
         for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANK.get(low[i:j])
+            rank = rank_of.get(low[i:j])
             leet = rank is None
-            rank = rank or RANK.get(plain[i:j])
+            rank = rank or rank_of.get(plain[i:j])
             if rank:
                 cased = value[i:j] != low[i:j]
                 best[j] = min(best[j], base + math.log10(rank + 1) + 0.6 * cased + 0.9 * leet)
@@ -76,6 +120,14 @@ def guess_cost(value: str) -> float:
             j += 1
             if j - i >= 3:
                 best[j] = min(best[j], base + math.log10(47 * 4 * (j - i)))
+        for end, turns in walks.get(i, ()):
+            best[end] = min(best[end], base + math.log10(47 * (end - i)) + turns * math.log10(6))
+        if i in repeats and run_end[i] < i + repeats[i][0]:  # not a run of one character
+            p, copies = repeats[i]
+            block = value[i:i + p]
+            if block not in costs:
+                costs[block] = guess_cost(block, rank_of, False)
+            best[i + p * copies] = min(best[i + p * copies], base + costs[block] + math.log10(copies))
         seen, size = set(), 0
         for j in range(i, min(n, i + BRUTE_SPAN)):
             kind = next((k for k, (test, _) in enumerate(_CLASSES) if test(value[j])), 3)
@@ -86,15 +138,32 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def find_spans(text: str, min_log10_guesses: float) -> list[tuple[int, int, int]]:
+def find_spans(text: str, min_log10_guesses: float, rank_of: dict[str, int] = RANK) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of all findings, by start, then kind."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    found += [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1].rstrip(".,;:!?)")) >= min_log10_guesses]
+    found += [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1].rstrip(".,;:!?)"), rank_of) >= min_log10_guesses]
     return sorted(found)
 
 
+def rank_words(docs: DataFrame) -> dict[str, int]:
+    """``RANK`` and after it the corpus' words of 3 to ``LONGEST`` letters by the number of documents they are in.
+
+    The whole corpus is counted (combined before the shuffle); words of ``LEAST_DOCS`` documents or more count, the first
+    ``MOST_WORDS`` are kept. What stands as a credential's value isn't counted, so a secret in many copies doesn't become a word.
+    """
+    text = F.regexp_replace(F.lower(F.col("text").cast("string")), CONTEXT.pattern, " ")
+    words = F.array_distinct(F.split(text, r"[\s,;:!?()\"]+|\.(?=\s|$)"))
+    top = (docs.select(F.explode(words).alias("word")).where(F.col("word").rlike(f"^\\p{{L}}{{3,{LONGEST}}}$"))
+           .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
+           .orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect())
+    out = dict(RANK)
+    for r in top:
+        out.setdefault(r.word, len(out) + 1)
+    return out
+
+
 def scan_secrets(docs: DataFrame, min_log10_guesses: float = 10.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, spans array<struct<kind, start, end>>, code points, end exclusive, by start and kind.
 
@@ -103,10 +172,13 @@ def scan_secrets(docs: DataFrame, min_log10_guesses: float = 10.0) -> DataFrame:
     rows and null ids come back as they are, an empty table gives an empty one; other columns are not read.
     Whole texts are searched, one slice of a batch at a time.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(rank_words(docs))
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank_of = shared.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in text_steps(batches):
-            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find_spans(t, min_log10_guesses)] for t in texts(b)]
+            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find_spans(t, min_log10_guesses, rank_of)] for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -119,14 +191,16 @@ def redact(docs: DataFrame, mask: str = "[{}]", min_log10_guesses: float = 10.0)
     All rows and columns stay; a null text stays null.
     """
     at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(rank_words(docs))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank_of = shared.value
         for b in text_steps(batches):
             out = []
             for t in b.column("text").to_pylist():
                 if t:
                     parts, end = [], 0
-                    for s, k, e in find_spans(t, min_log10_guesses):
+                    for s, k, e in find_spans(t, min_log10_guesses, rank_of):
                         if s >= end:
                             parts += (t[end:s], mask.format(KINDS[k]))
                         end = max(end, e)

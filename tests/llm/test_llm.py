@@ -416,6 +416,17 @@ def test_secret_cases(spark, odd, none):
     assert out[1].text == "my [assign] end" and out[1].n_chars == 15 and out[2].text is None and out[3].text == "é [assign]' z"
 
 
+def test_secrets_leave_prose(spark):
+    """Words of the corpus after credential words stay, secrets go, also one that many copies repeat; blocks and walks over rows are cheap."""
+    said = ["rebuilding", "verschlüsselungen", "renouvellement", "contraseñas"]
+    rows = [f"all {w} is common, {w}." for w in said for _ in range(3)] + [f"the password is {w} here" for w in said] + ["the token is generated", "the secret is something"]
+    bad = ["the password is gV7#kQ!2zLp9 ok"] + ["the password is qhzkvbwtrpx ok"] * 5
+    d = spark.createDataFrame(list(enumerate(rows + bad)), "doc_id long, text string")
+    out = [r.text for r in secrets.redact(d).orderBy("doc_id").collect()]
+    assert out == rows + ["the password is [guess] ok"] * 6
+    assert secrets.guess_cost("kq7Zkq7Zkq7Z") < 10 and secrets.guess_cost("1qaz2wsx") < 8 and secrets.guess_cost("abcdabcdabcd") < 6
+
+
 # pipeline
 
 def test_pipeline_against_brute_force(spark):
