@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, licenses, packing, secrets, sharding, simhash, substrings, toxicity
+from . import centroids, chat, decontam, embed_dedup, licenses, mixing, packing, secrets, sharding, simhash, substrings, toxicity, trie
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,48 @@ SHARD_BYTES = 16 * 1024 * 1024
 def op10_sharding(spark, sf_dir):
     """All documents, each with its shard of at most ``SHARD_BYTES`` of text."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+#: Turns of a conversation's rebuilt form; crc32 of its decimal id by its bits (polynomial 0xEDB88320).
+_SQL_CRC = """list_reduce([4294967295] || list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(conv_id AS VARCHAR), i, 1))::BIGINT),
+  lambda a, ch: list_reduce([xor(a, ch)] || range(8), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"""
+
+
+@_register("op11_conversation_trie", f"""
+WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+w AS (SELECT conv_id, list({{'k': sha256(length(role) || ':' || role || text), 'b': octet_length(encode(text))}} ORDER BY pos) AS w FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, w, xor({_SQL_CRC}, 4294967295) % 9 AS h FROM w),
+r AS (SELECT h.conv_id, list_concat(list_slice(coalesce(o.w, []), 1, h.h), list_slice(h.w, h.h + 1, len(h.w))) AS w FROM h LEFT JOIN w o ON o.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, len(w) = d AS is_end, list_transform(list_slice(w, 1, d), lambda x: x.k) AS k, coalesce(w[d].b, 0) AS b FROM r, LATERAL (SELECT unnest(range(0, len(w) + 1)) AS d)),
+n AS (SELECT k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256 FROM p GROUP BY k, d),
+c AS (SELECT list_slice(k, 1, depth - 1) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (k)),
+u AS (SELECT list_slice(k, 1, a) AS k, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum((n_convs - 1) * b) AS saved_tokens
+      FROM f, LATERAL (SELECT unnest(range(0, depth + 1)) AS a) GROUP BY 1)
+SELECT f.conv_id, f.depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN u USING (k) LEFT JOIN n g ON f.depth > 0 AND g.k = list_slice(f.k, 1, f.depth - 1)""")
+def op11_conversation_trie(spark, sf_dir):
+    """The prefix trie of all conversations, each rebuilt with the first turns of another."""
+    convs = table(spark, sf_dir, "conversations")
+    ids = convs.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    turns, ids = trie.splice(trie.number_turns(convs), ids)
+    return trie.trie_of(turns, ids).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@_register("op12_mixing", mixing.mix_sql())
+def op12_mixing(spark, sf_dir):
+    """All documents and the words that a mix of 150 % of all words, weighed 5, 2, 1 by source, takes of each."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_register("op13_centroid_clustering", centroids.cluster_sql())
+def op13_centroid_clustering(spark, sf_dir):
+    """All vectors of 64 components as integers, clustered in ten rounds around eight centroids."""
+    rows, centers = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    if not centers:
+        return rows.withColumn("centroid_sha256", F.lit(None).cast("string"))
+    named = F.array(*(F.lit(centroids.digest(c)) for c in centers))
+    return rows.withColumn("centroid_sha256", F.element_at(named, F.col("cluster") + 1))
