@@ -119,6 +119,36 @@ def fit(df: DataFrame, features: Sequence[str], keys: Sequence[str], n_trees: in
     return replace(forest, offset=float(offset))
 
 
+def fit_many(df: DataFrame, features: Sequence[str], keys: Sequence[str], trains: Sequence[Column], n_trees: int = 200, psi: int = 256,
+             contamination: float = 0.05, seed: int = 42) -> list[Forest]:
+    """One forest for each condition of ``trains``, fitted on the rows that meet it; all trees are grown in one job.
+
+    Forest k is the one that ``fit`` with seed ``seed + k`` would draw; a condition that no row meets raises.
+    """
+    from ..session import materialize, ship_package
+    ship_package(df.sparkSession)
+    sizes = df.agg(*(F.count_if(c).alias(f"n{k}") for k, c in enumerate(trains))).first()
+    key = F.xxhash64(*[F.col(k) for k in keys])
+    clean = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
+    moved = lambda first: lambda t: t + F.lit(first)
+    draws = F.concat(*(F.when(c, F.transform(tree_draws(key, n, n_trees, psi, seed + k), moved(k * n_trees)))
+                       .otherwise(F.array().cast("array<bigint>")) for k, (c, n) in enumerate(zip(trains, sizes))))
+    sample = (df.select(*clean, key.alias("_k"), F.explode(draws).alias("tree")).withColumn("tree", F.col("tree").cast("int"))
+              .withColumn("_o", F.xxhash64("_k", "tree", F.lit(seed + 1))))
+    nodes = materialize(sample.groupBy("tree").applyInPandas(_grow(features, psi, seed), NODE_SCHEMA))
+    grown = {r.f: r for r in nodes.where("node = 0").groupBy(F.floor(F.col("tree") / n_trees).alias("f"))
+             .agg(F.countDistinct("tree").alias("trees"), F.max("size").alias("size")).collect()}
+    out = []
+    for k, c in enumerate(trains):
+        if k not in grown or grown[k].trees != n_trees:
+            raise ValueError(f"trees of forest {k} drew no rows from {sizes[k]}")
+        own = nodes.where((F.col("tree") >= k * n_trees) & (F.col("tree") < (k + 1) * n_trees)).withColumn("tree", (F.col("tree") - k * n_trees).cast("int"))
+        forest = Forest(own, tuple(features), int(grown[k].size), 0.0)
+        offset = score(df.where(c), forest).agg(F.percentile_approx("iso_score", contamination, 100_000)).first()[0]
+        out.append(replace(forest, offset=float(offset)))
+    return out
+
+
 def _path_scorer(nodes: pd.DataFrame, features: Sequence[str], psi: int, out_col: str):
     trees = []
     for _, g in nodes.groupby("tree"):

@@ -131,3 +131,18 @@ def to_long(df: DataFrame, id_cols: Sequence[str], metrics: Sequence[str]) -> Da
     """RP2: wide fold metrics -> (ids..., metric, value)."""
     return df.select(*id_cols, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                                   for m in metrics])).alias("_m")).select(*id_cols, "_m.metric", "_m.value")
+
+
+def pr_auc(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), buckets: int = 65536) -> DataFrame:
+    """Area under the precision-recall curve as average precision, equal scores taken together; 0 without a positive row.
+
+    Like ``roc_auc``: rows collapse to a histogram per score, and what scores above each score comes from bucketed prefix sums
+    (scores in [0, 1], the largest first).
+    """
+    hist = df.groupBy(*by, (-F.col(score)).alias("_s")).agg(
+        F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    bucket = F.least(F.greatest(F.floor((1 + F.col("_s")) * buckets), F.lit(0)), F.lit(buckets - 1))
+    pre = bucketed_prefix(hist, "_s", ["pos", "n"], bucket, partition=by)
+    precision = (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
+    u = pre.groupBy(*by).agg(F.sum(F.col("pos") * precision).alias("_u"), F.sum("pos").alias("_p"))
+    return u.select(*by, F.when(F.col("_p") > 0, F.col("_u") / F.col("_p")).otherwise(F.lit(0.0)).alias("pr_auc"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import chunking as ch
 from .stats import bucketed_prefix
 
@@ -39,6 +40,18 @@ def global_positions(df: DataFrame, key: str = "inverter_id", order: str = "date
             .drop("_eoff", ch.POS))
 
 
+def time_positions(df: DataFrame, key: str = "inverter_id", order: str = "datetime", out: str = "row_pos") -> DataFrame:
+    """Position in the (order, key) sort of the whole table: all entities' rows in time order.
+
+    Rows are counted by time, and the counts are summed up over ranges of the times (written, with their range's number); the rows of one time are
+    ranked by key. No window holds more than a range of times or the rows of one time.
+    """
+    times = materialize(df.groupBy(order).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(order).withColumn("_rb", F.spark_partition_id()))
+    before = bucketed_prefix(times, order, ["_n"], F.col("_rb")).select(order, F.col("_n_before").alias("_before"))
+    inside = Window.partitionBy(order).orderBy(key)
+    return df.join(before, order).withColumn(out, (F.col("_before") + F.row_number().over(inside) - 1).cast("long")).drop("_before")
+
+
 def latest_per_entity(df: DataFrame, key: str = "inverter_id", order: str = "datetime") -> DataFrame:
     """WN6: the latest row of every entity; each task keeps one row per entity before the shuffle (window group limit)."""
     w = Window.partitionBy(key).orderBy(F.desc(order))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, matrix, ranking, risk
 from ..schema import EXCLUDE_COLS, KEY_FEATURES, RISK_RECOMMENDATIONS
+from ..session import materialize
 from . import sql_twins as S
 from .catalog import register, rounded, sql_round6
 from .feature_queries import FEATURED_COLS, KEYS
@@ -185,6 +186,22 @@ def q_walk_forward(spark, sf):
     return folds.walk_forward_folds(featured(spark, sf).select(*KEYS)).select(*KEYS, "row_pos", "test_fold")
 
 
+TIME_FOLD_SQL = """,
+timed AS (SELECT inverter_id, datetime, row_number() OVER (ORDER BY datetime, inverter_id) - 1 AS row_pos, count(*) OVER () AS n FROM featured),
+blocked AS (SELECT *, CASE WHEN n // 6 > 0 AND row_pos >= n - (n // 6) * 5 THEN (row_pos - (n - (n // 6) * 5)) // (n // 6) END AS test_fold FROM timed),
+blocks AS (SELECT test_fold AS k, min(row_pos) AS p, min(datetime) AS t FROM blocked WHERE test_fold IS NOT NULL GROUP BY 1),
+purged AS (SELECT b.inverter_id, b.datetime, b.row_pos, b.test_fold, (SELECT min(k) FROM blocks WHERE b.row_pos < p AND b.datetime + INTERVAL 168 HOUR <= t) AS trains_from,
+  (SELECT min(k) FROM blocks WHERE b.row_pos < p) AS earlier FROM blocked b)"""
+
+
+@register("walk_forward_time", _q(FEATURED_SQL + TIME_FOLD_SQL, """SELECT inverter_id, datetime, row_pos, CAST(test_fold AS INTEGER) AS test_fold, CAST(trains_from AS INTEGER) AS trains_from,
+  CAST(CASE WHEN trains_from IS NULL OR earlier < trains_from THEN earlier END AS INTEGER) AS purged_from FROM purged"""))
+def q_walk_forward_time(spark, sf):
+    """ML6 in time order: test folds over all inverters, and the folds that a row trains or is purged from (7 days before the test block)."""
+    folded = materialize(folds.walk_forward_folds(featured(spark, sf).select(*KEYS), order="time"))
+    return folds.with_purge(folded).select(*KEYS, "row_pos", "test_fold", "trains_from", "purged_from")
+
+
 @register("holdout_split", _q(FEATURED_SQL + FOLD_SQL, "SELECT inverter_id, datetime, is_train FROM folded"))
 def q_holdout(spark, sf):
     """ML7: positional 80/20 hold-out."""

@@ -1,20 +1,23 @@
 """Registered model queries (rows-only checks: trained models have no SQL twin).
 
-Models are trained at the reference's settings (``gbt.BoostParams``: at most 500
-rounds); the positional hold-out, the last fifth of the rows, stops the boosting.
+Models are trained at full settings (``gbt.BoostParams``: at most 500 rounds, patience 50); the positional hold-out, the last fifth
+of the rows, stops the boosting. They are stored by a fingerprint of the featured table, settings and code (``models.store``):
+the first query that needs one trains it, all others load it.
 """
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
-from ..models import explain, gbt, iforest
+from ..models import boost, explain, gbt, iforest, store
 from ..operators import folds, matrix, ranking, risk, serving
 from ..schema import KEY_FEATURES
 from ..session import materialize
 from .analysis_queries import AVAILABLE_KEYS, featured
 from .catalog import register, rounded
-from .store import baseline_table
+from .store import baseline_table, featured_store_path
 from .feature_queries import KEYS
 
 HELD = "held_out"
@@ -26,28 +29,62 @@ def training_frame(spark, sf):
     return materialize(d.withColumn(HELD, ~F.col("is_train")).drop("is_train", "row_pos"))
 
 
-def _binary(d):
-    return gbt.train_binary(d, AVAILABLE_KEYS, validation=HELD)
+def rows_of(spark, sf):
+    """Key features and targets of every reading."""
+    return matrix.key_feature_frame(featured(spark, sf), keep=KEYS)
+
+
+def _path(spark, sf, kind, **settings):
+    return store.model_path(spark, kind, featured_store_path(spark, sf), {"features": AVAILABLE_KEYS} | settings)
+
+
+def binary_model(spark, sf, params=gbt.BoostParams()):
+    """The stored binary model."""
+    return store.boosted(spark, _path(spark, sf, "binary", **asdict(params)),
+                         lambda: boost.train_binary(training_frame(spark, sf), AVAILABLE_KEYS, params=params, validation=HELD))
+
+
+def multiclass_model(spark, sf, params=gbt.BoostParams()):
+    """The stored 3-class model."""
+    return store.boosted(spark, _path(spark, sf, "multiclass", **asdict(params)),
+                         lambda: boost.train_multiclass(training_frame(spark, sf), AVAILABLE_KEYS, params=params, validation=HELD))
 
 
-def _multiclass(d):
-    return gbt.train_multiclass(d, AVAILABLE_KEYS, validation=HELD)
+def forest_model(spark, sf, n_trees, contamination):
+    """The stored isolation forest, fitted on all rows."""
+    return store.forest(spark, _path(spark, sf, "forest", n_trees=n_trees, contamination=contamination),
+                        lambda: iforest.fit(rows_of(spark, sf), AVAILABLE_KEYS, KEYS, n_trees=n_trees, contamination=contamination))
 
 
 @register("gbt_binary")
 def q_gbt_binary(spark, sf):
-    """ML1: weighted binary GBT fitted on the key features, scored on every row."""
-    d = training_frame(spark, sf)
-    out = gbt.score_binary(_binary(d), d)
+    """ML1: weighted binary model, stopped on PR-AUC with patience 50, scored on every row."""
+    out = boost.score_binary(binary_model(spark, sf), rows_of(spark, sf))
     return rounded(out.select(*KEYS, "target_binary", F.col("pred_binary").cast("int").alias("prediction"),
                               "p_failure"))
 
 
+@register("softmax_multiclass")
+def q_softmax_multiclass(spark, sf):
+    """ML2 + FN13: one joint softmax model, stopped on log loss with patience 50; probabilities, argmax, 1 - P(no risk)."""
+    out = boost.score_multiclass(multiclass_model(spark, sf), rows_of(spark, sf))
+    return rounded(out.select(*KEYS, "target_multiclass", "risk_class", "failure_probability", *(F.col("probs")[k].alias(f"p{k}") for k in range(3)),
+                              risk.risk_level(F.col("risk_class")).alias("risk_level")))
+
+
+@register("boosting_rounds")
+def q_boosting_rounds(spark, sf):
+    """ML1 + ML2: the validation metric after every round that was trained, and whether the round was kept."""
+    rows = [(name, i + 1, m.metric, float(v), i < m.rounds) for name, m in (("binary", binary_model(spark, sf)), ("multiclass", multiclass_model(spark, sf)))
+            for i, v in enumerate(m.history)]
+    return spark.createDataFrame(rows, "model string, round int, metric string, value double, kept boolean")
+
+
 @register("ovr_multiclass")
 def q_ovr_multiclass(spark, sf):
     """ML2 + FN13: one-vs-rest 3-class GBT, normalised class probabilities, argmax, 1 - P(no risk)."""
     d = training_frame(spark, sf)
-    out = gbt.score_multiclass(_multiclass(d), d)
+    out = gbt.score_multiclass(gbt.train_multiclass(d, AVAILABLE_KEYS, validation=HELD), d)
     return out.select(*KEYS, "target_multiclass", "risk_class", "failure_probability",
                       risk.risk_level(F.col("risk_class")).alias("risk_level"))
 
@@ -55,22 +92,19 @@ def q_ovr_multiclass(spark, sf):
 @register("anomaly_scores")
 def q_anomaly_scores(spark, sf):
     """ML4 + ML5: isolation forest (200 trees, contamination 0.05) fitted on all rows, scored on all rows."""
-    d = training_frame(spark, sf)
-    forest = iforest.fit(d, AVAILABLE_KEYS, KEYS, n_trees=200, contamination=0.05)
-    return rounded(iforest.add_anomaly_scores(d, forest)
+    return rounded(iforest.add_anomaly_scores(rows_of(spark, sf), forest_model(spark, sf, 200, 0.05))
                    .select(*KEYS, "anomaly_score", "is_anomaly"))
 
 
 @register("batch_score")
 def q_batch_score(spark, sf):
-    """ML17: sparse readings -> completion (SV*) -> 3-class GBT, isolation forest, drivers of the binary GBT
+    """ML17: sparse readings -> completion (SV*) -> stored 3-class model, isolation forest, drivers of the binary model
     -> prediction records."""
-    d = training_frame(spark, sf)
-    models, nodes = _multiclass(d), explain.gbt_nodes(spark, _binary(d).stages[-1])
-    forest = iforest.fit(d, AVAILABLE_KEYS, KEYS, n_trees=100, contamination=0.15)
+    model, nodes = multiclass_model(spark, sf), binary_model(spark, sf).node_table()
+    forest = forest_model(spark, sf, 100, 0.15)
     dense = serving.complete_readings(serving.readings_from_featured(featured(spark, sf)), baseline_table(spark, sf), KEY_FEATURES)
     scored = iforest.add_anomaly_scores(dense, forest)
-    scored = gbt.score_multiclass(models, explain.add_drivers(scored, nodes, AVAILABLE_KEYS))
+    scored = boost.score_multiclass(model, explain.add_drivers(scored, nodes, AVAILABLE_KEYS))
     lvl = risk.risk_level(F.col("risk_class"))
     factors = F.transform("top_risk_factors", lambda d: d.withField("value", F.round(d["value"], 4))
                           .withField("impact", F.round(d["impact"], 4)))
@@ -82,43 +116,61 @@ def q_batch_score(spark, sf):
 
 @register("explain_global")
 def q_explain_global(spark, sf):
-    """ML14: top-10 features by mean |path attribution| of the binary GBT over all rows."""
-    d = training_frame(spark, sf)
-    return explain.top_features(d, explain.gbt_nodes(spark, _binary(d).stages[-1]), AVAILABLE_KEYS)
+    """ML14: top-10 features by mean |path attribution| of the binary model over all rows."""
+    return explain.top_features(rows_of(spark, sf), binary_model(spark, sf).node_table(), AVAILABLE_KEYS)
 
 
 @register("explain_rows")
 def q_explain_rows(spark, sf):
     """ML15 + SK5 + FN14: per-row top-5 drivers (value, signed impact, direction) and base value."""
-    d = training_frame(spark, sf)
-    nodes = explain.gbt_nodes(spark, _binary(d).stages[-1])
-    top = explain.add_drivers(d.select(*KEYS, *AVAILABLE_KEYS), nodes, AVAILABLE_KEYS)
+    top = explain.add_drivers(rows_of(spark, sf).select(*KEYS, *AVAILABLE_KEYS), binary_model(spark, sf).node_table(), AVAILABLE_KEYS)
     each = top.select(*KEYS, "base_value", F.posexplode("top_risk_factors").alias("rank", "driver"))
     return each.select(*KEYS, (F.col("rank") + 1).alias("rank"), "driver.feature", F.round("driver.value", 4).alias("value"),
                        F.round("driver.impact", 4).alias("impact"), "driver.direction", "base_value")
 
 
+#: Settings of the registered cross-validations, 5 folds x 2 tasks each: a fit of one small tree costs MLlib half a second whatever its rows.
+CV_PATIENCE, LIGHT_ROUNDS = 10, 10
+
+
+def _stored_table(spark, sf, kind, build, **settings):
+    """A small result table kept like a model: built by the first query, read by the others."""
+    path = _path(spark, sf, kind, **settings)
+    return store.stored(spark, path, build, lambda df, p: df.coalesce(1).write.mode("overwrite").parquet(f"{p}/meta"), lambda p: spark.read.parquet(f"{p}/meta"))
+
+
+def _long(res):
+    cv = res["aggregate"].select(F.concat("task", F.lit("_cv")).alias("section"), "metric", F.col("mean").alias("value"))
+    tf = res["top_features"].select(F.lit("top_features").alias("section"), F.col("feature").alias("metric"), F.col("mean_abs_impact").alias("value"))
+    if "holdout" not in res:
+        return cv.unionByName(tf)
+    return cv.unionByName(res["holdout"].select(F.lit("holdout_binary").alias("section"), "metric", "value")).unionByName(tf)
+
+
 @register("training_metrics")
 def q_training_metrics(spark, sf):
-    """ML16: anomaly features -> walk-forward CV (binary + 3-class) -> hold-out -> attribution.
+    """ML16: anomaly features -> walk-forward CV (binary + 3-class, patience ``CV_PATIENCE``) -> hold-out -> attribution.
 
     Output: long metrics table (section, metric, value) over CV means, hold-out and top features.
     """
     from .training import run_training
-    res = run_training(spark, featured(spark, sf), save_dir=None)
-    cv = res["aggregate"].select(F.concat("task", F.lit("_cv")).alias("section"), "metric",
-                                 F.col("mean").alias("value"))
-    ho = res["holdout"].select(F.lit("holdout_binary").alias("section"), "metric", "value")
-    tf = res["top_features"].select(F.lit("top_features").alias("section"), F.col("feature").alias("metric"),
-                                    F.col("mean_abs_impact").alias("value"))
-    return cv.unionByName(ho).unionByName(tf)
+    return _stored_table(spark, sf, "training-metrics", lambda: _long(run_training(spark, featured(spark, sf), patience=CV_PATIENCE)), patience=CV_PATIENCE)
+
+
+@register("light_training_metrics")
+def q_light_training_metrics(spark, sf):
+    """ML3 + ML8: the light job with ``LIGHT_ROUNDS`` rounds: stratified CV means and the attribution of the final binary model."""
+    from dataclasses import replace
+
+    from .training import run_light_training
+    light = replace(gbt.LIGHT, max_iter=LIGHT_ROUNDS)
+    return _stored_table(spark, sf, "light-metrics", lambda: _long(run_light_training(spark, featured(spark, sf), AVAILABLE_KEYS, light)), **asdict(light))
 
 
 def _scored_readings(spark, sf, readings, keep):
-    """Stored readings, padded to the models' features, scored by the binary and the 3-class models."""
-    d = training_frame(spark, sf)
+    """Stored readings, padded to the models' features, scored by the stored binary and 3-class models."""
     rows = matrix.pad_to_model(readings, AVAILABLE_KEYS, keep=keep)
-    return gbt.score_multiclass(_multiclass(d), gbt.score_binary(_binary(d), rows))
+    return boost.score_multiclass(multiclass_model(spark, sf), boost.score_binary(binary_model(spark, sf), rows))
 
 
 @register("score_latest")

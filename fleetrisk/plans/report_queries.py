@@ -62,6 +62,15 @@ def q_roc_auc(spark, sf):
     return rounded(metrics.roc_auc(scored(spark, sf), "target_binary", "proxy_prob"))
 
 
+@register("pr_auc", _q(SCORED_SQL, f"""SELECT {R("a")} AS pr_auc FROM (
+  SELECT CASE WHEN sum(pos) > 0 THEN sum(pos * (pos_upto / n_upto)) / sum(pos) ELSE 0.0 END AS a FROM (
+    SELECT pos, sum(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS pos_upto, sum(n) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS n_upto
+    FROM (SELECT proxy_prob AS s, sum(CASE WHEN target_binary = 1 THEN 1 ELSE 0 END) AS pos, count(*) AS n FROM scored GROUP BY 1) h) x) z"""))
+def q_pr_auc(spark, sf):
+    """ML1: area under the precision-recall curve (average precision), what boosting is stopped by."""
+    return rounded(metrics.pr_auc(scored(spark, sf), "target_binary", "proxy_prob"))
+
+
 def _class_sql(y: str, p: str, src: str = "scored", by: str = "") -> str:
     b = f"{by}, " if by else ""
     return f""",

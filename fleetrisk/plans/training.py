@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models import explain, gbt, iforest
+from ..models import boost, explain, gbt, iforest
 from ..operators import folds, matrix, metrics
 from ..schema import KEY_FEATURES
 from ..session import materialize
-from ..sources.sinks import save_model, write_json_table
+from ..sources.sinks import write_json_table
 
 
 def _fold_rows(task: str, fold: int, m: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -26,52 +26,71 @@ def _fold_rows(task: str, fold: int, m: DataFrame, names: Sequence[str]) -> Data
 
 def run_training(spark: SparkSession, featured: DataFrame, params: gbt.BoostParams = gbt.BoostParams(),
                  n_splits: int = 5, contamination: float = 0.05, n_trees: int = 200,
-                 keys: Sequence[str] = ("inverter_id", "datetime"), save_dir: str | None = None) -> dict:
+                 keys: Sequence[str] = ("inverter_id", "datetime"), save_dir: str | None = None,
+                 anomaly: str = "global", order: str = "entity", patience: int = 50) -> dict:
     """Returns DataFrames: ``per_fold`` (task, fold, metric, value), ``aggregate`` (task, metric, mean, std),
-    ``holdout`` (metric, value), ``top_features`` (rank, feature, mean_abs_impact)."""
+    ``holdout`` (metric, value), ``top_features`` (rank, feature, mean_abs_impact).
+
+    ``anomaly="global"`` fits one forest on all rows, as the reference does, so a fold's test rows have shaped their own anomaly features;
+    ``"fold"`` grows a forest per fold (and one for the hold-out) on its training rows, in one job, and scores the fold's rows by it.
+    ``order="time"`` lays folds out in time order and purges training rows whose label reaches into the test block.
+    """
+    if anomaly not in ("global", "fold"):
+        raise ValueError(f"unknown anomaly mode {anomaly!r}")
     keys = list(keys)
     base = matrix.feature_matrix(featured, keep=keys + ["target_binary", "target_multiclass"])
     feats = [c for c in base.columns if c not in set(keys) | {"target_binary", "target_multiclass"}]
-    # 1. anomaly detector on every row (as the reference does), scores become two more features
-    base = materialize(base)
-    forest = iforest.fit(base, feats, keys, n_trees=n_trees, contamination=contamination)
-    x = materialize(iforest.add_anomaly_scores(base, forest))
+    base = materialize(folds.holdout_split(folds.walk_forward_folds(materialize(base), n_splits, order=order)))
+    if order == "time":
+        base = materialize(folds.with_purge(base))
+    starts = {r.test_fold: r.p for r in base.where("test_fold is not null").groupBy("test_fold").agg(F.min("row_pos").alias("p")).collect()}
+    before = {k: (F.col("row_pos") < p) & (F.col("trains_from") <= k if order == "time" else F.lit(True)) for k, p in starts.items()}
+    # 1. anomaly detectors; scores become two more features
+    if anomaly == "global":
+        forests = {None: iforest.fit(base, feats, keys, n_trees=n_trees, contamination=contamination)}
+        scored_by = dict.fromkeys([*starts, "holdout"], None)
+    else:
+        names = [*sorted(starts), "holdout"]
+        conditions = [before[k] for k in sorted(starts)] + [F.col("is_train")]
+        forests = dict(zip(names, iforest.fit_many(base, feats, keys, [F.coalesce(c, F.lit(False)) for c in conditions], n_trees=n_trees, contamination=contamination)))
+        scored_by = {k: k for k in names}
+    with_scores = {name: materialize(iforest.add_anomaly_scores(base, f)) for name, f in forests.items()}
+    own = feats
     feats = feats + ["anomaly_score", "is_anomaly"]
-    x = materialize(folds.holdout_split(folds.walk_forward_folds(x, n_splits)))
 
     def fold(k: int) -> list[DataFrame]:
-        test = x.where(F.col("test_fold") == k)
-        start = test.agg(F.min("row_pos")).first()[0]
-        if start is None:
+        if k not in starts:
             return []
+        x = with_scores[scored_by[k]]
+        test = x.where(F.col("test_fold") == k)
         # the fold under test is also the set that stops the boosting, as in the reference job
-        seen = x.where((F.col("row_pos") < start) | (F.col("test_fold") == k)).withColumn("_val", F.col("row_pos") >= start)
-        bm = gbt.score_binary(gbt.train_binary(seen, feats, params=params, validation="_val"), test)
+        seen = x.where(before[k] | (F.col("test_fold") == k)).withColumn("_val", F.col("row_pos") >= starts[k])
+        bm = boost.score_binary(boost.train_binary(seen, feats, params=params, validation="_val", patience=patience), test)
         b = metrics.binary_with_auc(bm, "target_binary", "pred_binary", "p_failure")
-        mm = gbt.score_multiclass(gbt.train_multiclass(seen, feats, params=params, validation="_val"), test)
+        mm = boost.score_multiclass(boost.train_multiclass(seen, feats, params=params, validation="_val", patience=patience), test)
         m = metrics.macro_metrics(mm, "target_multiclass", "risk_class")
         return [_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]),
                 _fold_rows("multiclass", k + 1, m, ["precision_macro", "recall_macro", "f1_macro"])]
-    per_fold = sum(gbt.side_by_side(spark, [lambda k=k: fold(k) for k in range(n_splits)]), [])
+    x = with_scores[scored_by["holdout"]]
+    split = x.withColumn("_val", ~F.col("is_train"))
+    finals = [lambda: boost.train_binary(split, feats, params=params, validation="_val", patience=patience),
+              lambda: boost.train_multiclass(split, feats, params=params, validation="_val", patience=patience)]
+    *per_fold, final_bin, final_multi = gbt.side_by_side(spark, [*(lambda k=k: fold(k) for k in range(n_splits)), *finals], parallelism=6)
+    per_fold = sum(per_fold, [])
     series = per_fold[0]
     for p in per_fold[1:]:
         series = series.unionByName(p)
     series = materialize(series)
     test = x.where(~F.col("is_train"))
-    split = x.withColumn("_val", ~F.col("is_train"))
-    final_bin = gbt.train_binary(split, feats, params=params, validation="_val")
-    scored = gbt.score_binary(final_bin, test)
-    hold = metrics.binary_with_auc(scored, "target_binary", "pred_binary", "p_failure")
+    hold = metrics.binary_with_auc(boost.score_binary(final_bin, test), "target_binary", "pred_binary", "p_failure")
     holdout = metrics.to_long(hold, [], ["precision", "recall", "f1", "auc"])
-    final_multi = gbt.train_multiclass(split, feats, params=params, validation="_val")
-    top = materialize(explain.top_features(test, explain.gbt_nodes(spark, final_bin.stages[-1]), feats))
-    out = {"per_fold": series, "aggregate": metrics.fold_aggregate(series), "holdout": holdout,
-           "top_features": top, "feature_names": feats}
+    top = materialize(explain.top_features(test, final_bin.node_table(), feats))
+    out = {"per_fold": series, "aggregate": metrics.fold_aggregate(series), "holdout": holdout, "top_features": top, "feature_names": feats,
+           "binary": final_bin, "multiclass": final_multi, "forests": forests, "raw_features": own}
     if save_dir:
-        save_model(final_bin, f"{save_dir}/binary_model")
-        for i, m in enumerate(final_multi):
-            save_model(m, f"{save_dir}/multiclass_model_{i}")
-        iforest.save_forest(forest, f"{save_dir}/anomaly_model")
+        boost.save(final_bin, spark, f"{save_dir}/binary_model")
+        boost.save(final_multi, spark, f"{save_dir}/multiclass_model")
+        iforest.save_forest(forests[scored_by["holdout"]], f"{save_dir}/anomaly_model")
         write_json_table(out["aggregate"], f"{save_dir}/metrics_aggregate")
         write_json_table(series, f"{save_dir}/metrics_per_fold")
         write_json_table(holdout, f"{save_dir}/metrics_holdout")
@@ -92,9 +111,9 @@ def stratified_cv(featured: DataFrame, features: Sequence[str], params: gbt.Boos
     y = materialize(folds.stratified_folds(base, "target_multiclass", keys, n_splits, seed))
 
     def fold(k: int) -> list[DataFrame]:
-        bm = gbt.score_binary(gbt.train_binary(x.where(F.col("fold") != k), list(features), params=params), x.where(F.col("fold") == k))
+        bm = boost.score_binary(boost.train_binary(x.where(F.col("fold") != k), list(features), params=params), x.where(F.col("fold") == k))
         b = metrics.binary_with_auc(bm, "target_binary", "pred_binary", "p_failure")
-        mm = gbt.score_multiclass(gbt.train_multiclass(y.where(F.col("fold") != k), list(features), params=params), y.where(F.col("fold") == k))
+        mm = boost.score_multiclass(boost.train_multiclass(y.where(F.col("fold") != k), list(features), params=params), y.where(F.col("fold") == k))
         w = metrics.weighted_metrics(mm, "target_multiclass", "risk_class")
         return [_fold_rows("binary", k + 1, b, ["precision", "recall", "f1", "auc"]),
                 _fold_rows("multiclass", k + 1, w, ["precision_weighted", "recall_weighted", "f1_weighted"])]
@@ -117,17 +136,16 @@ def run_light_training(spark: SparkSession, featured: DataFrame, features: Seque
     feats = matrix.available_key_features(featured, features)
     per_fold = materialize(stratified_cv(featured, feats, params, n_splits, keys=keys))
     rows = materialize(matrix.key_feature_frame(featured, feats, keep=keys))
-    binary = gbt.train_binary(rows, feats, params=params)
-    multi = gbt.train_multiclass(rows, feats, params=params, balanced=True)
+    binary = boost.train_binary(rows, feats, params=params)
+    multi = boost.train_multiclass(rows, feats, params=params, balanced=True)
     forest = iforest.fit(rows, feats, keys, n_trees=n_trees, contamination=contamination)
-    top = materialize(explain.top_features(rows, explain.gbt_nodes(spark, binary.stages[-1]), feats))
+    top = materialize(explain.top_features(rows, binary.node_table(), feats))
     baseline = matrix.healthy_baseline(rows, feats)
     out = {"per_fold": per_fold, "aggregate": metrics.fold_aggregate(per_fold), "top_features": top,
            "baseline": baseline, "feature_names": feats}
     if save_dir:
-        save_model(binary, f"{save_dir}/binary_model")
-        for i, m in enumerate(multi):
-            save_model(m, f"{save_dir}/multiclass_model_{i}")
+        boost.save(binary, spark, f"{save_dir}/binary_model")
+        boost.save(multi, spark, f"{save_dir}/multiclass_model")
         iforest.save_forest(forest, f"{save_dir}/anomaly_model")
         for name in ("per_fold", "aggregate", "top_features", "baseline"):
             write_json_table(out[name], f"{save_dir}/{name}")
