@@ -62,6 +62,8 @@ class Boosted:
         """Nodes of one output in the layout of ``explain.gbt_nodes``; the start margin is a tree of one node."""
         own = self.nodes[self.nodes["cls"] == cls]
         start = pd.DataFrame([{"tree": -1, "node": 0, "feature": -1, "threshold": 0.0, "left": -1, "right": -1, "value": self.base[cls], "weight": 1.0}])
+        if not len(own):
+            return start
         return pd.concat([start, own.rename(columns={"round": "tree"}).drop(columns="cls").assign(weight=self.step_size)], ignore_index=True)
 
 
