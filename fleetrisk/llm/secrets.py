@@ -11,12 +11,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_steps, texts
+from .common import stash, text_steps, texts
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -57,51 +59,65 @@ BRUTE_SPAN = 24
 _CLASSES = ((str.islower, 26), (str.isupper, 26), (str.isdigit, 10))
 
 
-def _blocks(value: str) -> dict[int, tuple[int, int]]:
-    """start -> (length of the block, copies) where a block of 2 to ``LONGEST_BLOCK`` characters follows itself; the shortest block counts."""
-    n, out = len(value), {}
-    for p in range(min(LONGEST_BLOCK, n // 2), 1, -1):
-        run = 0
-        for i in range(n - p - 1, -1, -1):
-            run = run + 1 if value[i] == value[i + p] else 0
-            if run >= p:
-                out[i] = (p, run // p + 1)
-    return out
+class _Repeats:
+    """Where blocks of a value follow themselves, found as asked for."""
+
+    def __init__(self, value: str):
+        self.value, self.n = value, len(value)
+        self.chars = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+        self.breaks: dict[int, np.ndarray] = {}
+
+    def run(self, i: int, p: int) -> int:
+        """Characters from ``i`` on that equal the one ``p`` later."""
+        at = self.breaks.get(p)
+        if at is None:
+            at = self.breaks[p] = np.append(np.flatnonzero(self.chars[p:] != self.chars[:-p]), max(self.n - p, 0))
+        return max(int(at[np.searchsorted(at, i)]) - i, 0) if i < self.n - p else 0
 
+    def block(self, i: int) -> tuple[int, int] | None:
+        """(length, copies) of the shortest block of 2 to ``LONGEST_BLOCK`` characters at ``i`` that follows itself."""
+        v = self.value
+        for p in range(2, min(LONGEST_BLOCK, (self.n - i) // 2) + 1):
+            if v[i] == v[i + p] and v[i:i + p] == v[i + p:i + 2 * p]:
+                return p, self.run(i, p) // p + 1
+        return None
 
-def _walks(low: str) -> Iterator[tuple[int, int, int]]:
-    """(start, end, turns) of walks of three keys or more over neighbouring keys, also of other rows."""
-    n = len(low)
-    moves = [None] * n
-    for i in range(n - 1):
-        a, b = KEYS.get(low[i]), KEYS.get(low[i + 1])
+
+def _walks(low: str, i: int) -> Iterator[tuple[int, int]]:
+    """(end, turns) of walks of three keys or more from ``i`` over neighbouring keys, also of other rows."""
+    turns, last = 1, None
+    for j in range(i, min(len(low) - 1, i + LONGEST)):
+        a, b = KEYS.get(low[j]), KEYS.get(low[j + 1])
         move = (b[0] - a[0], b[1] - a[1]) if a and b else None
-        moves[i] = move if move in STEPS else None
-    for i in range(n):
-        turns = 1
-        for j in range(i, min(n - 1, i + LONGEST)):
-            if moves[j] is None:
-                break
-            turns += j > i and moves[j] != moves[j - 1]
-            if j > i:
-                yield i, j + 2, turns
+        if move not in STEPS:
+            return
+        turns += last is not None and move != last
+        last = move
+        if j > i:
+            yield j + 2, turns
+
 
+def guess_cost(value: str, rank_of: dict[str, int] = RANK, blocks: bool = True, enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of ``value`` needs (0 for an empty value); ``rank_of``: ranks of words.
 
-def guess_cost(value: str, rank_of: dict[str, int] = RANK, blocks: bool = True) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` needs (0 for an empty value); ``rank_of``: ranks of words."""
+    With ``enough`` only the side of it counts: the result is below ``enough`` just if the cost is, and work ends once that is known, so a
+    long value costs little more than its first hundreds of characters. Cuts more than ``LONGEST_BLOCK`` characters inside a run of one
+    character are not looked at: one longer run is cheaper than any way through them.
+    """
     n = len(value)
-    low = value.lower()
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    run_end = list(range(1, n + 1))  # where the run of one character at i ends
-    for i in range(n - 2, -1, -1):
-        if value[i] == value[i + 1]:
-            run_end[i] = run_end[i + 1]
-    repeats, costs = _blocks(value) if blocks else {}, {}
-    walks: dict[int, list[tuple[int, int]]] = {}
-    for i, end, turns in _walks(low):
-        walks.setdefault(i, []).append((end, turns))
-    for i in range(n):
+    repeats, costs = _Repeats(value), {}
+    i = -1
+    while i < n - 1 and (best[n] >= enough or enough == math.inf):
+        i += 1
+        if best[i] >= enough:  # no use going on from here
+            i = next((j for j in range(i + 1, n) if best[j] < enough), n) - 1
+            continue
+        run_end = i + 1 + repeats.run(i, 1)
+        if run_end - i > LONGEST_BLOCK and value[max(0, i - LONGEST_BLOCK - 1):i] == value[i] * (LONGEST_BLOCK + 1):
+            continue  # deep inside a run
         base = best[i] + 0.3  # each segment also costs the guess where it ends
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             rank = rank_of.get(low[i:j])
@@ -112,18 +128,19 @@ def guess_cost(value: str, rank_of: dict[str, int] = RANK, blocks: bool = True)
                 best[j] = min(best[j], base + math.log10(rank + 1) + 0.6 * cased + 0.9 * leet)
         if m := DATE.match(value, i):
             best[m.end()] = min(best[m.end()], base + math.log10(365 * 120 if m.end() - i > 4 else 120))
-        j = run_end[i]
-        for k in range(i + 3, j + 1) if j - i <= 8 else (i + 8, j):
+        near, far = min(run_end, i + LONGEST_BLOCK), max(i + 3, run_end - LONGEST_BLOCK)
+        for k in chain(range(i + 3, near + 1), range(max(far, near + 1), run_end + 1)):
             best[k] = min(best[k], base + math.log10(95 * (k - i)))
         j = i + 1
         while j < n and j - i < len(ROWS[-1]) and (low[j - 1], low[j]) in NEXT:
             j += 1
             if j - i >= 3:
                 best[j] = min(best[j], base + math.log10(47 * 4 * (j - i)))
-        for end, turns in walks.get(i, ()):
+        for end, turns in _walks(low, i):
             best[end] = min(best[end], base + math.log10(47 * (end - i)) + turns * math.log10(6))
-        if i in repeats and run_end[i] < i + repeats[i][0]:  # not a run of one character
-            p, copies = repeats[i]
+        found = repeats.block(i) if blocks else None
+        if found and run_end < i + found[0]:  # not a run of one character
+            p, copies = found
             block = value[i:i + p]
             if block not in costs:
                 costs[block] = guess_cost(block, rank_of, False)
@@ -143,7 +160,7 @@ def find_spans(text: str, min_log10_guesses: float, rank_of: dict[str, int] = RA
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    found += [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1].rstrip(".,;:!?)"), rank_of) >= min_log10_guesses]
+    found += [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1].rstrip(".,;:!?)"), rank_of, enough=min_log10_guesses) >= min_log10_guesses]
     return sorted(found)
 
 
@@ -155,15 +172,43 @@ def rank_words(docs: DataFrame) -> dict[str, int]:
     """
     text = F.regexp_replace(F.lower(F.col("text").cast("string")), CONTEXT.pattern, " ")
     words = F.array_distinct(F.split(text, r"[\s,;:!?()\"]+|\.(?=\s|$)"))
-    top = (docs.select(F.explode(words).alias("word")).where(F.col("word").rlike(f"^\\p{{L}}{{3,{LONGEST}}}$"))
-           .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
-           .orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect())
+    counts = (docs.select(F.explode(words).alias("word")).where(F.col("word").rlike(f"^\\p{{L}}{{3,{LONGEST}}}$"))
+              .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS))
     out = dict(RANK)
-    for r in top:
+    for r in sorted(first_words(stash(counts, "secret-words"), MOST_WORDS).collect(), key=lambda r: (-r.n, r.word)):
         out.setdefault(r.word, len(out) + 1)
     return out
 
 
+def first_words(counts: DataFrame, most: int, parts: int = 256) -> DataFrame:
+    """The ``most`` rows of ``counts`` (word, n) with the largest n, ties by word.
+
+    The n at which the cut falls is found by histograms of ``parts`` intervals, each round inside the interval that holds it; words at the
+    cut are laid out in ranges, of which only the one on the cut is sorted. A histogram and a row a range reach the driver.
+    """
+    lo, hi, above = 0, (counts.agg(F.max("n")).first()[0] or 0) + 1, 0  # words with n >= hi: above, fewer than most
+    while hi - lo > 1:
+        width = -(-(hi - lo) // parts)
+        hist = (counts.where((F.col("n") >= lo) & (F.col("n") < hi)).groupBy(F.floor((F.col("n") - lo) / width).alias("b"))
+                .agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("b")).collect())
+        for r in hist:
+            if above + r.words >= most:
+                lo, hi = lo + r.b * width, min(hi, lo + (r.b + 1) * width)
+                break
+            above += r.words
+        else:
+            return counts  # all of them
+    ties = stash(counts.where(F.col("n") == lo).repartitionByRange("word").withColumn("part", F.spark_partition_id()), "secret-ties")
+    left, whole, cut = most - above, -1, None
+    for r in sorted(ties.groupBy("part").count().collect()):
+        if r["count"] > left:
+            cut = r.part
+            break
+        left, whole = left - r["count"], r.part
+    out = counts.where(F.col("n") > lo).unionByName(ties.where(F.col("part") <= whole).drop("part"))
+    return out if cut is None else out.unionByName(ties.where(F.col("part") == cut).drop("part").orderBy("word").limit(left))
+
+
 def scan_secrets(docs: DataFrame, min_log10_guesses: float = 10.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, spans array<struct<kind, start, end>>, code points, end exclusive, by start and kind.
 
