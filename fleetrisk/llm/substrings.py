@@ -9,7 +9,6 @@ settled there and only the smallest doc_id's row goes on, so a hot passage sends
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,23 +18,31 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, text_steps
+from .common import raw_texts, stash, text_steps
 from .recompress import NONE, choose, mix, symbols
 
 ROUNDS, SHORTEST = 2, 4
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)  # of the rolling names; odd, so that it has an inverse
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BASE2 = np.uint64(0xD1B54A32D192ED03 | 1)  # of the second names, which are rolled from another hash of the words
+INVERSE2 = np.uint64(pow(int(BASE2), -1, 1 << 64))
 CHECK = 6  # bytes of a window's second name
+COUNT_BITS = 24  # of a row's number of windows, below its first word
 STEP_BYTES = 1_000_000
+#: Repeated doc_ids that are broadcast; beyond, rows meet them by a shuffle.
+MOST_REPEATED = 100_000
 
 
-def _tag(text: bytes) -> int:
-    """Tells rows apart that repeat a doc_id with another text."""
-    return zlib.crc32(text) & 0x7FFF
+def _rolled(names: np.ndarray, base: np.uint64, inverse: np.uint64):
+    """A function of arrays (first word, word behind the last): names of stretches of words, equal where the words' names are."""
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(names), base)]))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(names), inverse)]))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(names) * powers[:-1])])
+    return lambda lo, hi: mix((total[hi] - total[lo]) * back[lo])
 
 
 def window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(key, doc, place, n, checks): n neighbouring windows from word ``place`` (low 32 bits; the text's tag above) on.
+    """(key, doc, tag, place, checks): neighbouring windows, ``place`` is the first one's first word and, in ``COUNT_BITS`` bits, their number.
 
     ``checks`` is null for windows already known to be in a document with a smaller id.
     """
@@ -47,15 +54,14 @@ def window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         n = int(size.sum())
         if n < window:
             continue
-        names = np.fromiter((h for w in words for h in map(xxhash.xxh64_intdigest, w)), np.uint64, n)
+        both = np.frombuffer(b"".join(h for w in words for h in map(xxhash.xxh128_digest, w)), np.uint64).reshape(n, 2)
+        names = both[:, 0].copy()
         doc = np.repeat(np.arange(len(words)), size)
         sym, lo, hi = symbols(names, doc, ROUNDS, window)
         best = choose(sym, lo, hi, n, window, SHORTEST)
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE)]))
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(names) * powers[:-1])])
-        rolled = mix((total[window:] - total[:-window]) * back[:n - window + 1])
-        best = np.where(best == NONE, rolled * np.uint64(5) + np.uint64(1), best)
+        first_name, second_name = _rolled(names, BASE, INVERSE), _rolled(both[:, 1], BASE2, INVERSE2)
+        every = np.arange(n - window + 1)
+        best = np.where(best == NONE, first_name(every, every + window) * np.uint64(5) + np.uint64(1), best)
         inside = doc[:n - window + 1] == doc[window - 1:]
         at = np.flatnonzero(inside)
         if not len(at):
@@ -66,26 +72,26 @@ def window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         count = np.diff(np.append(np.flatnonzero(new), len(at)))
         owner, key = doc[first], best[first]
         start = first - (np.cumsum(size) - size)[owner]
-        whole = mix((total[first + count + window - 1] - total[first]) * back[first]) + key
-        order = np.lexsort((ids[owner], whole))
-        same = np.concatenate([[False], whole[order][1:] == whole[order][:-1]])
+        whole, again = (name(first, first + count + window - 1) + key for name in (first_name, second_name))
+        order = np.lexsort((ids[owner], again, whole))
+        same = np.concatenate([[False], (whole[order][1:] == whole[order][:-1]) & (again[order][1:] == again[order][:-1])])
         least = ids[owner][order][np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         settled = np.zeros(len(order), bool)
         settled[order] = ids[owner][order] > least
-        checks = rolled[at].view(np.uint8).reshape(-1, 8)[:, :CHECK].copy()
+        checks = second_name(at, at + window).view(np.uint8).reshape(-1, 8)[:, :CHECK].copy()
         ends = np.where(settled, 0, count)
         checks = checks[np.repeat(~settled, count)]
         offsets = np.concatenate([[0], np.cumsum(ends * CHECK)]).astype(np.int32)
         valid = pa.array(~settled)
         blob = pa.Array.from_buffers(pa.binary(), len(first), [valid.buffers()[1], pa.py_buffer(offsets), pa.py_buffer(checks)])
-        tags = np.array([_tag(t) for t in raw], np.int64)
+        tags = b.column("tag").to_numpy()
         # settled rows only pass through: any key will do, so they are spread
         key = np.where(settled, mix(first.astype(np.uint64) + whole), key)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[owner]), pa.array((tags[owner] << 32) | start),
-                                          pa.array(count.astype(np.int32)), blob], names=["key", "doc", "place", "n", "checks"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[owner]), pa.array(tags[owner]),
+                                          pa.array((start << COUNT_BITS) | count), blob], names=["key", "doc", "tag", "place", "checks"])
 
 
-def _spans(doc, place, n, gone, window):
+def _spans(doc, tag, first, n, gone, window):
     """Word spans (doc, tag, lo, hi) covered by the windows flagged in ``gone`` (flat over rows of n windows)."""
     row = np.repeat(np.arange(len(n)), n)
     pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -94,8 +100,8 @@ def _spans(doc, place, n, gone, window):
         return None
     new = np.concatenate([[True], (np.diff(at) != 1) | (row[at[1:]] != row[at[:-1]])])
     lo, hi = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
-    start = place[row[lo]] & 0xFFFFFFFF
-    return doc[row[lo]], place[row[lo]] >> 32, start + pos[lo], start + pos[hi] + window
+    start = first[row[lo]]
+    return doc[row[lo]], tag[row[lo]], start + pos[lo], start + pos[hi] + window
 
 
 def repeated_spans(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -107,15 +113,16 @@ def repeated_spans(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
     for b in batches:
         if not b.num_rows:
             continue
-        key, doc, place, n = (b.column(c).to_numpy() for c in ("key", "doc", "place", "n"))
+        key, doc, tag, place = (b.column(c).to_numpy() for c in ("key", "doc", "tag", "place"))
+        place, n = place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1)
         blob = b.column("checks")
         ready = np.asarray(blob.is_null())
         out = []
         if ready.any():
-            out.append(_spans(doc[ready], place[ready], n[ready], np.ones(int(n[ready].sum()), bool), window))
+            out.append(_spans(doc[ready], tag[ready], place[ready], n[ready], np.ones(int(n[ready].sum()), bool), window))
         todo = np.flatnonzero(~ready)
         if len(todo):
-            key, doc, place, n = key[todo], doc[todo], place[todo], n[todo].astype(np.int64)
+            key, doc, tag, place, n = (x[todo] for x in (key, doc, tag, place, n))
             data = np.frombuffer(b"".join(blob.drop_null().to_pylist()), np.uint8).reshape(-1, CHECK)
             names = np.zeros((len(data), 8), np.uint8)
             names[:, :CHECK] = data
@@ -137,7 +144,7 @@ def repeated_spans(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             gone = np.zeros(len(order), bool)
             gone[order] = d[order] > d[lead]
-            out.append(_spans(doc[use], place[use], n[use], gone[len(head[0]):], window))
+            out.append(_spans(doc[use], tag[use], place[use], n[use], gone[len(head[0]):], window))
             ends = order[new][r[order[new]] == last]
             carried_key, carried = key[-1], (c[ends], d[ends])
         out = [x for x in out if x is not None]
@@ -151,7 +158,7 @@ def _travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in text_steps(batches):
         raw = raw_texts(b)
         none = pa.nulls(b.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_tag(t) for t in raw], pa.int64()), none, none,
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), none, none,
                                           pa.array([squeeze(t) for t in raw], pa.binary())], names=["doc", "tag", "lo", "hi", "raw"])
 
 
@@ -186,16 +193,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
 
 
+def _tagged(d: DataFrame) -> DataFrame:
+    """``d`` with ``tag``: 0 for an id that no other row has, a written row number (above 0) for others; null ids get a hash that spreads them."""
+    repeated = d.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    n = repeated.limit(MOST_REPEATED + 1).count()
+    nulls = d.where("doc_id is null").withColumn("tag", F.xxhash64("text"))
+    if not n:
+        return d.where("doc_id is not null").withColumn("tag", F.lit(0).cast("long")).unionByName(nulls)
+    repeated = F.broadcast(repeated) if n <= MOST_REPEATED else repeated
+    own = stash(d.join(repeated, "doc_id", "left_semi").withColumn("tag", F.monotonically_increasing_id() + 1), "repeated-ids")
+    return d.where("doc_id is not null").join(repeated, "doc_id", "left_anti").withColumn("tag", F.lit(0).cast("long")).unionByName(own).unionByName(nulls)
+
+
 def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the words left, joined by a space).
 
     A word goes if a window of ``window`` consecutive words of its document that covers it also starts in a document with a
     smaller doc_id, judged on the input. Words are split at ASCII white space. Null and empty texts have no
     words; a null doc_id is neither smaller nor larger, so such rows keep all words; rows that repeat a doc_id don't count as
-    smaller than each other. An empty table gives an empty one; other columns are not read.
+    smaller than each other and are told apart by a written row number. Two windows count as equal if two names of 64 and 48 bits, rolled
+    from independent hashes of their words, agree. An empty table gives an empty one; other columns are not read.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = d.where("doc_id is not null").mapInArrow(lambda it: window_rows(it, window), "key long, doc long, place long, n int, checks binary")
+    d = _tagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    rows = d.where("doc_id is not null").mapInArrow(lambda it: window_rows(it, window), "key long, doc long, tag long, place long, checks binary")
     spans = (rows.repartition("key").sortWithinPartitions("key", "doc")
              .mapInArrow(lambda it: repeated_spans(it, window), "doc long, tag long, lo long, hi long"))
     tagged = d.mapInArrow(_travel, "doc long, tag long, lo long, hi long, raw binary")
