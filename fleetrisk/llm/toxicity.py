@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import stash, text_steps, texts
 
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 6
+REACH = max(WIDTHS) - 1  # words that a window holds behind its first
+PAD = REACH + 1  # zero words that end a text
 HASH_BITS = 22
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 MEMO = 100_000  # words kept by a task at the start of a step
@@ -30,6 +31,7 @@ STEP_BYTES = 1_000_000
 FOLDS = 3  # parts of the sample, each scored by a model trained on the others
 BINS, TOP = 64, 64  # bins of a logit's unit, largest logit told apart
 MOST = 400_000  # words of a text that are convolved at a time
+MOST_LANGS = 1000  # languages with thresholds of their own, those with the most toxic labels
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -65,18 +67,19 @@ class _Words(dict):
 
 
 def _pool(x: np.ndarray, starts: np.ndarray, model: dict, want_where: bool = False):
-    """Max-pooled filter outputs per text. ``x``: word vectors of all texts, each text followed by two zero words."""
+    """Max-pooled filter outputs per text. ``x``: word vectors of all texts, each followed by ``PAD`` zero words; windows start at a
+    text's words and at the zero word behind them, so none reads into the next text."""
     pooled, where = [], []
     n = len(x)
+    ends = np.append(starts[1:], n) - REACH
+    turns = np.stack([starts, ends], axis=1).ravel()
     for w in WIDTHS:
         k = model[f"k{w}"]  # (w, DIM, FILTERS)
         conv = np.tile(model[f"b{w}"], (n, 1)).astype(np.float32)
         for j in range(w):
             conv[: n - j] += x[j:] @ k[j]
-        top = np.maximum.reduceat(conv, starts, axis=0)
-        pooled.append(top)
+        pooled.append(np.maximum.reduceat(conv, turns, axis=0)[::2])
         if want_where:
-            ends = np.append(starts[1:], n)
             where.append(np.stack([conv[s:e].argmax(axis=0) + s for s, e in zip(starts, ends)]))
     out = np.maximum(np.concatenate(pooled, axis=1), 0)
     return (out, where) if want_where else out
@@ -113,7 +116,7 @@ def fit(rows: list[tuple[str, int, str]], epochs: int = 14, batch: int = 48, rat
     ids = np.zeros((1 << HASH_BITS) + 1, np.int32)  # the last one is that of no feature
     ids[active] = np.arange(1, len(active) + 1)
     code = ids[feats]  # word -> up to three rows, 0 where none
-    empty = np.zeros((2, 3), np.int32)
+    empty = np.zeros((PAD, 3), np.int32)
     docs = [np.concatenate([code[d].reshape(-1, 3), empty]) for d in docs]
     del feats, code, met, ids
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
@@ -209,7 +212,7 @@ def calibrate(model: dict, counts: list[tuple[str, int, float, int]]) -> dict:
     score = 1 / (1 + np.exp(-(a * z + b)))
     usual = best_threshold(score, zy, n)
     return model | {"scale": (a, float(b)), "usual": usual,
-                    "thresholds": {x: best_threshold(score[langs == x], zy[langs == x], n[langs == x], usual) for x in set(langs)}}
+                    "thresholds": {x: best_threshold(score[langs == x], zy[langs == x], n[langs == x], usual) for x in set(langs) if x is not None}}
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray, n: np.ndarray, usual: float = 0.3) -> float:
@@ -230,18 +233,22 @@ def labelled(labels: DataFrame, keep=None) -> DataFrame:
     return y if keep is None else y.where(keep)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, max_rows: int, keep=None) -> tuple[list[tuple[str, int, str]], list[int]]:
-    """At most ``max_rows`` labelled rows, at most half of them toxic, by a hash of doc_id; and their doc_ids.
+def sample_labelled(docs: DataFrame, labels: DataFrame, max_rows: int, keep=None, max_bytes: int = 200_000_000) -> tuple[list[tuple[str, int, str]], list[int]]:
+    """At most ``max_rows`` labelled rows with at most ``max_bytes`` of text, at most half of either toxic, by a hash of doc_id; and their doc_ids.
 
-    ``keep``: a condition on doc_id that training rows meet. The bound holds for the driver; ids are
-    chosen first, so only sampled texts move.
+    ``keep``: a condition on doc_id that training rows meet. The bounds hold for the driver; ids are
+    chosen first, so only sampled texts move. A row that would leave the bytes is passed over.
     """
     y = labelled(labels, keep)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                    F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    known = y.join(d.select("doc_id").distinct(), "doc_id", "left_semi")
-    ranked = lambda one: known.where(F.col("toxic") == one).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2)
-    chosen = {r.doc_id: r.toxic for r in ranked(1).union(ranked(0)).collect()}
+                    _lang(docs).alias("lang"))
+    known = y.join(d.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")), "doc_id").withColumn("at", F.xxhash64("doc_id"))
+    ranked = lambda one: known.where(F.col("toxic") == one).orderBy("at", "doc_id").limit(max_rows // 2)
+    chosen, left = {}, {0: max_bytes // 2, 1: max_bytes // 2}
+    for r in sorted(ranked(1).union(ranked(0)).collect(), key=lambda r: (r["at"], r.doc_id)):
+        if r.size <= left[r.toxic]:
+            left[r.toxic] -= r.size
+            chosen[r.doc_id] = r.toxic
     if not chosen:
         return [], []
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
@@ -278,7 +285,11 @@ def logit_counts(scored: DataFrame, logit: str, labels: DataFrame, keep, sampled
     rows = (scored.select(F.col("doc_id").cast("long").alias("doc_id"), _lang(scored).alias("lang"), F.col(logit).alias("z")).where("doc_id is not null")
             .groupBy("doc_id").agg(F.min(F.struct("lang", "z")).alias("r")))
     at = F.round(F.greatest(F.lit(-TOP), F.least(F.lit(TOP), F.col("r.z"))) * BINS).cast("int")
-    got = rows.join(y, "doc_id").groupBy(F.col("r.lang").alias("lang"), "toxic", at.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
+    met = rows.join(y, "doc_id").select(F.col("r.lang").alias("lang"), "toxic", at.alias("at"))
+    # the languages that come to the driver one by one: those with the most toxic labels; the others are counted together
+    most = [r.lang for r in met.groupBy("lang").agg(F.sum("toxic").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()]
+    own = F.when(F.col("lang").isin(most), F.col("lang"))
+    got = met.groupBy(own.alias("lang"), "toxic", "at").agg(F.count(F.lit(1)).alias("n")).collect()
     return [(r.lang, r.toxic, r["at"] / BINS, r.n) for r in got]
 
 
@@ -305,26 +316,36 @@ def _scored(docs: DataFrame, read: DataFrame, labels: DataFrame, max_rows: int,
 
 
 def _score_texts(batch: list[str], words: _Words, m: dict) -> np.ndarray:
-    pad, pieces, owner = [0, 0], [], []
-    for i, t in enumerate(batch):
-        ids = list(map(words.__getitem__, t.split()))
-        for lo in range(0, max(1, len(ids)), MOST):  # pieces of a very long text overlap by two words
-            pieces.append(ids[lo:lo + MOST + 2] + pad)
-            owner.append(i)
-    sizes = np.array([len(p) for p in pieces])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    flat = np.fromiter(chain.from_iterable(pieces), np.int32, int(sizes.sum()))
-    pooled = _pool(words.vectors[flat], starts, m)
-    whole = np.zeros((len(batch), pooled.shape[1]), np.float32)
-    np.maximum.at(whole, np.array(owner), pooled)
+    texts_ = [np.append(np.fromiter(map(words.__getitem__, t.split()), np.int32), np.zeros(PAD, np.int32)) for t in batch]
+    whole = np.zeros((len(batch), len(WIDTHS) * FILTERS), np.float32)
+    group, size = [], 0
+
+    def pool_group():
+        starts = np.cumsum([0] + [len(texts_[i]) for i in group[:-1]])
+        whole[group] = _pool(words.vectors[np.concatenate([texts_[i] for i in group])], starts, m)
+
+    for i, ids in enumerate(texts_):
+        if len(ids) > MOST + REACH:  # piece by piece: windows that start in a piece read on into the next one
+            for lo in range(0, len(ids) - REACH, MOST):
+                whole[i] = np.maximum(whole[i], _pool(words.vectors[ids[lo:lo + MOST + REACH]], np.array([0]), m)[0])
+            continue
+        group.append(i)
+        size += len(ids)
+        if size > MOST:
+            pool_group()
+            group, size = [], 0
+    if group:
+        pool_group()
     return _logits(whole, m).astype(np.float64)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, keep=None) -> DataFrame:
     """``docs`` rows as (doc_id, lang, score, threshold): score in 0..1 of each whole text, threshold by language.
 
-    The filters are trained on a sample of ``labels`` (see ``sample_labelled``); scaling and thresholds cover all labelled rows that
-    meet ``keep``. Languages with under 5 toxic labels get the threshold of all languages together (0.3 if these have under 5).
+    The filters are trained on a sample of ``labels`` (see ``sample_labelled``: ``max_rows``, and 200 MB of text); scaling and thresholds cover all labelled rows that
+    meet ``keep``. Languages with under 5 toxic labels, and those after the first ``MOST_LANGS`` by toxic labels, get
+    the threshold of all languages together (0.3 if these have under 5); without a column lang all texts are of one language.
+    A text's score doesn't depend on how much of it is convolved at a time.
     Null texts score as empty ones; null ids, repeated rows and empty tables pass through. Only the text enters the score.
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
