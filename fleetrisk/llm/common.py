@@ -136,6 +136,25 @@ def split_hot(df: DataFrame, keys: Sequence[str], salt: str, most: int) -> DataF
             .drop("_n", "_g", "_other"))
 
 
+#: Hot keys that ``join_lookup`` broadcasts at most, and rows of a key up to which it isn't hot at any size.
+MOST_HOT, LEAST_HOT = 100_000, 1_000
+
+
+def join_lookup(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table``, a row a key with ``_n``, the number of ``rows`` that have it; ``total``: at least the number of rows.
+
+    Keys with more than a ``MOST_HOT``-th of all rows (and more than ``LEAST_HOT``) are few, by counting, so they are broadcast and
+    their rows stay where they are; the others meet by a shuffle.
+    """
+    limit = max(LEAST_HOT, total // MOST_HOT)
+    if total <= limit:
+        return rows.join(table.drop("_n"), key)
+    hot = F.broadcast(table.where(F.col("_n") > limit).drop("_n"))
+    rest = rows.join(F.broadcast(table.where(F.col("_n") > limit).select(key)), key, "left_anti")
+    both = rest.join(table.where(F.col("_n") <= limit).drop("_n"), key)
+    return rows.join(hot, key).select(both.columns).unionByName(both)
+
+
 def by_group(df: DataFrame, keys: Sequence[str], within: Sequence[str], fn: Callable, schema: str) -> DataFrame:
     """Run ``fn`` (Arrow batches to Arrow batches) over partitions that hold whole groups, sorted."""
     return df.repartition(*keys).sortWithinPartitions(*keys, *within).mapInArrow(fn, schema)

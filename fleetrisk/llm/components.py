@@ -2,7 +2,8 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014): every
 round is two groupings and joins, minima are combined before the shuffle, and the
-rounds needed grow with the logarithm of the longest path. Links never reach the driver.
+rounds needed grow with the logarithm of the longest path. Links never reach the driver. The
+links of a node with very many of them stay where they are: such nodes are few, and their minima are broadcast (``join_lookup``).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import discard, join_lookup, stash
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,10 +31,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before[0] == 0:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+        large = join_lookup(both, low, "u", 2 * before[0]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        small = (join_lookup(large, low, "u", 2 * before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         nxt = stash(small, "edges")

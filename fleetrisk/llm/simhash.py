@@ -12,10 +12,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, raw_texts, runs, split_hot, stash, text_steps
+from .common import by_group, join_lookup, raw_texts, runs, split_hot, stash, text_steps
 from .components import components
 
 SEED = 42
@@ -60,15 +60,23 @@ def _fingerprints(docs: list[list[bytes]], shingle: int) -> np.ndarray:
     return np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of every row; words are lower-cased in A-Z and split at ASCII white space."""
+def _versions() -> list[Column]:
+    """Two hashes of a row's text: with the doc_id they name it among rows that repeat the id."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), F.reverse(text)).alias("t2")]
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, versions: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) of every row; words are lower-cased in A-Z and split at ASCII white space. ``versions``: t1, t2 too."""
+    more = _versions() if versions else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_steps(batches):
             fps = _fingerprints([t.lower().split() for t in raw_texts(b)], shingle)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+            .mapInArrow(run, "doc_id long, fp long" + (", t1 long, t2 long" if versions else "")))
 
 
 def block_count(fingerprints_: int, max_bits: int) -> int:
@@ -139,19 +147,38 @@ def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: in
     smallest (a component of null ids alone has component_id null). An empty table gives an empty one; other columns are not read.
     """
     fps = stash(fingerprints(docs, shingle), "simhash")
-    nodes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    comp = components(links(nodes, max_bits, blocks))
-    named = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    low = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = named.join(low, "component").select("fp", "component_id")
-    return (fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
+    nodes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "simhash-nodes")
+    ids = stash(_least(nodes, "first", max_bits, blocks), "simhash-least")
+    return (join_lookup(fps, ids.select("fp", F.col("least").alias("component_id"), F.col("rows").alias("_n")), "fp", fps.count())
+            .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
+
+
+def _least(nodes: DataFrame, name: str, max_bits: int, blocks: int | None) -> DataFrame:
+    """``nodes`` (a row a fingerprint) with ``least``, the least ``name`` of the component. Fingerprints without a link don't move."""
+    comp = components(links(nodes, max_bits, blocks)).withColumnRenamed("node", "fp")
+    named = stash(nodes.join(comp, "fp", "left"), "simhash-named")
+    linked = named.where("component is not null")
+    low = linked.groupBy("component").agg(F.min(name).alias("least"), F.count(F.lit(1)).alias("_n"))
+    alone = named.where("component is null").withColumn("least", F.col(name))
+    return alone.unionByName(join_lookup(linked, low, "component", linked.count()).select(alone.columns)).drop("component")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, one row for each; all columns stay.
+    """The rows of ``docs`` that stand for their component, one each; all columns stay.
 
-    Rows without a doc_id can't be named and stay. Of rows that repeat a doc_id one stays.
+    The row with the smallest doc_id stays (null ids last), of rows that repeat the id the one whose text has the smaller hash, of rows that repeat
+    both the one whose columns together have the smallest hash: reruns keep the same rows.
     """
-    kept = near_groups(docs, shingle, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t1", "t2")
+    fps = stash(fingerprints(docs, shingle, versions=True), "simhash")
+    nodes = stash(fps.groupBy("fp").agg(F.min(key).alias("first")), "simhash-nodes")
+    first = _least(nodes, "first", max_bits, None).select("least.*").distinct()
+    mark = [f"_{k}" for k in range(4)]
+    while set(mark) & {c.lower() for c in docs.columns}:
+        mark = [c + "_" for c in mark]
+    values = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), *_versions()]
+    rows = docs.select("*", *(v.alias(c) for v, c in zip(values, mark)))
+    whole = F.xxhash64(*(F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema))
+    # a task drops what repeats among its own rows before the texts move
+    one = rows.withColumn(mark[0] + "r", F.row_number().over(Window.partitionBy(*mark).orderBy(whole))).where(F.col(mark[0] + "r") == 1)
+    return one.join(first.toDF(*mark), mark, "left_semi").select(*docs.columns)
