@@ -35,19 +35,27 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Index:
-    """LSH tables of a block of items: by repetition, the walk's bits and the sampled steps of each length class."""
+    """LSH tables of a block of items: by repetition, the walk's bits and the sampled steps of each length class.
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], max_edits: float, repetitions: int, samples: int, seed: int = 11):
+    Items under ``min_words`` words are too short to sample; they are looked up by their whole word sequence.
+    """
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], max_edits: float, repetitions: int, samples: int, seed: int = 11, min_words: int = 1):
         rng = np.random.default_rng(seed)
+        items = sorted(items, key=lambda i: len(i[1]) < min_words)  # short ones last
         self.vocab: dict[bytes, int] = {}
         self.items = [(i, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int32)) for i, words in items]
-        self.edits = [int(max_edits * len(w)) for _, w in self.items]
+        self.edits = [int(max_edits * len(w)) if len(w) >= min_words else 0 for _, w in self.items]
+        long = sum(len(w) >= min_words for _, w in self.items)
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # words -> their ids as bytes -> items
+        for k, (_, w) in enumerate(self.items[long:], long):
+            self.short.setdefault(len(w), {}).setdefault(w.tobytes(), []).append(k)
         self.pad = len(self.vocab) + 1  # before, between and after texts
-        sizes = sorted({len(w) for _, w in self.items})
+        sizes = sorted({len(w) for _, w in self.items[:long]})
         self.classes: list[tuple[int, list[int]]] = []  # (window words, items)
         while sizes:
             top = sizes[0] * CLASS_STEP
-            self.classes.append((sizes[0], [k for k, (_, w) in enumerate(self.items) if sizes[0] <= len(w) <= top]))
+            self.classes.append((sizes[0], [k for k, (_, w) in enumerate(self.items[:long]) if sizes[0] <= len(w) <= top]))
             sizes = [s for s in sizes if s > top]
         self.repetitions = []
         for _ in range(repetitions if self.classes else 0):
@@ -83,6 +91,17 @@ class Index:
             i += int(bits[step // 62, sym] >> (step % 62)) & 1
         return out
 
+    def short_hits(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, item) of every stretch of words that is a short item."""
+        for n, known in self.short.items():
+            if len(ids) < n:
+                continue
+            heads = np.zeros(self.pad + 1, bool)
+            heads[[np.frombuffer(w, np.int32)[0] for w in known]] = True
+            for at in np.flatnonzero(heads[ids[:len(ids) - n + 1]]).tolist():
+                for k in known.get(ids[at:at + n].tobytes(), ()):
+                    yield at, k
+
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window start, item) pairs of all repetitions. All windows walk to the first sampled step of their length class;
         only those that still agree with some item walk on, as a table lookup fails at the first symbol that differs.
@@ -189,9 +208,13 @@ def _search(index: Index, batch: list[str]) -> list[tuple[int, int, int, int]]:
     lows = np.cumsum(sizes + 1) - sizes
     for lo, d in zip(lows.tolist(), docs):
         ids[lo:lo + len(d)] = np.fromiter(map(get, d, repeat(0)), np.int32, len(d))
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for at, k in index.short_hits(ids):
+        doc = int(np.searchsorted(lows, at, side="right")) - 1
+        best.setdefault((doc, k), (0, at - int(lows[doc]) + len(index.items[k][1])))
     begin, item = index.candidates(ids)
     if not len(begin):
-        return []
+        return [(d, i, e, end) for (d, i), (e, end) in best.items()]
     pairs = np.unique(np.stack([begin // SNAP * SNAP, item], axis=1), axis=0)
     begin, item = pairs[:, 0], pairs[:, 1]
     doc = np.clip(np.searchsorted(lows, begin + SNAP - 1, side="right") - 1, 0, None)
@@ -200,7 +223,6 @@ def _search(index: Index, batch: list[str]) -> list[tuple[int, int, int, int]]:
     two = np.flatnonzero((prev != doc) & (prev >= 0))
     doc, begin, item = np.concatenate([doc, prev[two]]), np.concatenate([begin, begin[two]]), np.concatenate([item, item[two]])
     edits, ends = index.verify(ids, lows[doc], (lows + sizes)[doc], begin, item)
-    best: dict[tuple[int, int], tuple[int, int]] = {}
     limit = np.array(index.edits)
     for j in np.flatnonzero(edits <= limit[item]).tolist():
         key, hit = (int(doc[j]), int(item[j])), (int(edits[j]), int(ends[j] - lows[doc[j]]))
@@ -209,16 +231,16 @@ def _search(index: Index, batch: list[str]) -> list[tuple[int, int, int, int]]:
     return [(d, i, e, end) for (d, i), (e, end) in best.items()]
 
 
-def item_blocks(benchmark: DataFrame, max_edits: float, repetitions: int, samples: int, min_words: int) -> Iterator[Broadcast]:
-    """The index of each block of at most about ``ITEM_BLOCK`` items, broadcast."""
+def item_blocks(benchmark: DataFrame, max_edits: float, repetitions: int, samples: int, min_words: int, least_words: int = 1) -> Iterator[Broadcast]:
+    """The index of each block of at most about ``ITEM_BLOCK`` items of ``least_words`` words or more, broadcast."""
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
              .where("item_id is not null and text is not null").distinct())
     # blocks by a hash of the item, so that their number alone follows the number of items
     blocks = items.count() // ITEM_BLOCK + 1
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        own = [(r.item_id, w) for r in rows if len(w := words_of(r.text)) >= min_words]
-        yield benchmark.sparkSession.sparkContext.broadcast(pickle.dumps(Index(own, max_edits, repetitions, samples)))
+        own = [(r.item_id, w) for r in rows if len(w := words_of(r.text)) >= least_words]
+        yield benchmark.sparkSession.sparkContext.broadcast(pickle.dumps(Index(own, max_edits, repetitions, samples, min_words=min_words)))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, repetitions: int = 32, samples: int = 3,
@@ -227,7 +249,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, re
 
     An item is met if some stretch of a document's words is within ``max_edits`` x its words of word edits, and its window was
     retrieved in one of ``repetitions`` tables. ``edits`` is the least found, ``end_word`` the word where that stretch
-    ends. Items under ``min_words`` words, null ids (of items) and null texts match nothing. Repeated rows of a doc_id
+    ends. Items under ``min_words`` words are met where their words stand in a row unchanged. Items without a word, null ids (of items) and null
+    texts match nothing. Repeated rows of a doc_id
     count as one document (least edits); a null doc_id is a document of its own. Empty tables give an
     empty result; other columns are not read. Items are broadcast in blocks of ``ITEM_BLOCK``; every document is read whole.
     """
@@ -255,11 +278,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, re
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, repetitions: int = 32, samples: int = 3,
-               min_words: int = 8) -> DataFrame:
-    """The rows of ``docs`` in which ``find_leaks`` meets no item; all columns stay, nothing is shuffled."""
+               min_words: int = 8, least_words: int = 4) -> DataFrame:
+    """The rows of ``docs`` in which ``find_leaks`` meets no item of ``least_words`` words or more; all columns stay, nothing is shuffled.
+
+    Items of fewer words (a bare "yes") stand in clean documents too and drop none.
+    """
     at = docs.columns.index("text")
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    for shared in item_blocks(benchmark, max_edits, repetitions, samples, min_words):
+    for shared in item_blocks(benchmark, max_edits, repetitions, samples, min_words, least_words):
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = pickle.loads(shared.value)
