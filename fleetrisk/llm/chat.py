@@ -116,7 +116,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, roles, bodies = (b.column(c).to_pylist() for c in ("conv_id", "role", "text"))
         for i, role, body in zip(ids, roles, bodies):
-            if first or i != conv:
+            if first or i != conv or i is None:
                 if not first:
                     size += close(conv, turns)
                     if size > 4_000_000:
@@ -134,14 +134,15 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_starts, loss_ends, turns_escaped.
 
     Turns go by ``turn``; ties by role, then text; a null turn comes first. Null roles and
-    texts are empty strings. Rows without a conv_id form one conversation with a null id.
+    texts are empty strings. A row without a conv_id is a conversation of its own with a null id.
     Repeated rows are turns of their own. An empty table gives an empty table. Other columns
     are not read. ``loss_starts``/``loss_ends`` are code points in ``formatted`` around each assistant text.
     """
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"),
                              F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                              F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return (c.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))  # rows without an id are spread
+    return (c.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text")
             .select("conv_id", "role", "text")
             .mapInArrow(_rows, "conv_id long, formatted string, loss_starts array<long>, loss_ends array<long>, turns_escaped long"))
 

@@ -84,11 +84,16 @@ def write_shards(docs: DataFrame, max_bytes: int, path: str, key: str = "doc_id"
     """Write the rows of ``docs`` below ``path`` in a folder for each shard; returns the directory.
 
     Every row is written once, into the shard that it was assigned to: rows travel through the assignment as one struct, so null and
-    repeated keys need no join on the key. The columns of ``docs`` keep their names (there is none named shard).
+    repeated keys need no join on the key. The columns of ``docs`` keep their names; the folders are named after ``shard``, with
+    underscores added where ``docs`` has such a column.
     """
+    folder = "shard"
+    while folder.lower() in {c.lower() for c in docs.columns}:
+        folder += "_"
     read = docs.select(F.col(key).alias("key"), _size().alias("n_bytes"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
     shards = stash(_assign(read, max_bytes, "key", "n_bytes").select("row", *SHARD), "shards")
-    (shards.select("row.*", "shard").repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path))
+    out = shards.select("row.*", F.col("shard").alias(folder))
+    out.repartition(folder).write.partitionBy(folder).mode("overwrite").parquet(path)
     return directory(shards)
 
 
