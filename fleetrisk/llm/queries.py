@@ -69,7 +69,7 @@ def op9_secret_scans(spark, sf_dir):
 
 
 def _held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 @_register("op5_toxicity")
@@ -166,7 +166,7 @@ def op11_conversation_trie(spark, sf_dir):
     """The prefix trie of all conversations, each rebuilt with the first turns of another."""
     convs = table(spark, sf_dir, "conversations")
     ids = convs.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
-    turns, ids = trie.splice(trie.number_turns(convs), ids)
+    turns, ids = trie.splice(trie.number_turns(convs, texts=False), ids)
     return trie.trie_of(turns, ids).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 

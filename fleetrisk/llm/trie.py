@@ -29,10 +29,16 @@ _LANES = range(4)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def number_turns(conversations: DataFrame) -> DataFrame:
+def _said() -> list[Column]:
+    """What the trie needs of a turn: a digest of role and text, and the text's bytes."""
+    return [F.unhex(F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)).alias("said"),
+            F.octet_length("text").cast("long").alias("bytes")]
+
+
+def number_turns(conversations: DataFrame, texts: bool = True) -> DataFrame:
     """(conv_id, pos, role, text): the turns of each conversation numbered from 1, null role and text as empty strings.
 
-    Order is by ``turn`` (null first), ties by role, then text; repeated rows are turns of their own. Rows without a conv_id belong to no
+    Without ``texts`` a digest and the text's length stand for role and text (said, bytes). Order is by ``turn`` (null first), ties by role, then text; repeated rows are turns of their own. Rows without a conv_id belong to no
     conversation and are left out; other columns are not read. The table is cut into ranges, so a conversation of any
     size spreads over tasks; only a range's first conversation can begin before it, which a row a range settles.
     """
@@ -51,18 +57,19 @@ def number_turns(conversations: DataFrame) -> DataFrame:
                 n = n + 1 if i == last else 1
                 last = i
                 pos.append(n)
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(pos, pa.int64()), b.column("role"), b.column("text"), b.column("_part")],
-                                             names=["conv_id", "pos", "role", "text", "_part"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pos, pa.int64())], names=[*b.schema.names, "pos"])
 
+    kept = ["role", "text"] if texts else _said()
+    kinds = "role string, text string" if texts else "said binary, bytes long"
     cut = (c.repartitionByRange(*bounds).sortWithinPartitions("conv_id", "turn", "role", "text")
-           .withColumn("_part", F.spark_partition_id()).select("conv_id", "role", "text", "_part")
-           .mapInArrow(count, "conv_id long, pos long, role string, text string, _part int"))
+           .select("conv_id", F.spark_partition_id().alias("_part"), *kept)
+           .mapInArrow(count, f"conv_id long, _part int, {kinds}, pos long"))
     cut = stash(cut, "turns")
     spans = cut.groupBy("conv_id", "_part").agg(F.max("pos").alias("_n"))
     before = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("conv_id", "_part", F.sum("_n").over(before).alias("_before")).where("_before > 0")
     return (cut.join(F.broadcast(spans), ["conv_id", "_part"], "left")  # at most one row a range
-            .select("conv_id", (F.col("pos") + F.coalesce("_before", F.lit(0))).alias("pos"), "role", "text"))
+            .select("conv_id", (F.col("pos") + F.coalesce("_before", F.lit(0))).alias("pos"), *(["role", "text"] if texts else ["said", "bytes"])))
 
 
 def _name(depth: Column, lanes: list[Column]) -> Column:
@@ -71,8 +78,7 @@ def _name(depth: Column, lanes: list[Column]) -> Column:
 
 def _named(turns: DataFrame) -> DataFrame:
     """(conv_id, depth, name, parent, bytes, said, is_end) of numbered turns: the node that each turn leads to."""
-    said = F.unhex(F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256))
-    t = turns.select("conv_id", "pos", F.floor((F.col("pos") - 1) / PIECE).alias("_piece"), F.octet_length("text").cast("long").alias("bytes"), said.alias("said"))
+    t = turns.select("conv_id", "pos", F.floor((F.col("pos") - 1) / PIECE).alias("_piece"), *(["said", "bytes"] if "said" in turns.columns else _said()))
     mixed = [F.xxhash64(F.lit(k), "pos", "said") for k in (1, 2)]
     low = F.lit(0xFFFFFFFF).cast("long")
     lanes = [x for m in mixed for x in (m.bitwiseAND(low), F.shiftrightunsigned(m, 32))]  # 32 bits each: sums don't overflow
@@ -204,7 +210,7 @@ def _tour(tree: DataFrame) -> DataFrame:
 
 
 def trie_of(turns: DataFrame, ids: DataFrame | None = None, base: int = BASE) -> DataFrame:
-    """The trie of numbered turns (conv_id, pos from 1 without gaps, role, text, none null).
+    """The trie of numbered turns (conv_id, pos from 1 without gaps, role, text or said, bytes, none null).
 
     One row per node: conv_id (smallest member), depth, parent_conv_id (the parent's; null for the root), n_convs (members), n_children, n_leaves
     (childless nodes of the subtree), own_tokens ((n_convs - 1) times UTF-8 bytes of the last text), saved_tokens (their sum over the subtree),
@@ -277,9 +283,9 @@ def splice(turns: DataFrame, ids: DataFrame, group: int = 5, most: int = 8) -> t
     convs = (ids.select("conv_id", (F.col("conv_id") - F.col("conv_id") % group).alias("other"), h("conv_id").alias("h"))
              .join(own_length, "conv_id", "left").join(have, "other", "left")
              .select("conv_id", "other", F.coalesce("n", F.lit(0)).alias("n"), "h", F.least("h", F.coalesce("have", F.lit(0))).alias("taken")))
-    first = (convs.where("taken > 0").join(heads, "other").where("pos <= taken").select("conv_id", "pos", "role", "text"))
+    first = (convs.where("taken > 0").join(heads, "other").where("pos <= taken").select(*turns.columns))
     # the shift of a conversation's own turns joins piece by piece, so a very long conversation stays spread
     shift = convs.select("conv_id", (F.col("h") - F.col("taken")).alias("shift"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / PIECE))).alias("_piece"))
     rest = (turns.where(F.col("pos") > h("conv_id")).withColumn("_piece", F.floor(F.col("pos") / PIECE)).join(shift, ["conv_id", "_piece"])
-            .select("conv_id", (F.col("pos") - F.col("shift")).alias("pos"), "role", "text"))
+            .withColumn("pos", F.col("pos") - F.col("shift")).select(*turns.columns))
     return first.unionByName(rest), convs.select("conv_id")
