@@ -109,9 +109,3 @@ def class_weights(df: DataFrame, target: str = "target_multiclass") -> DataFrame
     every = Window.partitionBy()
     return counts.select("class", "n_class", (F.sum("n_class").over(every)
                                               / (F.count(F.lit(1)).over(every) * F.col("n_class"))).alias("weight"))
-
-
-def with_class_weight(df: DataFrame, target: str = "target_multiclass", out: str = "weight") -> DataFrame:
-    """AG8 as a row weight column (class table has one row per class: broadcast)."""
-    w = class_weights(df, target).select(F.col("class").alias(target), F.col("weight").alias(out))
-    return df.join(F.broadcast(w), target, "left")

@@ -12,16 +12,6 @@ from . import chunking as ch
 from .stats import bucketed_prefix
 
 
-def with_entity_positions(df: DataFrame, key: str = "inverter_id", order: str = "datetime") -> DataFrame:
-    """Per-entity 0-based position ``_pos`` plus the entity's row count ``_n``.
-
-    Positions come from day-bucket prefix sums (no whole-history window).
-    """
-    pos = ch.add_positions(df, key=key, order=order)
-    n = pos.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return pos.join(n, key)
-
-
 def global_positions(df: DataFrame, key: str = "inverter_id", order: str = "datetime",
                      out: str = "row_pos") -> DataFrame:
     """WN8: position in the (key, order) sort of the whole table.
@@ -71,13 +61,6 @@ def top_k(df: DataFrame, k: int, by: Sequence[Column]) -> DataFrame:
     return df.orderBy(*by).limit(k)
 
 
-def top_k_per_group(df: DataFrame, k: int, group: Sequence[str], by: Sequence[Column],
-                    out: str = "rank") -> DataFrame:
-    """SK5: k best rows of each (small, bounded) group, ranked from 1."""
-    w = Window.partitionBy(*group).orderBy(*by)
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
-
-
 def shuffle_order(keys: Sequence[str], seed: int) -> Column:
     """A seeded order that any engine can repeat: md5 of the keys as text and the seed, joined by bars."""
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))

@@ -17,11 +17,6 @@ from pyspark.sql import functions as F
 from ..schema import KEY_FEATURES, NO_ALARM_HOURS, NOMINAL_FREQ
 
 
-def baseline_map(baseline: DataFrame) -> DataFrame:
-    """(feature, median) rows -> one row with ``baseline map<string,double>``."""
-    return baseline.agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("baseline"))
-
-
 def _given(k: str) -> Column:
     return F.map_contains_key(F.col("features"), k)
 

@@ -74,7 +74,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df, eager: bool = True):
+def materialize(df):
     """Cut lineage: write ``df`` as a parquet table in the shared ``spark.checkpoint.dir``
     and continue from a scan of it.
 
@@ -83,8 +83,7 @@ def materialize(df, eager: bool = True):
     re-planning and re-running the upstream job; the table survives executor
     loss. Unlike ``Dataset.checkpoint`` (which runs its plan once for the action
     and again to write), the table is computed once, and the scan gives column
-    pruning and real size statistics to AQE. ``eager`` is kept for call-site
-    compatibility; the write always happens here.
+    pruning and real size statistics to AQE.
     """
     import uuid
     spark = df.sparkSession

@@ -58,3 +58,63 @@ def test_per_file_hourly_keeps_file_rows(spark):
     split = load_all_plants(spark, root, per_file=True).where("inverter_id = 'Plant_2_b_INV0'").collect()
     assert len(merged) == 1 and merged[0].inv_power == 20.0  # (10 + 20 + 30) / 3
     assert sorted(r.inv_power for r in split) == [15.0, 30.0]
+
+
+def _same(a, b):
+    cols = sorted(a.columns)
+    assert cols == sorted(b.columns)
+    rows = [sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.select(cols).collect()), key=repr) for d in (a, b)]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def _mixed_tree():
+    root = _tree()
+    extra = {("Plant 2", "b2.csv"): "timestamp,mac,inverters[0].power\n1709287260000,,30\n1709287260000,b,30\n",
+             ("Plant 10", "q.csv"): '"timestampDate","meters[0].v, r",inverters[1].power,"inverters[1].note"\n2024-03-01 10:00:00,7,"1,5",x\n\n2024-03-01 10:10:00,8,2,"a ""b"""\n',
+             ("Plant 10", "no_inverter.csv"): "timestamp,mac,meters[0].freq\n1709287260000,b,30\n", ("Plant 10", "notes.txt"): "x", ("Other", "a.csv"): H1 + R1[0]}
+    for (d, name), text in extra.items():
+        os.makedirs(os.path.join(root, d), exist_ok=True)
+        with open(os.path.join(root, d, name), "w") as fh:
+            fh.write(text)
+    return root
+
+
+def test_both_engines_agree(spark):
+    root = _tree()
+    for hourly in (False, True):
+        _same(load_all_plants(spark, root, hourly=hourly), load_all_plants(spark, root, hourly=hourly, engine="csv"))
+
+
+def test_source_reads_odd_files(spark):
+    from fleetrisk.sources.telemetry_source import load_readings, scan
+    root = _mixed_tree()
+    rows = load_readings(spark, root).collect()
+    by = {(r.inverter_id, r.datetime.minute): r for r in rows}
+    assert by["Plant_10_q_INV1", 0]["meter_v, r"] == 7.0 and by["Plant_10_q_INV1", 0].inv_power is None and by["Plant_10_q_INV1", 10].inv_power == 2.0
+    assert {r.logger_mac for r in rows} == {"AA", "b", "q"}  # b2 names its logger in its second row
+    assert {r.file for r in scan(spark, root, headers=True).collect()} == {"a.csv", "b.csv", "b2.csv", "q.csv", "no_inverter.csv"}
+    some = scan(spark, root, plants=["Plant_2"])
+    assert {r.plant_id for r in some.collect()} == {"Plant_2"} and load_readings(spark, root, plants=["Plant_10"]).count() == 2
+
+
+def test_thousands_of_files_are_one_scan(spark):
+    import pytest
+
+    from fleetrisk.sources.telemetry_source import TASK_FILES, FleetCsvReader, load_readings
+    root = tempfile.mkdtemp(prefix="fleetrisk-many-")
+    for i in range(2100):
+        d = os.path.join(root, f"Plant {i % 7}")
+        os.makedirs(d, exist_ok=True)
+        with open(os.path.join(d, f"l{i}.csv"), "w") as fh:
+            fh.write(f"timestamp,inverters[0].power,inverters[0].extra{i % 50}\n1709287200000,{i},1\n")
+    shares = FleetCsvReader("file://" + root, False).partitions()
+    assert len(shares) == -(-2100 // TASK_FILES) and sum(len(s.files) for s in shares) == 2100
+    df = load_readings(spark, root)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1 and "Union" not in plan and "Join" not in plan
+    assert df.count() == 2100 and len([c for c in df.columns if c.startswith("inv_extra")]) == 50
+    reader = FleetCsvReader("file://" + root, False)
+    from pyspark.sql.datasource import EqualTo
+    assert list(reader.pushFilters([EqualTo(("plant_id",), "Plant_3")])) == [] and {p for s in reader.partitions() for p, _ in s.files} == {"Plant_3"}
+    with pytest.raises(ValueError, match="No data"):
+        load_readings(spark, tempfile.mkdtemp(prefix="fleetrisk-none-"))
