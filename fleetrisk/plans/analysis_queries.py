@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds, matrix, ranking, risk
+from ..operators import folds, matrix, ranking, risk, sketches
 from ..schema import EXCLUDE_COLS, KEY_FEATURES, RISK_RECOMMENDATIONS
 from ..session import materialize
 from . import sql_twins as S
 from .catalog import register, rounded, sql_round6
 from .feature_queries import FEATURED_COLS, KEYS
-from .store import featured_table
+from .store import featured_store_path, featured_table
 
 INT_COLS = {"inverter_idx", "hour", "day_of_week", "month", "is_daytime", "alarm_active",
             "target_binary", "target_multiclass"}
@@ -186,6 +186,16 @@ def q_walk_forward(spark, sf):
     return folds.walk_forward_folds(featured(spark, sf).select(*KEYS)).select(*KEYS, "row_pos", "test_fold")
 
 
+@register("baseline_sketch", _q(FEATURED_SQL, f"""SELECT k.feature, (SELECT count(*) FROM featured WHERE target_binary = 0) AS n, true AS within_bound
+  FROM (VALUES {", ".join(f"('{c}')" for c in AVAILABLE_KEYS)}) k(feature)"""))
+def q_baseline_sketch(spark, sf):
+    """AG6 (scale option): healthy medians from stored sketches per day; each one's true rank is within the sketch's bound."""
+    healthy = featured(spark, sf).where("target_binary = 0").select("datetime", *AVAILABLE_KEYS)
+    path = featured_store_path(spark, sf) + f"-sketches-{sketches.K}"
+    sketches.write_days(sketches.day_sketches(healthy, AVAILABLE_KEYS), path)
+    return sketches.rank_check(healthy, sketches.stored_baseline(spark, path), AVAILABLE_KEYS)
+
+
 TIME_FOLD_SQL = """,
 timed AS (SELECT inverter_id, datetime, row_number() OVER (ORDER BY datetime, inverter_id) - 1 AS row_pos, count(*) OVER () AS n FROM featured),
 blocked AS (SELECT *, CASE WHEN n // 6 > 0 AND row_pos >= n - (n // 6) * 5 THEN (row_pos - (n - (n // 6) * 5)) // (n // 6) END AS test_fold FROM timed),

@@ -11,7 +11,7 @@ from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
-from ..models import boost, explain, gbt, iforest, store
+from ..models import boost, explain, gbt, iforest, shapley, store
 from ..operators import folds, matrix, ranking, risk, serving
 from ..schema import KEY_FEATURES
 from ..session import materialize
@@ -147,6 +147,17 @@ def _long(res):
     return cv.unionByName(res["holdout"].select(F.lit("holdout_binary").alias("section"), "metric", "value")).unionByName(tf)
 
 
+@register("explain_latest_shapley")
+def q_explain_latest_shapley(spark, sf):
+    """ML15 + WN6: Shapley values of each inverter's latest reading (32 antithetic pairs, 64 background rows), best five, with their standard errors."""
+    model = binary_model(spark, sf)
+    background = shapley.background_rows(rows_of(spark, sf), model.features, KEYS)
+    latest = ranking.latest_per_entity(featured(spark, sf).select(*KEYS, *AVAILABLE_KEYS))
+    top = shapley.add_shapley(matrix.pad_to_model(latest, AVAILABLE_KEYS, keep=KEYS), model, background)
+    each = top.select(*KEYS, "base_value", F.posexplode("top_risk_factors").alias("rank", "driver"))
+    return rounded(each.select(*KEYS, (F.col("rank") + 1).alias("rank"), "driver.*", "base_value"))
+
+
 @register("training_metrics")
 def q_training_metrics(spark, sf):
     """ML16: anomaly features -> walk-forward CV (binary + 3-class, patience ``CV_PATIENCE``) -> hold-out -> attribution.
