@@ -48,9 +48,8 @@ def _micros(times: pd.Series) -> np.ndarray:
 class _Features(StatefulProcessor):
     """Per inverter: the last rows (time, alarm flag, signals) and the last alarm."""
 
-    def __init__(self, signals: Sequence[str], ttl_ms: int | None):
-        self.signals, self.ttl_ms = list(signals), ttl_ms
-        self.frames = {name: (w, min_periods(w)) for name, w in WINDOWS.items()}
+    def __init__(self, signals: Sequence[str], frames: dict[str, tuple[int, int]], ttl_ms: int | None):
+        self.signals, self.frames, self.ttl_ms = list(signals), frames, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = ["at long", "alarm int", *(f"s{i} double" for i in range(len(self.signals)))]
@@ -127,13 +126,15 @@ def feature_stream(hourly: DataFrame, initial: DataFrame | None = None, ttl_hour
     than the inverter's latest is left out. ``initial``: see ``history``. ``ttl_hours``: state of an inverter that gets no rows for so long is
     dropped (by the clock).
     """
+    use_state_store(hourly.sparkSession)
     rows = _with_flag(hourly)
     signals = [c for c in ROLLING_COLS if c in hourly.columns]
     more = [f"{c}_{n}_{s}" for c in signals for n in WINDOWS for s in ("mean", "std")] + ["alarm_count_24h", "alarm_count_7d", "hours_since_last_alarm"]
     schema = StructType(rows.schema.fields + [StructField(c, DoubleType()) for c in more])
+    frames = {name: (w, min_periods(w)) for name, w in WINDOWS.items()}
     ttl = None if ttl_hours is None else int(ttl_hours * 3_600_000)
     start = None if initial is None else initial.select(key, "datetime", "alarm_active", "last_alarm", *signals).groupBy(key)
-    return rows.groupBy(key).transformWithStateInPandas(_Features(signals, ttl), schema, "Append", "ProcessingTime" if ttl else "None", start)
+    return rows.groupBy(key).transformWithStateInPandas(_Features(signals, frames, ttl), schema, "Append", "ProcessingTime" if ttl else "None", start)
 
 
 class _Labels(StatefulProcessor):
@@ -218,6 +219,7 @@ def label_stream(rows: DataFrame, window_days: int = 7, watermark: str = "48 hou
     of each row equals the batch operator's. Rows later than the watermark are left out, as are rows further back than about two windows of rows;
     an inverter's state is three windows of rows at most.
     """
+    use_state_store(rows.sparkSession)
     timed = rows.withColumn("_ts", F.col("datetime").cast("timestamp")).withWatermark("_ts", watermark)
     kind = rows.schema[key].dataType.simpleString()
     return (timed.select(key, "datetime", "_ts", "shutdown_event", "degradation_event").groupBy(key)

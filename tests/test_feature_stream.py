@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ KIND = "inverter_id string, datetime timestamp_ntz, inv_power double, inv_temp d
 
 @pytest.fixture(scope="module")
 def hourly(spark):
-    fs.use_state_store(spark)
     rng = random.Random(3)
     rows = []
     for e, n in (("a", 420), ("b", 200), ("c", 30)):
@@ -38,9 +38,8 @@ def replay(spark, parts, build, tmp_path, mode, kind=KIND):
         stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(src)
         w = build(stream).writeStream.outputMode(mode).option("checkpointLocation", ckpt)
         w = w.foreachBatch(lambda df, i: df.withColumn("_batch", F.lit(i)).write.mode("append").parquet(out))
-        q = w.start()
-        q.processAllAvailable()
-        q.stop()
+        q = w.trigger(availableNow=True).start()
+        assert q.awaitTermination(120), q.status
     return spark.read.parquet(out)
 
 
@@ -89,7 +88,7 @@ def test_features_start_from_a_stored_table(spark, hourly, tmp_path):
     old, new = hourly[:450], hourly[450:]
     start = fs.history(spark.createDataFrame(old, KIND))
     assert start.groupBy("inverter_id").count().agg(F.max("count")).first()[0] <= 167
-    got = replay(spark, [[new[:80], new[80:]]], lambda s: fs.feature_stream(s, start, ttl_hours=1000), tmp_path, "append")
+    got = replay(spark, [[new[:80], new[80:]]], lambda s: fs.feature_stream(s, start), tmp_path, "append")
     have, _ = check_features(spark, got, hourly)
     assert have == {(r[0], r[1]) for r in new}
 
@@ -102,6 +101,21 @@ def test_rows_that_are_not_later_are_left_out(spark, hourly, tmp_path):
     assert have == want
 
 
+def test_state_with_an_expiry(spark, hourly, tmp_path):
+    """With an expiry batches go on by the clock, so the query is stopped once its rows are there."""
+    rows = [r for r in hourly if r[0] == "c"]
+    spark.createDataFrame(rows, KIND).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = fs.feature_stream(spark.readStream.schema(KIND).parquet(str(tmp_path / "in")), ttl_hours=1000)
+    q = (stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "ckpt"))
+         .foreachBatch(lambda df, i: df.write.mode("append").parquet(str(tmp_path / "out"))).start())
+    until = time.time() + 60
+    while time.time() < until and not (q.lastProgress and q.lastProgress["batchId"] > 0):
+        time.sleep(1)
+    q.stop()
+    have, want = check_features(spark, spark.read.parquet(str(tmp_path / "out")), rows)
+    assert have == want
+
+
 EVENTS = "inverter_id string, datetime timestamp_ntz, shutdown_event int, degradation_event int"
 
 
@@ -128,11 +142,11 @@ def test_labels_equal_batch_with_late_rows_and_silence(spark, hourly, tmp_path,
     rows = [(r.inverter_id, r.datetime, r.shutdown_event, r.degradation_event) for r in want.values()]
     rows.sort(key=lambda r: r[1])
     rng = random.Random(1)
-    # some rows come late by up to 30 hours
-    order = sorted(rows, key=lambda r: r[1] + dt.timedelta(hours=rng.choice([0] * 12 + [rng.uniform(1, 30)])))
+    # some rows come late by up to 100 hours
+    order = sorted(rows, key=lambda r: r[1] + dt.timedelta(hours=rng.choice([0] * 12 + [rng.uniform(1, 100)])))
     quiet = ("zz", T0 + dt.timedelta(days=400), 0, 0)  # moves the watermark past everyone's last row
     files = [*cut(order, 150, 150, 2, 160), [quiet], [("zz", quiet[1] + dt.timedelta(hours=1), 0, 0)]]
-    got = replay(spark, [files[:2], files[2:]], lambda s: fs.label_stream(s, days), tmp_path, "update", EVENTS)
+    got = replay(spark, [files[:2], files[2:]], lambda s: fs.label_stream(s, days, watermark="200 hours"), tmp_path, "update", EVENTS)
     last = last_revision(got.where("inverter_id <> 'zz'"))
     assert set(last) == set(want)
     by = {}
@@ -142,5 +156,12 @@ def test_labels_equal_batch_with_late_rows_and_silence(spark, hourly, tmp_path,
         assert (r.target_binary, r.target_multiclass) == (want[e, at].target_binary, want[e, at].target_multiclass), (e, at)
         assert r.complete == (by[e].index(at) + n <= len(by[e]))
     assert len({r.target_multiclass for r in last.values()}) >= 2
-    if days == 1:
-        assert got.where("revision > 1").count() > 0  # late rows did change labels
+
+
+def test_a_late_event_revises_labels(spark, tmp_path):
+    rows = [("a", T0 + dt.timedelta(hours=i), int(i == 30), 0) for i in range(60)]
+    got = replay(spark, [[rows[:30] + rows[31:]], [rows[30:31]]], lambda s: fs.label_stream(s, 1), tmp_path, "update", EVENTS).collect()
+    first = {r.datetime.day * 24 + r.datetime.hour - 24: r for r in got if r.revision == 1}
+    again = {r.datetime.day * 24 + r.datetime.hour - 24: r for r in got if r.revision == 2}
+    assert set(again) == set(range(7, 30)) and all((r.target_binary, r.target_multiclass) == (1, 2) for r in again.values())
+    assert all((first[i].target_binary, first[i].complete) == (0, True) for i in range(30)) and first[30].target_multiclass == 2 and max(r.revision for r in got) == 2
