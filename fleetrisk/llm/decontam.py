@@ -139,7 +139,7 @@ class Index:
                     if step in MEET:
                         new = np.flatnonzero(np.diff(at, prepend=-1))  # walks keep their order
                         at, group = at[new], np.append(group[new], len(base))
-                hit = starts[ids[at]]
+                hit = starts.take(ids.take(at, mode="clip"), mode="clip")  # clip: no bounds check, all are inside
                 if starts[self.pad]:
                     hit |= at >= base[group[:-1]] + windows[c]
                 hit = np.flatnonzero(hit)
