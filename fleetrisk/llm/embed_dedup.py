@@ -1,8 +1,10 @@
 """Embedding near-dedup (operator 7): pivot-permutation index.
 
 A vector is described by its nearest reference points (pivots) in order (Chavez, Figueroa and Navarro, TPAMI 2008;
-inverted lists after Amato and Savino, 2008). Every vector goes into the lists of its ``prefix`` nearest pivots; vectors that
-meet in a list and share at least ``shared`` pivots are candidates, and their cosine is then computed in double precision.
+inverted lists after Amato and Savino, 2008). Vectors that share at least ``shared`` of their ``prefix`` nearest pivots are candidates, and
+their cosine is then computed in double precision. Pivots have a common order, those that are near to few others first; two vectors that
+share that many have one in common among the first ``prefix`` - ``shared`` + 1 of each, so only these lists are kept, and a pair is looked at in
+the list of the first pivot that both have.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from .common import by_group, runs, split_hot, stash
 from .components import components
 
 PIECE = 1024  # vectors of one list that meet in a task: pieces of a longer list meet pairwise
-MAX_PIVOTS = 1024
+#: Pivots a task holds: twice the square root of the number of vectors stays below it up to 2.6 x 10^8 vectors of a length.
+MAX_PIVOTS = 32_768
 
 
 def pivot_count(vectors: int) -> int:
@@ -44,7 +47,8 @@ def usable(embedding):
 
 
 def _assign(reps: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
-    shared = reps.sparkSession.sparkContext.broadcast(pickle.dumps(pivots))  # at most MAX_PIVOTS vectors
+    shared = reps.sparkSession.sparkContext.broadcast(pickle.dumps(pivots))  # at most MAX_PIVOTS vectors, in their common order
+    kind = reps.schema["embedding"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ref = pickle.loads(shared.value)
@@ -52,17 +56,30 @@ def _assign(reps: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 near = unit(_matrix(b.column("embedding"))) @ ref.T
-                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
+                top = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1)
                 lists = pa.ListArray.from_arrays(np.arange(0, top.size + 1, k, dtype=np.int32), top.astype(np.int32).ravel())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "n", "label", "embedding")), lists],
                                                  names=["rep", "n", "label", "embedding", "pivots"])
 
     return reps.select("rep", "n", "label", "embedding").mapInArrow(
-        run, "rep long, n long, label string, embedding array<double>, pivots array<int>")
+        run, f"rep long, n long, label string, embedding {kind}, pivots array<int>")
 
 
-def _pairs(lists: DataFrame, n_pivots: int, shared: int, least: float) -> DataFrame:
+def _pivots(own: DataFrame, m: int, count: int, prefix: int) -> np.ndarray:
+    """``m`` of the distinct vectors by hash, those first that are among the ``prefix`` nearest of the fewest others."""
+    spots = 1 << 30
+    draw = F.pmod(F.xxhash64(F.lit(1), "h1"), F.lit(spots)) < F.lit(int(min(1.0, (2 * m + 100) / count) * spots))  # about twice as many come to the driver
+    rows = own.where(draw).orderBy(F.xxhash64(F.lit(1), "h1"), "h1", "h2").limit(m).select("embedding").collect()
+    x = unit(np.array([r.embedding for r in rows]))
+    near = np.zeros(len(x), np.int64)
+    for lo in range(0, len(x), 1024):
+        close = x[lo:lo + 1024] @ x.T
+        k = min(prefix + 1, len(x))  # each is its own nearest
+        near += np.bincount(np.argpartition(-close, k - 1, axis=1)[:, :k].ravel(), minlength=len(x))
+    return x[np.argsort(near, kind="stable")]
+
+
+def _pairs(lists: DataFrame, shared: int, least: float) -> DataFrame:
     """Within each list: (rep, links, root): verified links counted once over all lists, and local components."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, c in runs(batches, ["label", "pivot", "piece_a", "piece_b"],
@@ -74,11 +91,12 @@ def _pairs(lists: DataFrame, n_pivots: int, shared: int, least: float) -> DataFr
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
                 if hi - lo < 2:
                     continue
-                has = np.zeros((hi - lo, n_pivots), np.float32)
-                np.put_along_axis(has, own[lo:hi], 1, axis=1)
-                p = int(first[lo])
+                known, local = np.unique(own[lo:hi], return_inverse=True)
+                has = np.zeros((hi - lo, len(known)), np.float32)
+                np.put_along_axis(has, local.reshape(hi - lo, -1), 1, axis=1)
+                p = int(np.searchsorted(known, first[lo]))
                 # candidates: enough pivots in common, met here first
-                pair = (has @ has.T >= shared) & (has[:, :p] @ has[:, :p].T == 0)
+                pair = (has @ has.T >= min(shared, own.shape[1])) & (has[:, :p] @ has[:, :p].T == 0)
                 if a_[lo] != b_[lo]:
                     pair &= piece[lo:hi, None] != piece[None, lo:hi]
                 np.fill_diagonal(pair, False)
@@ -109,20 +127,22 @@ def _pairs(lists: DataFrame, n_pivots: int, shared: int, least: float) -> DataFr
     return by_group(lists, keys, ["rep"], run, "rep long, links long, root long")
 
 
-def link_vectors(vectors: DataFrame, least: float = 0.93, prefix: int = 8, shared: int = 1, max_pivots: int | None = None) -> DataFrame:
+def link_vectors(vectors: DataFrame, least: float = 0.93, prefix: int = 8, shared: int = 3, max_pivots: int | None = None) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept (vec_id is component_id).
 
     Vectors link if their labels are equal and not null and their cosine is at least ``least``. Unusable vectors (null, empty, zero, null or
     non-finite components) and rows without a vec_id link with nothing; vectors of unequal length don't link.
     Equal vectors of a label are one node with a count, so copies cost no pairs. Rows that
     repeat a vec_id are vectors of their own that share a component. An empty table gives an empty one. Pivots are a bounded sample
-    (``pivot_count``) of the distinct vectors by hash; every vector is indexed.
+    (``pivot_count``) of the distinct vectors by hash; every vector is indexed. A pair that shares fewer than ``shared`` pivots is missed: tests hold
+    the recall against brute force.
     """
     spark = vectors.sparkSession
+    number = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # as it comes; cosines are in double
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
-                       F.col("embedding").cast("array<double>").alias("embedding"))
+                       F.col("embedding").cast(f"array<{number}>").alias("embedding"))
     good = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    v = v.withColumn("embedding", F.when(good, F.transform("embedding", lambda x: x + F.lit(0.0))))  # -0.0 is 0.0
+    v = v.withColumn("embedding", F.when(good, F.transform("embedding", lambda x: (x + F.lit(0.0)).cast(number))))  # -0.0 is 0.0
     # two 64-bit hashes name a distinct vector of a label
     keyed = stash(v.select("vec_id", F.when(good, F.xxhash64("label", "embedding")).alias("h1"),
                            F.when(good, F.xxhash64(F.lit(7), F.reverse("embedding"), "label")).alias("h2"), "label", "embedding"), "vectors")
@@ -133,10 +153,10 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, prefix: int = 8, share
     for size, count in sorted((r["size"], r["count"]) for r in reps.groupBy("size").count().collect()):
         own = reps.where(F.col("size") == size)
         m = min(max_pivots or pivot_count(count), count)
-        sample = own.orderBy(F.xxhash64(F.lit(1), "h1"), "h1", "h2").limit(m).select("embedding").collect()
-        pivots = unit(np.array([r.embedding for r in sample]))
-        lists = _assign(own, pivots, prefix).select("*", F.explode("pivots").alias("pivot"))
-        part = _pairs(split_hot(lists, ["label", "pivot"], "rep", PIECE), m, shared, least)
+        pivots = _pivots(own, m, count, prefix)
+        kept = max(1, min(prefix, len(pivots)) - shared + 1)
+        lists = _assign(own, pivots, prefix).select("*", F.explode(F.slice("pivots", 1, kept)).alias("pivot"))
+        part = _pairs(split_hot(lists, ["label", "pivot"], "rep", PIECE), shared, least)
         found = part if found is None else found.union(part)
     found = stash(found if found is not None else spark.createDataFrame([], "rep long, links long, root long"), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))

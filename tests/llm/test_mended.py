@@ -253,3 +253,30 @@ def test_shards_beside_a_column_of_that_name(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
     assert set(back.columns) == {*df.columns, "shard__"}
+
+
+# 7 embeddings
+
+@pytest.mark.parametrize("n, size", [(900, 64), (3000, 24)])
+def test_embedding_recall_and_pruning(spark, n, size):
+    """Planted pairs just above the bound: recall against brute force, and how few pairs are looked at."""
+    from fleetrisk.llm import embed_dedup
+    gen = np.random.default_rng(n)
+    base = gen.normal(size=(n, size))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    c = gen.uniform(0.93, 0.96, n // 3)[:, None]
+    side = gen.normal(size=(n // 3, size))
+    side -= (side * base[:n // 3]).sum(axis=1, keepdims=True) * base[:n // 3]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([base, c * base[:n // 3] + np.sqrt(1 - c * c) * side]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = embed_dedup.unit(x)
+    want = ((unit @ unit.T >= 0.93).sum(axis=1) - 1).sum()
+    got = sum(r.n_links for r in embed_dedup.link_vectors(df).collect())
+    assert 0.97 * want <= got <= want
+    m = embed_dedup.pivot_count(len(x))
+    near = np.argpartition(-(unit @ unit[gen.choice(len(x), m, replace=False)].T), 7, axis=1)[:, :8]
+    has = np.zeros((len(x), m), np.float32)
+    np.put_along_axis(has, near, 1, axis=1)
+    both = has @ has.T
+    assert ((both >= 3).sum() - len(x)) < 0.35 * ((both >= 1).sum() - len(x))  # the count prunes what one shared pivot let through
