@@ -4,7 +4,8 @@ Each task names the runs and pairs of its texts (``recompress``), which is consi
 ``window`` words is sent to the symbol that the window's words alone decide (least name inside it), or to its own
 name where it holds none; neighbouring windows under one symbol travel as one row. Rows of one symbol meet,
 sorted by doc_id, and the windows are verified by a second, independent name. Rows with equal words in one slice of a task are
-settled there and only the smallest doc_id's row goes on, so a hot passage sends a row per slice, not one per copy.
+settled there and only the smallest doc_id's row goes on; stretches that a slice held more than once are remembered by the task, so a hot
+passage sends about a row per task, not one per copy.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BASE2 = np.uint64(0xD1B54A32D192ED03 | 1)  # of the second names, which are rolled from another hash of the words
 INVERSE2 = np.uint64(pow(int(BASE2), -1, 1 << 64))
 CHECK = 6  # bytes of a window's second name
+MOST_MET = 500_000  # stretches that a task remembers
 COUNT_BITS = 24  # of a row's number of windows, below its first word
 STEP_BYTES = 1_000_000
 #: Repeated doc_ids that are broadcast; beyond, rows meet them by a shuffle.
@@ -41,11 +43,36 @@ def _rolled(names: np.ndarray, base: np.uint64, inverse: np.uint64):
     return lambda lo, hi: mix((total[hi] - total[lo]) * back[lo])
 
 
+class _Met:
+    """Stretches that a task has met more than once, with the smallest doc_id: later rows that repeat them are settled at once.
+
+    It forgets all when it holds over ``MOST_MET``: what isn't settled here is by the exchange.
+    """
+
+    def __init__(self):
+        self.name, self.again, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def smaller(self, name: np.ndarray, again: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        if not len(self.name):
+            return np.zeros(len(name), bool)
+        at = np.minimum(np.searchsorted(self.name, name), len(self.name) - 1)
+        return (self.name[at] == name) & (self.again[at] == again) & (self.doc[at] < doc)
+
+    def add(self, name: np.ndarray, again: np.ndarray, doc: np.ndarray) -> None:
+        if len(self.name) > MOST_MET:
+            self.__init__()
+        name, again, doc = (np.concatenate(p) for p in ((self.name, name), (self.again, again), (self.doc, doc)))
+        order = np.lexsort((doc, name))
+        first = np.concatenate([[True], name[order][1:] != name[order][:-1]])[:len(order)]
+        self.name, self.again, self.doc = (x[order][first] for x in (name, again, doc))
+
+
 def window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """(key, doc, tag, place, checks): neighbouring windows, ``place`` is the first one's first word and, in ``COUNT_BITS`` bits, their number.
 
     ``checks`` is null for windows already known to be in a document with a smaller id.
     """
+    met = _Met()
     for b in text_steps(batches, step_bytes=STEP_BYTES):
         ids = b.column("doc_id").to_numpy()
         raw = raw_texts(b)
@@ -78,6 +105,9 @@ def window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         least = ids[owner][order][np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         settled = np.zeros(len(order), bool)
         settled[order] = ids[owner][order] > least
+        settled |= met.smaller(whole, again, ids[owner])
+        often = order[np.flatnonzero(~same & np.append(same[1:], False))]  # first of those that the slice holds more than once
+        met.add(whole[often], again[often], ids[owner][often])
         checks = second_name(at, at + window).view(np.uint8).reshape(-1, 8)[:, :CHECK].copy()
         ends = np.where(settled, 0, count)
         checks = checks[np.repeat(~settled, count)]

@@ -280,3 +280,38 @@ def test_embedding_recall_and_pruning(spark, n, size):
     np.put_along_axis(has, near, 1, axis=1)
     both = has @ has.T
     assert ((both >= 3).sum() - len(x)) < 0.35 * ((both >= 1).sum() - len(x))  # the count prunes what one shared pivot let through
+
+
+# 6 licenses
+
+def containment(text, template):
+    import re
+
+    def shingles(t):
+        w = [x for x in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower()) if x]
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    own = shingles(template)
+    return len(own & shingles(text)) / len(own)
+
+
+def test_license_copies_in_whole_documents(spark):
+    """Changed words, a line put in the middle, surrounding text: what holds 0.8 of a template over the whole document is met."""
+    from fleetrisk.llm import licenses
+    rng = random.Random(10)
+    prose = lambda n: " ".join(rng.choices(WORDS, k=n))
+    rows, want = [], set()
+    for k, (name, text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        words = text.split()
+        for j, made in enumerate((words, ["*"] + words, words[:len(words) // 2] + ["another"] + words[len(words) // 2 + 1:],
+                                  words[:len(words) // 2] + ("Copyright (c) 1999 to 2024 " + prose(15)).split() + words[len(words) // 2:])):
+            doc = prose(30) + " " + " ".join(made) + " " + prose(30)
+            rows.append((10 * k + j, doc))
+            size = len(licenses.TEMPLATES[name].split())
+            if containment(doc, text) >= 0.8 and (j < 3 or size >= 45):
+                want.add((10 * k + j, name))
+    got = {(r.doc_id, r.license_id) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert want <= got and len(want) > 2.5 * len(licenses.TEMPLATES)
+    text = dict(rows)
+    assert all(containment(text[i], licenses.TEMPLATES[name]) >= 0.8 for i, name in got)
+    clean = spark.createDataFrame([(i, prose(200) + " the license of this software is free") for i in range(20)], "doc_id long, text string")
+    assert licenses.scan_licenses(clean).count() == 0
