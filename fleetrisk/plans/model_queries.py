@@ -50,6 +50,12 @@ def multiclass_model(spark, sf, params=gbt.BoostParams()):
                          lambda: boost.train_multiclass(training_frame(spark, sf), AVAILABLE_KEYS, params=params, validation=HELD))
 
 
+def both_models(spark, sf):
+    """The stored binary and 3-class models, trained side by side where they are missing."""
+    featured(spark, sf)  # built once, not by both
+    return gbt.side_by_side(spark, [lambda: binary_model(spark, sf), lambda: multiclass_model(spark, sf)])
+
+
 def forest_model(spark, sf, n_trees, contamination):
     """The stored isolation forest, fitted on all rows."""
     return store.forest(spark, _path(spark, sf, "forest", n_trees=n_trees, contamination=contamination),
@@ -75,7 +81,7 @@ def q_softmax_multiclass(spark, sf):
 @register("boosting_rounds")
 def q_boosting_rounds(spark, sf):
     """ML1 + ML2: the validation metric after every round that was trained, and whether the round was kept."""
-    rows = [(name, i + 1, m.metric, float(v), i < m.rounds) for name, m in (("binary", binary_model(spark, sf)), ("multiclass", multiclass_model(spark, sf)))
+    rows = [(name, i + 1, m.metric, float(v), i < m.rounds) for name, m in zip(("binary", "multiclass"), both_models(spark, sf))
             for i, v in enumerate(m.history)]
     return spark.createDataFrame(rows, "model string, round int, metric string, value double, kept boolean")
 
@@ -100,7 +106,8 @@ def q_anomaly_scores(spark, sf):
 def q_batch_score(spark, sf):
     """ML17: sparse readings -> completion (SV*) -> stored 3-class model, isolation forest, drivers of the binary model
     -> prediction records."""
-    model, nodes = multiclass_model(spark, sf), binary_model(spark, sf).node_table()
+    binary, model = both_models(spark, sf)
+    nodes = binary.node_table()
     forest = forest_model(spark, sf, 100, 0.15)
     dense = serving.complete_readings(serving.readings_from_featured(featured(spark, sf)), baseline_table(spark, sf), KEY_FEATURES)
     scored = iforest.add_anomaly_scores(dense, forest)
@@ -130,7 +137,8 @@ def q_explain_rows(spark, sf):
 
 
 #: Settings of the registered cross-validations, 5 folds x 2 tasks each: a fit of one small tree costs MLlib half a second whatever its rows.
-CV_PATIENCE, LIGHT_ROUNDS = 10, 10
+#: The patience ends within a block of rounds.
+CV_PATIENCE, LIGHT_ROUNDS = boost.BLOCK - 1, 5
 
 
 def _stored_table(spark, sf, kind, build, **settings):
@@ -181,7 +189,8 @@ def q_light_training_metrics(spark, sf):
 def _scored_readings(spark, sf, readings, keep):
     """Stored readings, padded to the models' features, scored by the stored binary and 3-class models."""
     rows = matrix.pad_to_model(readings, AVAILABLE_KEYS, keep=keep)
-    return boost.score_multiclass(multiclass_model(spark, sf), boost.score_binary(binary_model(spark, sf), rows))
+    binary, multiclass = both_models(spark, sf)
+    return boost.score_multiclass(multiclass, boost.score_binary(binary, rows))
 
 
 @register("score_latest")
