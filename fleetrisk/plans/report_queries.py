@@ -561,7 +561,8 @@ def wide_from_events(spark, sf) -> DataFrame:
     e = read_table(spark, sf, "events", ["event_id", "ts", "value"])
     cols = [F.col("event_id").cast("string").alias("timestamp_id"),
             F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"),
-            (F.col("event_id") % 30 + 10).cast("string").alias("sensors[0].ambient_temp")]
+            (F.col("event_id") % 30 + 10).cast("string").alias("sensors[0].ambient_temp"),
+            (F.col("event_id") % 7 + 46).cast("string").alias("meters[0].freq")]
     for i in range(4):
         cols.append((F.col("value") * (i + 1)).cast("string").alias(f"inverters[{i}].power"))
         cols.append(((F.col("event_id") + i) % 50).cast("string").alias(f"inverters[{i}].temp"))
@@ -573,19 +574,19 @@ def wide_from_events(spark, sf) -> DataFrame:
 
 
 @register("unpivot_inverters", """SELECT CAST(timestamp_id AS BIGINT) AS event_id, inverter_idx, """ + R("inv_power") + """ AS inv_power,
-  """ + R("inv_temp") + """ AS inv_temp, """ + R("smu_string_mean") + """ AS smu_string_mean, smu_total_strings FROM (
-  SELECT CAST(event_id AS VARCHAR) AS timestamp_id, i AS inverter_idx, value * (i + 1) AS inv_power,
+  """ + R("inv_temp") + """ AS inv_temp, """ + R("smu_string_mean") + """ AS smu_string_mean, smu_total_strings, ambient_temp, meter_freq FROM (
+  SELECT CAST(event_id % 30 + 10 AS DOUBLE) AS ambient_temp, CAST(event_id % 7 + 46 AS DOUBLE) AS meter_freq, CAST(event_id AS VARCHAR) AS timestamp_id, i AS inverter_idx, value * (i + 1) AS inv_power,
     CAST((event_id + i) % 50 AS DOUBLE) AS inv_temp,
     (CASE WHEN (event_id + 1 + si) % 4 = 0 THEN 0.0 ELSE value / (1 + si) END
       + CASE WHEN (event_id + 2 + si) % 4 = 0 THEN 0.0 ELSE value / (2 + si) END) / 2.0 AS smu_string_mean,
     2.0 AS smu_total_strings
   FROM events, (SELECT i, CASE WHEN i = 1 THEN 1 ELSE 0 END AS si FROM range(4) r(i)) b) u""")
 def q_unpivot_inverters(spark, sf):
-    """PRJ3 + PRJ4 + PRJ5: wide inverter blocks -> rows in one pass; inverters without own SMU use smu[0]."""
+    """PRJ1 + PRJ3 + PRJ4 + PRJ5: wide inverter blocks -> rows in one pass; inverters without own SMU use smu[0], shared blocks get their prefix."""
     wide = wide_from_events(spark, sf)
     long = unpivot_inverters(wide, "Plant_1", F.lit("L0"), carry=["timestamp_id"])
     return rounded(long.select(F.col("timestamp_id").cast("long").alias("event_id"), "inverter_idx", "inv_power",
-                               "inv_temp", "smu_string_mean", "smu_total_strings"))
+                               "inv_temp", "smu_string_mean", "smu_total_strings", "ambient_temp", "meter_freq"))
 
 
 @register("union_by_name", """SELECT * FROM (
