@@ -589,6 +589,28 @@ def q_unpivot_inverters(spark, sf):
                                "inv_temp", "smu_string_mean", "smu_total_strings", "ambient_temp", "meter_freq"))
 
 
+@register("csv_readings", """SELECT inverter_id, inverter_idx, """ + R("inv_power") + """ AS inv_power, """ + R("inv_temp") + """ AS inv_temp,
+  """ + R("smu_string_mean") + """ AS smu_string_mean, smu_total_strings, ambient_temp, meter_freq, datetime FROM (
+  SELECT 'Plant_' || (event_id % 3 + 1) || '_MAC' || (event_id % 3 + 1) || '_INV' || i AS inverter_id, i AS inverter_idx, value * (i + 1) AS inv_power,
+    CAST((event_id + i) % 50 AS DOUBLE) AS inv_temp, CAST(event_id % 30 + 10 AS DOUBLE) AS ambient_temp, CAST(event_id % 7 + 46 AS DOUBLE) AS meter_freq,
+    (CASE WHEN (event_id + 1 + si) % 4 = 0 THEN 0.0 ELSE value / (1 + si) END
+      + CASE WHEN (event_id + 2 + si) % 4 = 0 THEN 0.0 ELSE value / (2 + si) END) / 2.0 AS smu_string_mean,
+    2.0 AS smu_total_strings, date_trunc('milliseconds', ts) AS datetime
+  FROM events, (SELECT i, CASE WHEN i = 1 THEN 1 ELSE 0 END AS si FROM range(4) r(i)) b) u""")
+def q_csv_readings(spark, sf):
+    """SRC1 + SRC2 + SRC4 + SRC5 + PRJ1: the events as wide CSV files of three plants, read back by the data source."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources.telemetry_source import load_readings
+    root = scratch_path(spark, f"csv/{uuid.uuid4().hex}")
+    wide = wide_from_events(spark, sf).withColumn("plant", F.col("timestamp_id").cast("long") % 3 + 1)
+    for p in (1, 2, 3):
+        (wide.where(F.col("plant") == p).drop("plant").withColumn("mac", F.lit(f"MAC{p}")).write.option("header", True).csv(f"{root}/Plant {p}"))
+    return rounded(load_readings(spark, root).select("inverter_id", "inverter_idx", "inv_power", "inv_temp", "smu_string_mean", "smu_total_strings",
+                                                     "ambient_temp", "meter_freq", "datetime"))
+
+
 @register("union_by_name", """SELECT * FROM (
   SELECT event_id, value AS inv_power FROM events WHERE event_type = 'error'
   UNION ALL BY NAME
