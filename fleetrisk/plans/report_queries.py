@@ -301,14 +301,15 @@ def q_topk_global(spark, sf):
     return rounded(ranked.where(F.col("rank") <= 10).select("rank", "feature", "mean_abs_impact"))
 
 
-@register("topk_attribution_row", _q(ATTR_SQL, f"""SELECT p.inverter_id, p.datetime, CAST(rk AS INTEGER) AS rank, feature, {R('value')} AS value,
+@register("topk_attribution_row", _q(ATTR_SQL, f"""SELECT row_id, CAST(rk AS INTEGER) AS rank, feature, {R('value')} AS value,
   {R('impact')} AS impact, CASE WHEN impact > 0 THEN 'increases risk' ELSE 'decreases risk' END AS direction
 FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(impact) DESC, feature) AS rk FROM attr) x
-JOIN pos p USING (row_id) WHERE rk <= 5"""))
+WHERE rk <= 5"""))
 def q_topk_row(spark, sf):
-    """SK5 + FN14 / ML15: per-row top-5 drivers with direction; a row is named by its keys, so nothing is shuffled."""
-    t = featured(spark, sf).select(*KEYS, F.posexplode(top_drivers(spark, sf, 5)).alias("rank", "d"))
-    return rounded(t.select(*KEYS, (F.col("rank") + 1).cast("int").alias("rank"), "d.feature", "d.value", "d.impact",
+    """SK5 + FN14 / ML15: per-row top-5 drivers with direction; a row is named by its position in the whole table."""
+    f = ranking.global_positions(featured(spark, sf), out="row_id")
+    t = f.select("row_id", F.posexplode(top_drivers(spark, sf, 5)).alias("rank", "d"))
+    return rounded(t.select("row_id", (F.col("rank") + 1).cast("int").alias("rank"), "d.feature", "d.value", "d.impact",
                             risk.direction(F.col("d.impact")).alias("direction")))
 
 

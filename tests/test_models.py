@@ -154,3 +154,18 @@ def test_light_training_job(spark, tmp_path):
     assert {r.feature for r in out["baseline"].collect()} == set(out["feature_names"]) == {r.feature for r in out["top_features"].collect()}
     assert out["per_fold"].count() == 2 * 7
     assert iforest.load_forest(spark, str(tmp_path / "light/anomaly_model")).features == tuple(out["feature_names"])
+
+
+def test_topk_attribution_row_names_positions(spark):
+    """Rows are named by their position in the (inverter, time) order of the whole table, five drivers each."""
+    import __spark_entry__ as E
+    from fleetrisk.operators.ranking import global_positions
+    from fleetrisk.plans.store import featured_table
+    sf = "/root/testdata/sf0.001"
+    got = E.queries()["topk_attribution_row"](spark, sf)
+    assert got.columns == ["row_id", "rank", "feature", "value", "impact", "direction"]
+    rows, n = got.collect(), featured_table(spark, sf).count()
+    assert sorted((r.row_id, r["rank"]) for r in rows) == [(i, k) for i in range(n) for k in range(1, 6)]
+    power = {r.row_pos: r.inv_power for r in global_positions(featured_table(spark, sf)).collect()}
+    shown = [r for r in rows if r.feature == "inv_power"]
+    assert shown and all(abs(r.value - (power[r.row_id] or 0.0)) < 1e-5 for r in shown)
