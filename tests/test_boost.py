@@ -195,3 +195,20 @@ def test_time_order_and_purge(spark):
         purged = before and (not trains or before[0] < trains[0])
         assert r.purged_from == (before[0] if purged else None)
     assert {r.row_pos for r in ranking.time_positions(df).collect()} == set(range(130))
+
+
+def test_rounds_read_kept_leaves(spark, data, monkeypatch):
+    """What a block writes reads the leaves of its last round; no tree is run again above them, and nothing stays persisted."""
+    plans, write = [], boost.materialize
+
+    def seen(df):
+        if "_stage" in df.columns:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+    monkeypatch.setattr(boost, "materialize", seen)
+    data.count()  # cached by now
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    model = boost.fit(data, FEATS, "y3", (0, 1, 2), SMALL, "val", patience=50, block=3)
+    assert len(model.history) == 6 and len(plans) == 2
+    assert all("InMemoryRelation" in p and "UDF" not in p.split("InMemoryRelation")[0] for p in plans), plans
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
