@@ -19,6 +19,7 @@ from pyspark.taskcontext import TaskContext
 from .common import stash, text_steps, texts
 
 MEMO = 300_000
+STEP_BYTES = 1_000_000  # text encoded at a time: its runs become strings, many times its size
 #: Characters around which nothing of a special token, a contraction or a composed character can stand:
 #: white space, ASCII letters, digits and marks but for ' < > ` | and backslash, and Latin-1 letters.
 _MARKS = r"!\"#$%&()*+,\-./:;=?@\[\]^_{}~"
@@ -117,7 +118,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         key = (tokenizer_path, end_id)
         enc = _LOADED[key] if key in _LOADED else _LOADED.setdefault(key, WordIds(*key))
         part, place = TaskContext.get().partitionId(), 0
-        for b in text_steps(batches):
+        for b in text_steps(batches, step_bytes=STEP_BYTES):
             ids, n = enc.encode(texts(b))
             ends = np.cumsum(n)
             raw = ids.astype("<u4").tobytes()

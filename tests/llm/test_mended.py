@@ -315,3 +315,53 @@ def test_license_copies_in_whole_documents(spark):
     assert all(containment(text[i], licenses.TEMPLATES[name]) >= 0.8 for i, name in got)
     clean = spark.createDataFrame([(i, prose(200) + " the license of this software is free") for i in range(20)], "doc_id long, text string")
     assert licenses.scan_licenses(clean).count() == 0
+
+
+# memory of the pipeline's tasks
+
+def test_python_gets_bounded_batches(spark):
+    import pyarrow as pa
+    common.prepare(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "size"])
+
+    docs = spark.range(2000, numPartitions=1).selectExpr("id as doc_id", "repeat('word ', 2000) as text")  # 20 MB
+    got = docs.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in got) == 2000
+    assert max(r.size for r in got) <= common.BATCH_BYTES + 100_000
+
+
+def test_a_bound_of_the_session_stays(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, 1_000_000)
+    try:
+        common.prepare(spark)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_packing_encodes_small_steps(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from fleetrisk.llm import packing
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    seen = []
+
+    class Ids:
+        def encode(self, batch):
+            seen.append(sum(map(len, batch)))
+            return np.zeros(len(batch), np.uint32), np.ones(len(batch), np.int64)
+
+    monkeypatch.setitem(packing._LOADED, ("none", 1), Ids())
+    run = []
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f) or self)
+    packing.tokenise(docs, "none", 1)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(["x" * 100_000] * 40)], names=["doc_id", "text"])
+    out = list(run[0](iter([rows])))
+    assert sum(seen) == 4_000_000 and max(seen) <= 1_000_000
+    assert [r for b in out for r in b.column("place").to_pylist()] == list(range(40))
