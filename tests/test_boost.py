@@ -212,3 +212,18 @@ def test_rounds_read_kept_leaves(spark, data, monkeypatch):
     assert len(model.history) == 6 and len(plans) == 2
     assert all("InMemoryRelation" in p and "UDF" not in p.split("InMemoryRelation")[0] for p in plans), plans
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_later_rounds_run_one_code(spark, data, monkeypatch):
+    """Neither the round's number nor its leaf values are compiled into the code that a round's trees read their rows by."""
+    codes = []
+
+    class Seen(boost.RandomForestRegressor):
+        def fit(self, rows):
+            stages = rows._jdf.queryExecution().debug().codegenToSeq()
+            codes.append([stages.apply(i)._2() for i in range(stages.size())])
+            return super().fit(rows)
+    monkeypatch.setattr(boost, "RandomForestRegressor", Seen)
+    model = boost.fit(data, FEATS, "y", (0, 1), replace(SMALL, max_iter=4, subsample=0.8), "val", block=4)
+    assert len(model.history) == 4 and len(codes) == 4
+    assert codes[2] and codes[2] == codes[3]  # from the third on; before it margins can't be null, so two rounds have their own
