@@ -9,7 +9,9 @@ settled there and only the smallest doc_id's row goes on, so a hot passage sends
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ INVERSE2 = np.uint64(pow(int(BASE2), -1, 1 << 64))
 CHECK = 6  # bytes of a window's second name
 COUNT_BITS = 24  # of a row's number of windows, below its first word
 STEP_BYTES = 1_000_000
+#: Windows that a step behind the exchange takes together, names of one key that are carried in memory, parts of a key with more (a power of two).
+STEP_WINDOWS, MOST_CARRIED, PARTS = 400_000, 1_000_000, 256
 #: Repeated doc_ids that are broadcast; beyond, rows meet them by a shuffle.
 MOST_REPEATED = 100_000
 
@@ -54,7 +58,7 @@ def window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         n = int(size.sum())
         if n < window:
             continue
-        both = np.frombuffer(b"".join(h for w in words for h in map(xxhash.xxh128_digest, w)), np.uint64).reshape(n, 2)
+        both = np.frombuffer(b"".join(map(xxhash.xxh128_digest, chain.from_iterable(words))), np.uint64).reshape(n, 2)
         names = both[:, 0].copy()
         doc = np.repeat(np.arange(len(words)), size)
         sym, lo, hi = symbols(names, doc, ROUNDS, window)
@@ -104,52 +108,122 @@ def _spans(doc, tag, first, n, gone, window):
     return doc[row[lo]], tag[row[lo]], start + pos[lo], start + pos[hi] + window
 
 
-def repeated_spans(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, doc) in, word spans out that a smaller doc_id's windows repeat.
+def _later(key: np.ndarray, names: np.ndarray, docs: np.ndarray):
+    """Which windows a smaller doc_id has under the same key and name; the order by (key, name, doc_id) and the first ones in it."""
+    order = np.lexsort((docs, names, key))
+    new = np.concatenate([[True], (names[order][1:] != names[order][:-1]) | (key[order][1:] != key[order][:-1])])
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    gone = np.zeros(len(order), bool)
+    gone[order] = docs[order] > docs[lead]
+    return gone, order, new
+
 
-    Of the key that a step ends with only its windows' names and smallest doc_ids are carried on, not its rows.
+class _LargeKey:
+    """Windows of one key, dealt by their names into parts of a temporary file, so that one part is held at a time.
+
+    What stays in memory is a flag a window and the places of the parts.
     """
-    carried_key, carried = None, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def __init__(self, names: np.ndarray, docs: np.ndarray):
+        self.file = tempfile.TemporaryFile()
+        self.pieces, self.rows, self.windows = [], [], 0
+        self._deal(names, docs, np.full(len(names), -1))
+
+    def _deal(self, names, docs, at) -> None:
+        part = (names & np.uint64(PARTS - 1)).astype(np.uint8)
+        ends = np.cumsum(np.bincount(part, minlength=PARTS))
+        self.pieces.append((self.file.tell(), ends))
+        self.file.write(np.stack([names.view(np.int64), docs, at], axis=1)[np.argsort(part, kind="stable")].tobytes())
+
+    def add(self, doc, tag, first, n, names) -> None:
+        self._deal(names, np.repeat(doc, n), np.arange(self.windows, self.windows + len(names)))
+        self.rows.append((self.file.tell(), len(doc), self.windows, self.windows + len(names)))
+        self.file.write(np.stack([doc, tag, first, n]).astype(np.int64).tobytes())
+        self.windows += len(names)
+
+    def _read(self, start: int, numbers: int) -> np.ndarray:
+        self.file.seek(start)
+        return np.frombuffer(self.file.read(8 * numbers), np.int64)
+
+    def spans(self, window: int) -> Iterator[tuple | None]:
+        gone = np.zeros(self.windows, bool)
+        for p in range(PARTS):
+            lows = [(start, int(ends[p - 1]) if p else 0, int(ends[p])) for start, ends in self.pieces]
+            names, docs, at = np.concatenate([self._read(start + 24 * lo, 3 * (hi - lo)) for start, lo, hi in lows]).reshape(-1, 3).T
+            if len(names):
+                late = at[_later(np.zeros(len(names), np.int8), names, docs)[0]]
+                gone[late[late >= 0]] = True
+        for start, n_rows, lo, hi in self.rows:
+            yield _spans(*self._read(start, 4 * n_rows).reshape(4, -1), gone[lo:hi], window)
+        self.file.close()
+
+
+def _window_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """(key, doc, tag, first word, number of windows, whether settled) of rows, and the names of the windows that aren't, ``STEP_WINDOWS`` or more at a time."""
+    held, size = [], 0
     for b in batches:
-        if not b.num_rows:
-            continue
         key, doc, tag, place = (b.column(c).to_numpy() for c in ("key", "doc", "tag", "place"))
-        place, n = place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1)
         blob = b.column("checks")
-        ready = np.asarray(blob.is_null())
-        out = []
+        data = np.frombuffer(b"".join(blob.drop_null().to_pylist()), np.uint8).reshape(-1, CHECK)
+        names = np.zeros((len(data), 8), np.uint8)
+        names[:, :CHECK] = data
+        held.append((key, doc, tag, place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1), np.asarray(blob.is_null()), names.view(np.uint64).ravel()))
+        size += len(names) + len(key)
+        if size >= STEP_WINDOWS:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _repeats(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple | None]:
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    carried_key, carried, large = None, none, None
+    for key, doc, tag, first, n, ready, names in _window_steps(batches):
         if ready.any():
-            out.append(_spans(doc[ready], tag[ready], place[ready], n[ready], np.ones(int(n[ready].sum()), bool), window))
-        todo = np.flatnonzero(~ready)
-        if len(todo):
-            key, doc, tag, place, n = (x[todo] for x in (key, doc, tag, place, n))
-            data = np.frombuffer(b"".join(blob.drop_null().to_pylist()), np.uint8).reshape(-1, CHECK)
-            names = np.zeros((len(data), 8), np.uint8)
-            names[:, :CHECK] = data
-            names = names.view(np.uint64).ravel()
-            run = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
-            goes_on = carried_key is not None and key[0] == carried_key
-            at = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            many = doc[at] != doc[np.append(at[1:], len(doc)) - 1]  # sorted by doc: first and last differ
-            if goes_on:
-                many[0] = True
-            last = run[-1]
-            use = many[run] | (run == last)
-            flat = np.repeat(use, n)
-            r, d, c = np.repeat(run[use], n[use]), np.repeat(doc[use], n[use]), names[flat]
-            head = carried if goes_on else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            r, d, c = (np.concatenate(x) for x in ((np.zeros(len(head[0]), np.int64), r), (head[1], d), (head[0], c)))
-            order = np.lexsort((d, c, r))
-            new = np.concatenate([[True], (c[order][1:] != c[order][:-1]) | (r[order][1:] != r[order][:-1])])
-            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-            gone = np.zeros(len(order), bool)
-            gone[order] = d[order] > d[lead]
-            out.append(_spans(doc[use], tag[use], place[use], n[use], gone[len(head[0]):], window))
-            ends = order[new][r[order[new]] == last]
-            carried_key, carried = key[-1], (c[ends], d[ends])
-        out = [x for x in out if x is not None]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["doc", "tag", "lo", "hi"])
+            yield _spans(doc[ready], tag[ready], first[ready], n[ready], np.ones(int(n[ready].sum()), bool), window)
+            key, doc, tag, first, n = (x[~ready] for x in (key, doc, tag, first, n))
+        if large is not None and len(key):
+            own = int(np.searchsorted(key, carried_key, side="right"))
+            flat = int(n[:own].sum())
+            large.add(doc[:own], tag[:own], first[:own], n[:own], names[:flat])
+            key, doc, tag, first, n, names = key[own:], doc[own:], tag[own:], first[own:], n[own:], names[flat:]
+            if len(key):
+                yield from large.spans(window)
+                carried_key, carried, large = None, none, None
+        if not len(key):
+            continue
+        run = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        goes_on = carried_key is not None and key[0] == carried_key
+        at = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        many = doc[at] != doc[np.append(at[1:], len(doc)) - 1]  # sorted by doc: first and last differ
+        if goes_on:
+            many[0] = True
+        last = run[-1]
+        use = many[run] | (run == last)
+        flat = np.repeat(use, n)
+        r, d, c = np.repeat(run[use], n[use]), np.repeat(doc[use], n[use]), names[flat]
+        head = carried if goes_on else none
+        r, d, c = (np.concatenate(x) for x in ((np.zeros(len(head[0]), np.int64), r), (head[1], d), (head[0], c)))
+        gone, order, new = _later(r, c, d)
+        yield _spans(doc[use], tag[use], first[use], n[use], gone[len(head[0]):], window)
+        ends = order[new][r[order[new]] == last]
+        carried_key, carried = key[-1], (c[ends], d[ends])
+        if len(ends) > MOST_CARRIED:
+            large, carried = _LargeKey(*carried), none
+    if large is not None:
+        yield from large.spans(window)
+
+
+def repeated_spans(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, doc) in, word spans out that a smaller doc_id's windows repeat.
+
+    Of the key that a step ends with only its windows' names and smallest doc_ids are carried on, not its rows. A key with over ``MOST_CARRIED``
+    names goes through a temporary file, so no step sorts more than that beside its own windows, however common the key is.
+    """
+    for found in _repeats(batches, window):
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["doc", "tag", "lo", "hi"])
 
 
 def _travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
