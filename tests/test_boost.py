@@ -227,3 +227,28 @@ def test_later_rounds_run_one_code(spark, data, monkeypatch):
     model = boost.fit(data, FEATS, "y", (0, 1), replace(SMALL, max_iter=4, subsample=0.8), "val", block=4)
     assert len(model.history) == 4 and len(codes) == 4
     assert codes[2] and codes[2] == codes[3]  # from the third on; before it margins can't be null, so two rounds have their own
+
+
+def test_small_tables_take_few_tasks(spark, monkeypatch):
+    """3,000 rows in eight partitions: a round's 25 passes take a task each; the model doesn't depend on it."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 60, (3000, 3))
+    y = ((x[:, 0] > 30) ^ (x[:, 1] > 20) ^ (rng.random(3000) < 0.2)).astype(int)  # no leaf is pure
+    rows = spark.createDataFrame([(*map(int, r), int(v), i % 5 == 0) for i, (r, v) in enumerate(zip(x, y))], "a int, b int, c int, target_binary int, held boolean").repartition(8)
+    rows = boost.materialize(rows)
+    one_round, parts = boost._one_round, []
+
+    def counted(now, *more):
+        parts.append(now.rdd.getNumPartitions())
+        return one_round(now, *more)
+    monkeypatch.setattr(boost, "_one_round", counted)
+    fit = lambda: boost.train_binary(rows, ["a", "b", "c"], params=BoostParams(max_iter=4, max_depth=3), validation="held", patience=9)
+    few = fit()
+    assert parts == [1] * 4
+    monkeypatch.setattr(boost, "PART_ROWS", 1)
+    parts.clear()
+    many = fit()
+    assert max(parts) > 1 and few.rounds == many.rounds
+    np.testing.assert_allclose(few.history, many.history, rtol=1e-3)  # probabilities are counted in bins: a last digit may move a row
+    assert few.nodes[["feature", "left", "right"]].values.tolist() == many.nodes[["feature", "left", "right"]].values.tolist()
+    np.testing.assert_allclose(few.nodes[["threshold", "value"]].astype(float), many.nodes[["threshold", "value"]].astype(float))
