@@ -242,10 +242,9 @@ def test_small_tables_take_few_tasks(spark, monkeypatch):
         parts.append(now.rdd.getNumPartitions())
         return one_round(now, *more)
     monkeypatch.setattr(boost, "_one_round", counted)
-    fit = lambda: boost.train_binary(rows, ["a", "b", "c"], params=BoostParams(max_iter=4, max_depth=3), validation="held", patience=9)
-    few = fit()
+    fit = lambda **tasks: boost.train_binary(rows, ["a", "b", "c"], params=BoostParams(max_iter=4, max_depth=3), validation="held", patience=9, **tasks)
+    few = fit(part_rows=boost.PART_ROWS)
     assert parts == [1] * 4
-    monkeypatch.setattr(boost, "PART_ROWS", 1)
     parts.clear()
     many = fit()
     assert max(parts) > 1 and few.rounds == many.rounds
